@@ -47,9 +47,9 @@ def columns(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` over column dictionaries: ``fn`` gets and yields ``{column: list or array}``."""
-    out = to_arrow_schema(T._parse_datatype_string(schema))
+    out = to_arrow_schema(schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in fn(b.to_pydict() for b in batches):
