@@ -1,12 +1,67 @@
-"""A training corpus from documents, in five stages; each takes (spark, docs, sf_dir)."""
+"""A training corpus from documents, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before it kept; all but the
+last return the columns of ``docs``. Between stages the result is written and read again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pitlake.llm import decontam, jaccard_join, packing, pii, toxicity
+from pitlake.llm.common import materialize, read_table
+
+WORD_BPE = "word_bpe_49k.json"
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under 0.5, with a lexicon learned from the labels of ``docs``."""
+    lexicon = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.add_score(docs, lexicon).where("toxicity < 0.5").select(*[f"`{c}`" for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of five-word n-grams (similarity 0.8 or more) connect: its smallest id.
+
+    Texts without a word are linked to nothing and stay; of rows that repeat an id, one stays.
+    """
+    found = jaccard_join.jaccard_components(docs, words=5, num=80, den=100)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    first = docs.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where((F.col("_row") == 1) | F.col("doc_id").isNull())
+    return first.drop("_row").join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*[f"`{c}`" for c in docs.columns])
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of test items; those that mostly consist of such passages go."""
+    return decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), window=10)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data in the text replaced by its kind in brackets."""
+    return pii.redact(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path(WORD_BPE), capacity=4096, end_id=1)
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", benchmark_decontamination),
+    ("personal_data", personal_data),
+    ("packing", best_fit_packing),
+]
 
-STAGES: list = []
+#: Tokenisers, fitted lexicons and trees are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

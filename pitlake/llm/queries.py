@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.llm import chat, decontam, html_extract, packing, pii, toxicity
+from pitlake.llm import ann, chat, decontam, html_extract, jaccard_join, lm, packing, pii, toxicity
 from pitlake.llm.common import columns, map_batches, read_table
 from pitlake.llm.token_counts import prefix_token_counts
 
@@ -30,6 +30,10 @@ def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_in(read_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,10 @@ def op5_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.coalesce(crc_fold(5), F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = columns(read_table(spark, sf_dir, "conversations"), conv_id="long", turn="long", role="string", text="string")
     probe = "\\### Assistant: </turn> ok"
@@ -70,6 +78,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_batches(formatted, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read_table(spark, sf_dir, "documents"), crc_fold(7) == 2)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents; the whole text is its own longest prefix."""
     counted = prefix_token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
@@ -82,5 +94,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(as_text, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_site_style_tree, op4_pii_spans, op5_toxicity_lexicon, op7_chat_format, op9_token_counts, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_site_style_tree, op3_ngram_jaccard_join, op4_pii_spans, op5_toxicity_lexicon, op6_multi_index_hashing, op7_chat_format, op8_lm_scoring, op9_token_counts, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}

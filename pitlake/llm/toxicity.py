@@ -29,6 +29,12 @@ INVISIBLE = re.compile("[­​-‏⁠﻿]")
 #: Labelled rows that the fit reads at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
 STEMS = (4, 5, 6)
+#: Insults that the lexicon starts from, unless labels speak against one, and their weight until labels give another.
+SEEDS = (
+    "idiot idiots idiotic moron morons moronic stupid dumb dumbass imbecile cretin fool loser losers scum scumbag trash garbage filth filthy vermin worthless useless pathetic disgusting"
+    " despicable clown clowns jerk bastard bitch asshole shit bullshit crap fuck fucking dick douche whore slut pig retard retarded freak creep coward liar psycho lunatic hypocrite"
+).split()
+SEED_WEIGHT = 4.0
 
 
 def fold(text: str | None) -> str:
@@ -92,16 +98,23 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30)
     return beta
 
 
-def _terms(text: str | None) -> set[str]:
-    words = set(fold(text).split())
-    return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in STEMS if len(w) >= n}
+def _terms(text: str | None) -> Counter:
+    """Words and stems with their occurrences."""
+    words, found = Counter(fold(text).split()), Counter()
+    for w, n in words.items():
+        found[f" {w} "] += n
+        for k in STEMS:
+            if len(w) >= k:
+                found[f" {w[:k]}"] += n
+    return found
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, least_docs: int = 5, least_odds: float = 2.5) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, least_docs: int = 5, least_share: float = 0.003, least_odds: float = 2.5) -> Lexicon:
     """A lexicon from at most ``sample_rows`` labelled documents.
 
     A term gets the log odds of the shares of toxic and clean documents that hold it, and enters from
-    ``least_docs`` toxic documents and ``least_odds`` on; what a stem covers is left out. Rows without id or
+    ``least_docs`` toxic documents (half as many, if they say it three times each) or this share of them, and
+    ``least_odds`` on; what a stem covers is left out. Rows without id or
     label are left out, an id with several labels has the largest. No labels or one class: an empty lexicon.
     """
     spark = docs.sparkSession
@@ -113,19 +126,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, leas
     if not toxic or not clean:
         return Lexicon({}, [], [0.0 if toxic else -10.0, 0.0, 0.0, 0.0])
 
+    least_docs = max(least_docs, round(least_share * toxic))
+
     def emit(batches: Iterator[dict]) -> Iterator[dict]:
-        bad, good = Counter(), Counter()
+        bad, good, said = Counter(), Counter(), Counter()
         for b in batches:
             for text, y in zip(b["text"], b["toxic"], strict=True):
-                (bad if y > 0 else good).update(_terms(text))
-        yield {"term": list(bad), "bad": list(bad.values()), "good": [good[t] for t in bad]}
-        rest = [t for t in good if t not in bad]
-        yield {"term": rest, "bad": [0] * len(rest), "good": [good[t] for t in rest]}
+                terms = _terms(text)
+                (bad if y > 0 else good).update(terms.keys())
+                if y > 0:
+                    said.update(terms)
+        keys = list(bad | good)
+        yield {"term": keys, "bad": [bad[t] for t in keys], "good": [good[t] for t in keys], "said": [said[t] for t in keys]}
 
-    counted = map_batches(sample, emit, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counted = map_batches(sample, emit, "term string, bad long, good long, said long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum("said").alias("said"))
     odds = F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((F.col("good") + 0.5) / (clean + 1))
-    entries = counted.where(F.col("bad") >= least_docs).withColumn("odds", odds).where(F.col("odds") >= least_odds)
+    often = (F.col("bad") >= least_docs) | ((F.col("bad") >= least_docs / 2) & (F.col("said") >= 3 * F.col("bad")))
+    entries = counted.where(often).withColumn("odds", odds).where(F.col("odds") >= least_odds)
     weights = {r.term: r.odds for r in entries.select("term", "odds").collect()}  # at most the sample's terms over least_docs
+    seeds = counted.where(F.col("term").isin([f" {w} " for w in SEEDS])).withColumn("odds", odds)
+    spoken = {r.term: r.odds for r in seeds.collect()}
+    weights = {f" {w} ": SEED_WEIGHT for w in SEEDS if spoken.get(f" {w} ", SEED_WEIGHT) > 0} | weights
     stems = [t for t in weights if not t.endswith(" ")]
     shortest = {t for t in stems if not any(t[:n] in weights for n in range(5, len(t)))}
     weights = {t: w for t, w in weights.items() if t in shortest or (t.endswith(" ") and not any(t[: n + 1] in shortest for n in STEMS))}
