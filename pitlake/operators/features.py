@@ -7,29 +7,35 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pitlake.operators import pit
 
-W = Window.partitionBy("instrument_id").orderBy("d")
-#: For series that are as long as a calendar, never for fact rows.
-MARKET = Window.orderBy("d")
 YEAR = 252
 
 
-def rolling(fn, col: Column | str, n: int, window=W) -> Column:
+def own_days() -> WindowSpec:
+    return Window.partitionBy("instrument_id").orderBy("d")
+
+
+def market_days() -> WindowSpec:
+    """For series that are as long as a calendar, never for fact rows."""
+    return Window.orderBy("d")
+
+
+def rolling(fn, col: Column | str, n: int, window: WindowSpec | None = None) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    frame = window.rowsBetween(-(n - 1), 0)
+    frame = (window or own_days()).rowsBetween(-(n - 1), 0)
     return F.when(F.count(c).over(frame) == n, fn(c).over(frame))
 
 
-def growth(col: str, n: int, window=W) -> Column:
-    return F.try_divide(F.col(col), F.lag(col, n).over(window)) - 1
+def growth(col: str, n: int, window: WindowSpec | None = None) -> Column:
+    return F.try_divide(F.col(col), F.lag(col, n).over(window or own_days())) - 1
 
 
-def change(col: str, n: int, window=W) -> Column:
-    return F.col(col) - F.lag(col, n).over(window)
+def change(col: str, n: int, window: WindowSpec | None = None) -> Column:
+    return F.col(col) - F.lag(col, n).over(window or own_days())
 
 
 def returns(px: DataFrame, windows=(1, 5, 21, 63, 126, 252)) -> DataFrame:
@@ -38,7 +44,7 @@ def returns(px: DataFrame, windows=(1, 5, 21, 63, 126, 252)) -> DataFrame:
 
 def price_features(px: DataFrame) -> DataFrame:
     """All price-only features of the registry, wide."""
-    prior = px.withColumn("daily", growth("adj", 1)).withColumn("pc", F.lag("close").over(W))
+    prior = px.withColumn("daily", growth("adj", 1)).withColumn("pc", F.lag("close").over(own_days()))
     true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("pc")), F.abs(F.col("low") - F.col("pc")))
     first = prior.select(
         "*", true_range.alias("tr"), rolling(F.avg, "adj", 50).alias("ma50"), rolling(F.avg, "adj", 200).alias("ma200"),
@@ -47,7 +53,7 @@ def price_features(px: DataFrame) -> DataFrame:
     ).withColumn("ma50_ma200_spread", F.try_divide("ma50", "ma200") - 1)
     return first.select(
         "instrument_id", "d", *[growth("adj", n).alias(f"ret_{n}d") for n in (1, 5, 21, 63, 126, 252)],
-        F.ln(F.try_divide(F.col("adj"), F.lag("adj", 1).over(W))).alias("log_ret_1d"), (F.try_divide("open", "pc") - 1).alias("gap_1d"),
+        F.ln(F.try_divide(F.col("adj"), F.lag("adj", 1).over(own_days()))).alias("log_ret_1d"), (F.try_divide("open", "pc") - 1).alias("gap_1d"),
         (F.try_divide("adj", "ma50") - 1).alias("price_to_ma50"), (F.try_divide("adj", "ma200") - 1).alias("price_to_ma200"),
         "ma50_ma200_spread", change("ma50_ma200_spread", 21).alias("ma50_ma200_spread_chg_21d"), "vol_21d", "vol_63d",
         F.when(F.col("vol_63d") > 0, F.col("vol_21d") / F.col("vol_63d") - 1).alias("vol_ratio_21_63"),
@@ -58,7 +64,7 @@ def price_features(px: DataFrame) -> DataFrame:
 
 def relative_returns(px: DataFrame, other: DataFrame, on: list[str], name: str, windows=(5, 21, 63, 126)) -> DataFrame:
     """Own return less that of a benchmark (sessions of its own) on the same date; absent where the benchmark is."""
-    base = other.select(*on, *[growth("adj", n, Window.partitionBy(*[c for c in on if c != "d"]).orderBy("d") if len(on) > 1 else MARKET).alias(f"_b{n}") for n in windows])
+    base = other.select(*on, *[growth("adj", n, Window.partitionBy(*[c for c in on if c != "d"]).orderBy("d") if len(on) > 1 else market_days()).alias(f"_b{n}") for n in windows])
     own = px.select("instrument_id", *on, *[growth("adj", n).alias(f"_r{n}") for n in windows])
     return own.join(base, on, "left").select("instrument_id", "d", *[(F.col(f"_r{n}") - F.col(f"_b{n}")).alias(f"rel_ret_{name}_{n}d") for n in windows])
 

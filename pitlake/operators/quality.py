@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitlake.operators.features import own_days
+
 #: The greatest plausible daily return, the length of a stale run, allowed gaps and periods in days by frequency.
 MAX_RETURN, STALE_RUN = 0.40, 5
 GAP_DAYS = {"D": 10, "W": 21, "M": 45, "Q": 120}
 PERIOD_DAYS = {"D": 1, "W": 7, "M": 31, "Q": 92}
 ERRORS = ("duplicate_date", "nonpositive_close", "ohlc_incoherent", "negative_volume", "return_jump")
-W = Window.partitionBy("instrument_id").orderBy("d")
 
 
 def by_frequency(days: dict[str, int]) -> Column:
@@ -50,7 +51,7 @@ def return_jumps(clean: DataFrame, splits: DataFrame, limit: float = MAX_RETURN)
 
 def stale_runs(px: DataFrame, least: int = STALE_RUN) -> DataFrame:
     """Runs of equal consecutive closes."""
-    island = px.withColumn("_new", (~F.col("close").eqNullSafe(F.lag("close").over(W))).cast("int")).withColumn("_run", F.sum("_new").over(W))
+    island = px.withColumn("_new", (~F.col("close").eqNullSafe(F.lag("close").over(own_days()))).cast("int")).withColumn("_run", F.sum("_new").over(own_days()))
     runs = island.groupBy("instrument_id", "_run").agg(F.min("d").alias("from_d"), F.max("d").alias("to_d"), F.count("*").alias("length"))
     return runs.where(F.col("length") >= least).drop("_run")
 

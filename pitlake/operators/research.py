@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitlake.functions.stats import Z95
+from pitlake.operators.features import own_days
 
 OPS = (">", ">=", "<", "<=", "==", "!=")
 HORIZONS = (5, 21, 63)
 OVERLAP_DAYS = 1.4
-W = Window.partitionBy("instrument_id").orderBy("d")
 
 
 def holds(value: Column, op: Column, limit: Column) -> Column:
@@ -34,7 +34,7 @@ def events(days: DataFrame) -> DataFrame:
 
 def forward_returns(px: DataFrame, horizons=HORIZONS) -> DataFrame:
     """(instrument_id, d, horizon, fwd): null past the edge of the data."""
-    wide = px.select("instrument_id", "d", *[(F.lead("adj", h).over(W) / F.col("adj") - 1).alias(str(h)) for h in horizons])
+    wide = px.select("instrument_id", "d", *[(F.lead("adj", h).over(own_days()) / F.col("adj") - 1).alias(str(h)) for h in horizons])
     return wide.unpivot(["instrument_id", "d"], [str(h) for h in horizons], "horizon", "fwd").withColumn("horizon", F.col("horizon").cast("int"))
 
 
@@ -136,11 +136,11 @@ def weighted_quantile(rows: DataFrame, keys: list[str], x: str, w: str, q: float
 
 def path_excursions(px: DataFrame, h: int) -> DataFrame:
     """Per day: worst and best return over the next h sessions, the deepest drawdown of that path, and its volatility."""
-    ahead = W.rowsBetween(1, h)
+    ahead = own_days().rowsBetween(1, h)
     full = F.count("adj").over(ahead) == h
-    path = F.collect_list("adj").over(W.rowsBetween(0, h))
+    path = F.collect_list("adj").over(own_days().rowsBetween(0, h))
     fold = F.aggregate("_path", F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("dd")), lambda a, p: F.struct(F.greatest(a["top"], p).alias("top"), F.least(a["dd"], p / F.greatest(a["top"], p) - 1).alias("dd")), lambda a: a["dd"])
-    logs = px.withColumn("_lr", F.ln(F.col("adj") / F.lag("adj").over(W)))
+    logs = px.withColumn("_lr", F.ln(F.col("adj") / F.lag("adj").over(own_days())))
     rows = logs.select("instrument_id", "d", F.when(full, F.min("adj").over(ahead) / F.col("adj") - 1).alias("mae"), F.when(full, F.max("adj").over(ahead) / F.col("adj") - 1).alias("mfe"), F.when(full, F.stddev_samp("_lr").over(ahead) * 252**0.5).alias("fwd_vol"), F.when(full, path).alias("_path"))
     return rows.withColumn("max_drawdown", fold).drop("_path").where("mae is not null")
 

@@ -1 +1,10 @@
 """Registered queries with the SQL that gives the same rows."""
+
+from importlib import import_module
+
+from pitlake.plans.registry import ORACLE_SQL, QUERIES
+
+for _module in ("feature_queries", "quality_queries", "research_queries"):
+    import_module(f"pitlake.plans.{_module}")
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -99,7 +99,7 @@ market("feat_macro_chg", "dgs10_chg_63d", "mo", f"SELECT obs_date, available_fro
 CTE["slope"] = (("mo",), "SELECT a.obs_date, a.value - b.value AS value, greatest(a.available_from, b.available_from) AS available_from FROM mo a JOIN mo b ON a.obs_date = b.obs_date AND a.code = 'DGS10' AND b.code = 'DGS2'")
 market("feat_curve_slope", "curve_slope_10y2y", "slope", "SELECT * FROM slope", lambda t: ft.curve_slope(t.mo, "DGS10", "DGS2"))
 query("feat_market_chg", "cal slope", f"SELECT d, round(x - lag(x, 63) OVER (ORDER BY d), 9) AS curve_slope_10y2y_chg_63d FROM ({on_days('slope', 'x')})")(
-    lambda t: rounded(ft.on_calendar(t.cal, ft.curve_slope(t.mo, "DGS10", "DGS2"), "x").withColumn("curve_slope_10y2y_chg_63d", ft.change("x", 63, ft.MARKET)), "curve_slope_10y2y_chg_63d", keys=("d",), digits=9)
+    lambda t: rounded(ft.on_calendar(t.cal, ft.curve_slope(t.mo, "DGS10", "DGS2"), "x").withColumn("curve_slope_10y2y_chg_63d", ft.change("x", 63, ft.market_days())), "curve_slope_10y2y_chg_63d", keys=("d",), digits=9)
 )
 CTE["yoy"] = (("mo",), "SELECT a.obs_date, a.available_from, a.value / nullif(b.value, 0) - 1 AS value FROM mo a JOIN mo b ON a.code = 'CPI' AND b.code = 'CPI' AND a.obs_date = b.obs_date + INTERVAL 12 MONTH")
 market("feat_macro_yoy", "cpi_yoy", "yoy", "SELECT * FROM yoy", lambda t: ft.year_on_year(t.mo, "CPI"))
@@ -150,7 +150,7 @@ query("feat_days_until", "px ea", f"SELECT instrument_id, d, CAST(next_event - d
 # Regimes ------------------------------------------------------------------------------------------------------
 
 query("feat_regime_bull", "bm", f"SELECT d, CASE WHEN ma IS NOT NULL THEN CASE WHEN adj > ma THEN 1.0 ELSE 0.0 END END::DOUBLE AS regime_bull FROM (SELECT d, adj, {rolled('avg', 'adj', 200, 'ORDER BY d')} AS ma FROM bm)")(
-    lambda t: t.bm.withColumn("ma", ft.rolling(F.avg, "adj", 200, ft.MARKET)).select("d", (F.col("adj") > F.col("ma")).cast("double").alias("regime_bull"))
+    lambda t: t.bm.withColumn("ma", ft.rolling(F.avg, "adj", 200, ft.market_days())).select("d", (F.col("adj") > F.col("ma")).cast("double").alias("regime_bull"))
 )
 query("feat_regime_high_vol", "cal mo", f"SELECT d, CASE WHEN v > 15 THEN 1.0 WHEN v <= 15 THEN 0.0 END::DOUBLE AS regime_high_vol FROM ({on_days('(SELECT * FROM mo WHERE code = ' + chr(39) + 'VIX' + chr(39) + ')', 'v')})")(
     lambda t: ft.on_calendar(t.cal, t.mo.where("code = 'VIX'"), "v").select("d", (F.col("v") > 15).cast("double").alias("regime_high_vol"))
