@@ -9,6 +9,7 @@ numbered within their length and looked up in that plan.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -20,11 +21,24 @@ from pyspark.sql import functions as F
 from pitlake.llm.common import columns, map_batches, materialize
 
 #: Words that a worker keeps with their ids before it starts anew.
-CACHE = 300_000
+CACHE = 1_200_000
+#: Documents that are split into words at a time.
+DOCS = 256
+#: Fixed value: signs that may close a word of letters (none of them begins a contraction or a special token).
+SIGNS = ".,;:!?%*&#$-"
+JOINED_SIGNS = re.compile(r"[^\w\s][,.] |_[,.] ")
 #: Pieces that one numbering task should get.
 ROWS_PER_TASK = 200_000
 
 
+def split_words(text: str | None) -> list[str]:
+    """Words at spaces and line ends, with closing commas and full stops apart, which merge with other signs only."""
+    text = (text or "").replace("\n", " ")
+    if not JOINED_SIGNS.search(text):
+        text = text.replace(", ", " , ").replace(". ", " . ")
+    return text.split(" ")
+
+
 class WordIds(dict):
     """Ids of white-space separated words as little-endian uint32 bytes; a word's ids don't depend on its neighbours."""
 
@@ -33,13 +47,39 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that end a run of letters
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def learn(self, words: set[str]) -> None:
         if len(self) > CACHE:
             self.clear()
         new = [w for w in words if w not in self]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+        parts = {w: (w[: len(w) - len(tail)], tail) for w in new if not w.isalpha() and (tail := w[len(w.rstrip(SIGNS)) :])}
+        parts = {w: p for w, p in parts.items() if p[0].isalpha()}  # letters, then signs: two parts that don't merge
+        wanted = {x for w in new for x in parts.get(w, (w,)) if x not in self}
+        letters = [w for w in wanted if w.isalpha()]
+        self._learn_letters(letters)
+        rest = [w for w in wanted if w not in self]
+        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
             self[w] = np.array(e.ids, "<u4").tobytes()
+        for w, (a, b) in parts.items():
+            self[w] = self[a] + self[b]
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Words of letters alone in one text, cut where a word ends; any that are cut otherwise are left out."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4") if words else ()
+        ends = np.flatnonzero(self.closes[ids]) + 1 if len(ids) else ()
+        if len(ends) != len(words):
+            half = len(words) // 2
+            if half:
+                self._learn_letters(words[:half])
+                self._learn_letters(words[half:])
+            return
+        data, at = ids.tobytes() if len(ids) else b"", 0
+        for w, end in zip(words, ends.tolist() if len(ids) else (), strict=True):
+            self[w] = data[at : 4 * end]
+            at = 4 * end
 
 
 _words: dict[str, WordIds] = {}
@@ -58,14 +98,15 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
         end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                words = (text or "").replace("\n", " ").split(" ")
-                ids.learn(set(words))
-                data = b"".join(map(ids.__getitem__, words)) + end
-                for piece, at in enumerate(range(0, len(data), width)):
-                    part = data[at : at + width]
-                    for c, v in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        out[c].append(v)
+            for first in range(0, len(b["text"]), DOCS):
+                split = list(map(split_words, b["text"][first : first + DOCS]))
+                ids.learn(set().union(*split))
+                for doc_id, words in zip(b["doc_id"][first : first + DOCS], split, strict=True):
+                    data = b"".join(map(ids.__getitem__, words)) + end
+                    for piece, at in enumerate(range(0, len(data), width)):
+                        part = data[at : at + width]
+                        for c, v in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            out[c].append(v)
             yield out
 
     return map_batches(columns(docs, doc_id="long", text="string"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
