@@ -29,6 +29,8 @@ from pitlake.llm.hashing import C1, C3, mix, nth, word_hashes, words_of
 GROUP_CLASSES, GROUP_NGRAMS = 128, 200_000
 #: Candidate ids (8 bytes each) up to which they are broadcast to pick their documents; a shuffle join follows beyond.
 BROADCAST_IDS = 2_000_000
+#: The same for rows of four short columns (candidate classes, pairs of groups).
+BROADCAST_ROWS = 500_000
 
 
 def ngrams(text: str | None, words: int) -> np.ndarray:
@@ -173,27 +175,34 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     """
 
     def read(batches: Iterator[dict]) -> Iterator[dict]:
+        seen: set[bytes] = set()  # a task gives the segments of a set once, however many copies it has
         for b in batches:
             sets = [ngrams(t, words) for t in b["text"]]
-            yield {"doc_id": b["doc_id"], "n_shingles": list(map(len, sets)), "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sigs": [signatures(s, num, den) for s in sets]}
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            sigs = []
+            for k, s in zip(keys, sets, strict=True):
+                sigs.append([] if k in seen else signatures(s, num, den))
+                seen.add(k)
+            yield {"doc_id": b["doc_id"], "n_shingles": list(map(len, sets)), "key": keys, "short": [int.from_bytes(k[:8], "little", signed=True) for k in keys], "sigs": sigs}
 
     docs = columns(docs, doc_id="long", text="string")
-    read_schema = "doc_id long, n_shingles long, key binary, sigs array<long>"
+    read_schema = "doc_id long, n_shingles long, key binary, short long, sigs array<long>"
     rows = materialize(map_batches(docs, read, read_schema).withColumn("rid", F.monotonically_increasing_id()), "sets")
     full = rows.where("n_shingles > 0")
-    classes = materialize(full.groupBy("key").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("first_doc"), F.count("*").alias("size")), "classes")
+    classes = full.groupBy("key").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("first_doc"), F.count("*").alias("size"), F.min("n_shingles").alias("n_shingles"), F.min("short").alias("short"))
+    classes = materialize(classes, "classes")
 
-    segments = full.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("cid"), F.explode("sigs").alias("sig")).repartition("sig")
-    shared = segments.groupBy("sig").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).where("first < last").select("sig", "first")
+    # A short key may stand for two classes by chance: both are then candidates, and the sets decide.
+    segments = full.select("short", F.explode("sigs").alias("sig")).repartition("sig")
+    shared = segments.groupBy("sig").agg(F.min("short").alias("first"), F.max("short").alias("last")).where("first < last").select("sig", "first")
     met = materialize(segments.join(shared.hint("shuffle_hash"), "sig"), "segments")
-    home = met.groupBy("cid").agg(F.min("first").alias("home"))
-    members = home.join(full.select(F.col("rid").alias("cid"), "doc_id", "n_shingles", "key"), "cid").join(classes.select("cid", "size"), "cid")
-    members = materialize(members, "members")
+    home = met.groupBy("short").agg(F.min("first").alias("home"))
+    members = materialize(home.join(classes, "short"), "members")
     spread = members.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / GROUP_CLASSES, F.sum("n_shingles") / GROUP_NGRAMS)).alias("blocks"))
     grouped = members.join(spread, "home").withColumn("group", F.xxhash64("home", F.pmod(F.xxhash64("cid"), "blocks")))
-    grouped = materialize(grouped.select("cid", "group", "size", "key", "doc_id"), "groups")
+    grouped = materialize(grouped.select("cid", "short", "group", "size", "key", F.col("first_doc").alias("doc_id")), "groups")
 
-    matrix = met.join(grouped.select("cid", "group"), "cid").select("sig", "group").distinct()
+    matrix = met.join(grouped.select("short", "group"), "short").select("sig", "group").distinct()
     across = matrix.select("sig", F.col("group").alias("ga")).join(matrix.select("sig", F.col("group").alias("gb")), "sig").where("ga < gb").select("ga", "gb").distinct()
     within = grouped.groupBy(F.col("group").alias("ga")).agg(F.count("*").alias("n")).where("n > 1").select("ga", F.col("ga").alias("gb"))
     pairs = materialize(across.union(within), "group_pairs")
@@ -206,9 +215,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             data = [ngrams(t, words).tobytes() for t in b["text"]]
             yield {"key": list(map(xxhash.xxh3_128_digest, data)), "grams": data}
 
-    sets = map_batches(texts, again, "key binary, grams binary").join(grouped.select("key", "cid", "group", "size"), "key").select("cid", "group", "size", "grams")
-    sets = materialize(sets, "group_sets")
-    as_side = lambda side, g: sets.join(pairs.withColumnRenamed(g, "group").withColumn("side", F.lit(side)), "group").select(*(F.col("group").alias(c) if c == g else F.col(c) for c in ("ga", "gb")), "side", "cid", "size", "grams")
+    chosen = grouped.select("key", "cid", "group", "size")
+    sets = materialize(join_bounded(map_batches(texts, again, "key binary, grams binary"), chosen, ["key"], "inner", BROADCAST_ROWS).select("cid", "group", "size", "grams"), "group_sets")
+    as_side = lambda side, g: join_bounded(sets, pairs.withColumnRenamed(g, "group").withColumn("side", F.lit(side)), ["group"], "inner", BROADCAST_ROWS).select(*(F.col("group").alias(c) if c == g else F.col(c) for c in ("ga", "gb")), "side", "cid", "size", "grams")
     laid = as_side(0, "ga").union(as_side(1, "gb").where("ga <> gb")).repartition("ga", "gb").sortWithinPartitions("ga", "gb")
     linked = materialize(map_batches(laid, lambda b: _examine(b, num, den), "cid long, root long, links long"), "links")
 
