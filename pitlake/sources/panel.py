@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", F.to_date("l_shipdate").alias("d"))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_linestatus", F.to_date("l_shipdate").alias("d"))
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     return line.join(supplier, line.l_suppkey == supplier.s_suppkey).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
@@ -109,9 +109,9 @@ def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tx: F lines buy and O lines sell; even instruments open with all that they sell, odd ones may oversell."""
-    lines = _lines(spark, sf_dir).join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k1"), F.col("l_linenumber").alias("k2"), "l_linestatus"), (F.col("l_orderkey") == F.col("k1")) & (F.col("l_linenumber") == F.col("k2")))
+    lines = _lines(spark, sf_dir)
     rows = lines.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("txn_id"),
+        F.row_number().over(Window.partitionBy("s_nationkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "d", "l_linestatus")).cast("long").alias("txn_id"),
         F.when(F.col("l_linestatus") == "F", "buy").otherwise("sell").alias("txn_type"),
         F.col("d").alias("trade_date"),
         F.col("s_nationkey").cast("long").alias("instrument_id"),
@@ -147,6 +147,6 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "fu": (("fu0",), "SELECT instrument_id, as_of, revenue, shares, revenue * 12 AS market_cap, earned / shares AS eps, revenue / earned AS pe_trailing, earned / revenue AS profit_margin FROM fu0"),
     "ea0": (("fu",), "SELECT instrument_id, quarter, eps_actual, lag(eps_actual) OVER (PARTITION BY instrument_id ORDER BY quarter) AS eps_estimate, CAST(quarter + INTERVAL 3 MONTH AS DATE) + 20 AS earnings_date FROM (SELECT instrument_id, CAST(date_trunc('quarter', as_of) AS DATE) AS quarter, sum(eps) / count(eps) AS eps_actual FROM fu GROUP BY 1, 2)"),
     "ea": (("ea0",), "SELECT instrument_id, earnings_date, eps_estimate, NULL::DOUBLE AS eps_actual, earnings_date - 30 AS observed_on FROM ea0 UNION ALL SELECT instrument_id, earnings_date, NULL::DOUBLE, eps_actual, earnings_date + 1 FROM ea0"),
-    "tx0": (("li",), "SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS txn_id, CASE WHEN l_linestatus = 'F' THEN 'buy' ELSE 'sell' END AS txn_type, d AS trade_date, instrument_id, CAST(l_quantity AS DECIMAL(20,8)) AS quantity, CAST(CASE WHEN l_linestatus = 'F' THEN -l_extendedprice ELSE l_extendedprice END AS DECIMAL(20,6)) AS total_amount FROM li"),
+    "tx0": (("li",), "SELECT row_number() OVER (PARTITION BY instrument_id ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity, d, l_linestatus) AS txn_id, CASE WHEN l_linestatus = 'F' THEN 'buy' ELSE 'sell' END AS txn_type, d AS trade_date, instrument_id, CAST(l_quantity AS DECIMAL(20,8)) AS quantity, CAST(CASE WHEN l_linestatus = 'F' THEN -l_extendedprice ELSE l_extendedprice END AS DECIMAL(20,6)) AS total_amount FROM li"),
     "tx": (("tx0",), "SELECT * FROM tx0 UNION ALL SELECT -instrument_id - 1, 'opening_balance', DATE '1990-01-01', instrument_id, CAST(sum(quantity) AS DECIMAL(20,8)), CAST(-sum(total_amount) / 2 AS DECIMAL(20,6)) FROM tx0 WHERE txn_type = 'sell' AND instrument_id % 2 = 0 GROUP BY instrument_id"),
 }
