@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitlake.llm.common import columns, map_batches
+from pitlake.llm.common import TEXT_ROWS, columns, map_batches
 from pitlake.llm.token_counts import byte_characters
 
 #: The marks in the order of their reserved ids, which follow the vocabulary.
@@ -40,8 +40,12 @@ class ChatCodec:
         chars = byte_characters()
         self.bytes_of = {i: bytes(chars[c] for c in t) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in chars for c in t)}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; few at a time, as the library's own results take far more room than the ids."""
+        out = []
+        for first in range(0, len(texts), 64):
+            out += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts[first : first + 64], add_special_tokens=False)]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
@@ -71,7 +75,7 @@ def format_conversations(turns: DataFrame, tokenizer: str, learned_role: str = "
         for b in batches:
             roles, texts = c.encode([escape(r or "") for r in b["role"]]), c.encode([escape(t or "") for t in b["text"]])
             yield b | {
-                "ids": [np.array([turn, *r, text, *t, end], "<u4").tobytes() for r, t in zip(roles, texts, strict=True)],
+                "ids": [np.concatenate(([turn], r, [text], t, [end])).astype("<u4").tobytes() for r, t in zip(roles, texts, strict=True)],
                 "start": [len(r) + 2 for r in roles],
                 "learned": [len(t) if role == learned_role else 0 for role, t in zip(b["role"], texts, strict=True)],
             }
@@ -90,7 +94,7 @@ def format_conversations(turns: DataFrame, tokenizer: str, learned_role: str = "
             yield out
 
     rows = columns(turns, conv_id="long", turn="long", role="string", text="string")
-    encoded = map_batches(rows, encode, "conv_id long, turn long, role string, text string, ids binary, start int, learned int")
+    encoded = map_batches(rows, encode, "conv_id long, turn long, role string, text string, ids binary, start int, learned int", TEXT_ROWS)
     grouped = encoded.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "ids", "start", "learned"))).alias("all"))
     slim = grouped.select("conv_id", F.transform("all", lambda t: F.struct(t.ids.alias("ids"), t.start.alias("start"), t.learned.alias("learned"))).alias("turns"))
     return map_batches(slim, assemble, "conv_id long, ids binary, loss_mask binary")
