@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 _own_dirs: dict[str, str] = {}
+#: Rows of a batch for functions that give whole texts back.
+TEXT_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,8 +49,13 @@ def columns(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` over column dictionaries: ``fn`` gets and yields ``{column: list or array}``."""
+def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str | T.StructType, rows: int = 0) -> DataFrame:
+    """``mapInArrow`` over column dictionaries: ``fn`` gets and yields ``{column: list or array}``.
+
+    ``rows`` bounds the rows of a batch, for functions that give whole texts back.
+    """
+    if rows:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     out = to_arrow_schema(schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitlake.llm.common import columns, map_batches
+from pitlake.llm.common import TEXT_ROWS, columns, map_batches
 
 #: Bytes that separate words become a space, A-Z become lower case; all bytes from 0x80 on belong to words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -158,7 +158,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, list[bytes]]], window: int) ->
                 b["spans"][i] = [{"a": a, "b": z} for a, z in _merged([*((s["a"], s["b"]) for s in b["spans"][i]), *spans])]
             yield b
 
-    return map_batches(docs, run, "doc_id long, text string, spans array<struct<a:int,b:int>>, item_ids array<long>, n_words long")
+    return map_batches(docs, run, "doc_id long, text string, spans array<struct<a:int,b:int>>, item_ids array<long>, n_words long", TEXT_ROWS)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -216,4 +216,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
                         b["n_chars"][i] = len(b["text"][i])
             yield {c: [v[i] for i in keep] for c, v in b.items()}
 
-    return map_batches(docs.select(*[f"`{c}`" for c in names]), run, schema)
+    return map_batches(docs.select(*[f"`{c}`" for c in names]), run, schema, TEXT_ROWS)

@@ -1,8 +1,8 @@
 """Exact n-gram Jaccard join of documents by a token-group matrix.
 
 1. A document becomes the sorted hashes of its distinct word n-grams; documents with equal sets are one class.
-2. Rows of the matrix: the hash range is cut into as many segments as two linked sets can differ in, plus one,
-   so linked sets agree on a whole segment. The number of segments follows from the set size in levels; a set
+2. Rows of the matrix: the hash range is cut into more segments than two linked sets can differ in, so linked
+   sets agree on a whole segment (with some to spare, so that it isn't an empty one). The number of segments follows from the set size in levels; a set
    takes part in its own level and, as the larger one, in the level below.
 3. Groups: classes that share segments are grouped around their smallest common class, in blocks of bounded
    size, so similar documents stand together. A pair of groups is looked at if any segment stands in both.
@@ -46,15 +46,21 @@ def ngrams(text: str | None, words: int) -> np.ndarray:
 
 
 @cache
-def levels(num: int, den: int) -> tuple[list[int], list[int]]:
-    """First set size of each level, and its number of segments (1: only equal sets link)."""
-    starts, parts = [1], []
+def levels(num: int, den: int) -> tuple[list[int], list[int], list[int]]:
+    """First set size of each level, its number of segments (0: only equal sets link), and how many may be empty.
+
+    Linked sets of a level differ in at most d n-grams, so of d + 1 + e segments at least e + 1 agree; unless more
+    than e are empty, one that isn't empty agrees.
+    """
+    starts, parts, empty = [1], [], []
     while starts[-1] < 1 << 40:
         starts.append(starts[-1] * den // num + 1)
     for nxt in starts[1:]:
         least = nxt - 1
-        parts.append((least + least * den // num) * (den - num) // (den + num) + 1)
-    return starts, parts
+        apart = (least + least * den // num) * (den - num) // (den + num)
+        empty.append(max(1, apart // 10))
+        parts.append(apart + 1 + empty[-1] if apart else 0)
+    return starts, parts, empty
 
 
 @cache
@@ -66,15 +72,17 @@ def signatures(grams: np.ndarray, num: int, den: int) -> np.ndarray:
     """One hash for each segment of the set, in its level and the one below."""
     if not len(grams):
         return np.empty(0, np.int64)
-    starts, parts = levels(num, den)
+    starts, parts, empty = levels(num, den)
     own = bisect_right(starts, len(grams)) - 1
     sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(grams * C3), dtype=np.uint64)))
     out = []
     for level in (own, own - 1):
-        if level >= 0 and parts[level] > 1:
+        if level >= 0 and parts[level]:
             at = np.searchsorted(grams, bounds(parts[level]))
-            content = sums[np.append(at[1:], len(grams))] - sums[at]
-            out.append(mix(content + mix(np.arange(parts[level], dtype=np.uint64) * C1 + nth(level + 1))))
+            ends = np.append(at[1:], len(grams))
+            sigs = mix(sums[ends] - sums[at] + mix(np.arange(parts[level], dtype=np.uint64) * C1 + nth(level + 1)))
+            full = ends > at
+            out.append(sigs[full] if len(full) - full.sum() <= empty[level] else sigs)
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 

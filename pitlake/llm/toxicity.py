@@ -7,17 +7,17 @@ bounded sample of labelled documents; scoring covers every document.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitlake.llm.common import columns, map_batches, materialize
+from pitlake.llm.common import TEXT_ROWS, columns, map_batches, materialize
 
 #: Characters that are drawn like a Latin letter, and digits or signs written for one.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ο": "o", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ſ": "s"}
@@ -188,18 +188,14 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def add_score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``docs`` with one more column ``toxicity``."""
+    """``docs`` with one more column ``toxicity``; only the texts go to Python and only the scores come back."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton, beta = shared.value.automaton(), np.array(shared.value.coefficients)
-        for b in batches:
-            x = np.array([(1.0, *features(automaton, t)) for t in b["text"]]).reshape(-1, 4)
-            yield b | {"toxicity": 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))}
-
-    return map_batches(docs, run, schema)
-
+        for texts in batches:
+            x = np.array([(1.0, *features(automaton, t)) for t in texts]).reshape(-1, 4)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))))
 
-def training_fold(doc_id: int | None, folds: int = 5) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % folds != 0
+    return docs.withColumn("toxicity", F.pandas_udf(scores, T.DoubleType())(F.col("text")))
