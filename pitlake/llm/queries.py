@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.llm import ann, chat, decontam, html_extract, jaccard_join, lm, packing, pii, toxicity
+from pitlake.llm import ann, chat, decontam, html_extract, jaccard_join, lm, oracles, packing, pii, toxicity
 from pitlake.llm.common import columns, map_batches, read_table
 from pitlake.llm.token_counts import prefix_token_counts
 
@@ -95,4 +95,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_site_style_tree, op3_ngram_jaccard_join, op4_pii_spans, op5_toxicity_lexicon, op6_multi_index_hashing, op7_chat_format, op8_lm_scoring, op9_token_counts, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_ngram_jaccard_join": oracles.JACCARD, "op7_chat_format": oracles.CHAT, "op10_decontamination": oracles.DECONTAMINATION}
