@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from pitlake.operators import analogues, regimes
 from pitlake.operators import features as ft
 from pitlake.operators import ledger, pit, quality, research
 from pitlake.sources import sinks
@@ -110,6 +111,24 @@ def test_overlap_inflation_equals_the_double_sum(spark):
     assert research.overlap_inflation(rows, ["study"], 10).first().inflation == pytest.approx(want)
 
 
+def test_greedy_gap_equals_a_loop(spark):
+    random.seed(4)
+    positions = random.sample(range(400), 60)
+    rows = [(1, day(999), rank + 1, pos, day(pos), 1.0) for rank, pos in enumerate(positions)]
+    kept = []
+    for pos in positions:
+        if all(abs(pos - k) >= 10 for k in kept):
+            kept.append(pos)
+    matches = spark.createDataFrame(rows, "instrument_id long, as_of date, rank int, pos int, d date, similarity double")
+    assert [r.pos for r in analogues.dedup_gap(matches).orderBy("rank").collect()] == kept
+
+
+def test_first_regime_that_holds_is_active(spark):
+    table = spark.createDataFrame([("f", 1, "x", ">=", 0.5, "strong"), ("f", 2, "x", ">=", 0.1, "weak"), ("g", 1, "y", "<=", 0.0, "down")], "family string, priority int, feature string, op string, `limit` double, label string")
+    values = spark.createDataFrame([(1, "x", 0.7), (1, "y", None), (2, "x", 0.2), (2, "y", -1.0), (3, "x", 0.0)], "d int, feature string, value double")
+    assert {(r.d, r.family, r.label) for r in regimes.active(values, table, ["d"]).collect()} == {(1, "f", "strong"), (2, "f", "weak"), (2, "g", "down")}
+
+
 def test_sinks_write_nothing_on_a_rerun(spark):
     rows = spark.createDataFrame([(1, 2.0), (2, None)], "k long, v double")
     assert sinks.insert_absent(rows, rows, ["k"]).count() == 0
