@@ -26,7 +26,8 @@ from pitlake.llm.common import columns, connected_components, join_bounded, map_
 from pitlake.llm.hashing import C1, C3, mix, nth, word_hashes, words_of
 
 #: Classes and n-grams that a group aims at.
-GROUP_CLASSES, GROUP_NGRAMS = 128, 200_000
+GROUP_CLASSES, GROUP_NGRAMS = 512, 400_000
+NO_SEGMENTS = np.empty(0, np.int64)
 #: Candidate ids (8 bytes each) up to which they are broadcast to pick their documents; a shuffle join follows beyond.
 BROADCAST_IDS = 2_000_000
 #: The same for rows of four short columns (candidate classes, pairs of groups).
@@ -182,26 +183,36 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     Rows with a null id take part and only never name a component. Repeated rows are copies of each other.
     """
 
+    def keys_of(sets: list[np.ndarray]) -> tuple[list[bytes], list[int]]:
+        keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+        return keys, [int.from_bytes(k[:8], "little", signed=True) for k in keys]
+
     def read(batches: Iterator[dict]) -> Iterator[dict]:
-        seen: set[bytes] = set()  # a task gives the segments of a set once, however many copies it has
         for b in batches:
             sets = [ngrams(t, words) for t in b["text"]]
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            sigs = []
-            for k, s in zip(keys, sets, strict=True):
-                sigs.append([] if k in seen else signatures(s, num, den))
-                seen.add(k)
-            yield {"doc_id": b["doc_id"], "n_shingles": list(map(len, sets)), "key": keys, "short": [int.from_bytes(k[:8], "little", signed=True) for k in keys], "sigs": sigs}
+            keys, short = keys_of(sets)
+            yield {"doc_id": b["doc_id"], "n_shingles": list(map(len, sets)), "key": keys, "short": short}
+
+    def cut(batches: Iterator[dict]) -> Iterator[dict]:
+        seen: set[bytes] = set()  # a task gives the segments of a set once, however many copies it has
+        for b in batches:
+            for first in range(0, len(b["text"]), 500):
+                sets = [ngrams(t, words) for t in b["text"][first : first + 500]]
+                keys, short = keys_of(sets)
+                sigs = []
+                for k, s in zip(keys, sets, strict=True):
+                    sigs.append(NO_SEGMENTS if k in seen else signatures(s, num, den))
+                    seen.add(k)
+                yield {"short": np.repeat(np.array(short, dtype=np.int64), [len(s) for s in sigs]), "sig": np.concatenate(sigs)}
 
     docs = columns(docs, doc_id="long", text="string")
-    read_schema = "doc_id long, n_shingles long, key binary, short long, sigs array<long>"
-    rows = materialize(map_batches(docs, read, read_schema).withColumn("rid", F.monotonically_increasing_id()), "sets")
+    rows = materialize(map_batches(docs, read, "doc_id long, n_shingles long, key binary, short long").withColumn("rid", F.monotonically_increasing_id()), "sets")
     full = rows.where("n_shingles > 0")
     classes = full.groupBy("key").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("first_doc"), F.count("*").alias("size"), F.min("n_shingles").alias("n_shingles"), F.min("short").alias("short"))
     classes = materialize(classes, "classes")
 
     # A short key may stand for two classes by chance: both are then candidates, and the sets decide.
-    segments = full.select("short", F.explode("sigs").alias("sig")).repartition("sig")
+    segments = map_batches(docs, cut, "short long, sig long").repartition("sig")
     shared = segments.groupBy("sig").agg(F.min("short").alias("first"), F.max("short").alias("last")).where("first < last").select("sig", "first")
     met = materialize(segments.join(shared.hint("shuffle_hash"), "sig"), "segments")
     home = met.groupBy("short").agg(F.min("first").alias("home"))
@@ -210,10 +221,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     grouped = members.join(spread, "home").withColumn("group", F.xxhash64("home", F.pmod(F.xxhash64("cid"), "blocks")))
     grouped = materialize(grouped.select("cid", "short", "group", "size", "key", F.col("first_doc").alias("doc_id")), "groups")
 
-    matrix = met.join(grouped.select("short", "group"), "short").select("sig", "group").distinct()
-    across = matrix.select("sig", F.col("group").alias("ga")).join(matrix.select("sig", F.col("group").alias("gb")), "sig").where("ga < gb").select("ga", "gb").distinct()
-    within = grouped.groupBy(F.col("group").alias("ga")).agg(F.count("*").alias("n")).where("n > 1").select("ga", F.col("ga").alias("gb"))
-    pairs = materialize(across.union(within), "group_pairs")
+    # The matrix by segment: which groups hold it. A class is laid beside another group only where they share one.
+    placed = materialize(met.join(grouped.select("short", "cid", "group"), "short").select("sig", "cid", "group"), "placed")
+    spanning = placed.groupBy("sig").agg(F.collect_set("group").alias("groups")).where(F.size("groups") > 1)
+    reach = placed.join(spanning, "sig").groupBy("cid", "group").agg(F.array_distinct(F.flatten(F.collect_set("groups"))).alias("groups"))
+    across = reach.select("cid", "group", F.explode("groups").alias("other")).where("group <> other")
+    several = grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    within = grouped.join(several, "group").select("cid", "group", F.col("group").alias("other"))
+    beside = across.union(within).select("cid", F.least("group", "other").alias("ga"), F.greatest("group", "other").alias("gb"), (F.col("group") > F.col("other")).cast("int").alias("side"))
+    pairs = materialize(beside, "group_pairs")
 
     ids = grouped.where("doc_id is not null").select("doc_id").distinct()
     texts = join_bounded(docs, ids, ["doc_id"], "left_semi", BROADCAST_IDS).union(docs.where("doc_id is null").select("doc_id", "text"))
@@ -223,10 +239,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             data = [ngrams(t, words).tobytes() for t in b["text"]]
             yield {"key": list(map(xxhash.xxh3_128_digest, data)), "grams": data}
 
-    chosen = grouped.select("key", "cid", "group", "size")
-    sets = materialize(join_bounded(map_batches(texts, again, "key binary, grams binary"), chosen, ["key"], "inner", BROADCAST_ROWS).select("cid", "group", "size", "grams"), "group_sets")
-    as_side = lambda side, g: join_bounded(sets, pairs.withColumnRenamed(g, "group").withColumn("side", F.lit(side)), ["group"], "inner", BROADCAST_ROWS).select(*(F.col("group").alias(c) if c == g else F.col(c) for c in ("ga", "gb")), "side", "cid", "size", "grams")
-    laid = as_side(0, "ga").union(as_side(1, "gb").where("ga <> gb")).repartition("ga", "gb").sortWithinPartitions("ga", "gb")
+    chosen = grouped.select("key", "cid", "size")
+    sets = materialize(join_bounded(map_batches(texts, again, "key binary, grams binary"), chosen, ["key"], "inner", BROADCAST_ROWS).select("cid", "size", "grams"), "group_sets")
+    laid = join_bounded(sets, pairs, ["cid"], "inner", BROADCAST_ROWS).select("ga", "gb", "side", "cid", "size", "grams").repartition("ga", "gb").sortWithinPartitions("ga", "gb")
     linked = materialize(map_batches(laid, lambda b: _examine(b, num, den), "cid long, root long, links long"), "links")
 
     labels = connected_components(linked.select(F.col("cid").alias("a"), F.col("root").alias("b")))
