@@ -2,8 +2,9 @@
 
 Words and word pairs of the training texts are counted by Spark. A count c is quantised to 1 + floor(log2 c)
 levels, and an n-gram enters the filter once for each level; it is read by probing level after level until one
-is missing. The filter has a fixed size, whatever the corpus: it consists of as many sub-filters as the counting
-has buckets, and a bucket admits the n-grams from the smallest count on that leaves its sub-filter sparse.
+is missing. The filter consists of one sub-filter for each hash range, which is as large as the levels counted
+there need, so every n-gram of the corpus enters. Documents are packed into batches; the distinct hashes of a
+batch meet the sub-filter of their range in one task, and the levels found there go back to the batch.
 
 The exact unigram base needs the exact count of each word. Frequent words, a bounded number, are broadcast; the
 others of a document are joined.
@@ -12,21 +13,25 @@ others of a document are joined.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pitlake.llm.common import columns, map_batches, materialize
 from pitlake.llm.hashing import C1, C3, mix, nth, word_hashes, words_of
 
-#: Bits of the filters for words and pairs, probes per level, share of bits that may be set, weight of pairs.
-WORD_BITS, PAIR_BITS, PROBES, LOAD, PAIR_WEIGHT = 1 << 26, 1 << 27, 3, 0.35, 0.2
+#: Probes per level, share of bits that may be set, weight of pairs.
+PROBES, LOAD, PAIR_WEIGHT = 3, 0.35, 0.2
 #: Words with exact counts that are broadcast at most (12 bytes each).
 HEAD_WORDS = 500_000
-#: Documents that are scored at a time.
-DOCS = 1000
+#: Characters of the texts that are packed into one batch, beside one text that may be longer.
+BATCH = 4 << 20
 END = np.uint64(0x9D39247E33776D41)
 
 
@@ -73,34 +78,78 @@ def _sub_filter(hashes: np.ndarray, counts: np.ndarray, bits: int) -> tuple[int,
     return least, np.packbits(found, bitorder="little").tobytes()
 
 
-def count_ngrams(texts: DataFrame, buckets: int) -> DataFrame:
-    """Per kind (0 words, 1 pairs) and hash range: number, total, the words' hashes and counts, and the sub-filter."""
+def _bits(counts: np.ndarray) -> int:
+    """Bits of a sub-filter that admits all of ``counts``."""
+    return 8 * (int(PROBES * _levels(counts, 1).sum() / LOAD) // 8 + 8)
+
+
+def pack(docs: DataFrame) -> DataFrame:
+    """Batches of ``docs(doc_id, text, held_out)``: ids, flags and sizes of the texts, and the texts in one compressed value."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b["text"]]
+            group = np.cumsum([len(t) for t in texts]) // BATCH
+            for g in np.unique(group):
+                i, j = np.searchsorted(group, [g, g + 1])
+                yield {"doc_id": [b["doc_id"][i:j]], "held_out": [b["held_out"][i:j]], "sizes": [[len(t) for t in texts[i:j]]], "texts": [pa.compress(b"".join(texts[i:j]), "zstd", asbytes=True)]}
+
+    return map_batches(docs, run, "doc_id array<long>, held_out array<boolean>, sizes array<int>, texts binary").withColumn("batch", F.monotonically_increasing_id())
+
+
+def _unpack(sizes: list[int], packed: bytes) -> list[str]:
+    ends = np.cumsum(sizes, dtype=np.int64)
+    whole = pa.decompress(packed, int(ends[-1]), "zstd", asbytes=True)
+    return [whole[e - n : e].decode("utf-8", "surrogatepass") for e, n in zip(ends, sizes, strict=True)]
+
+
+def count_ngrams(packed: DataFrame, buckets: int) -> DataFrame:
+    """Per kind (0 words, 1 pairs) and hash range one row with batch -1: number, total, the words' hashes and counts;
+    and one for each batch: the levels that the sub-filter has for the batch's n-grams, in order of their hashes."""
     shift = np.uint64(64 - buckets.bit_length() + 1)
     edges = np.arange(buckets, dtype=np.uint64) << shift
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            tokens, _ = _tokens(b["text"])
+        for batch, sizes, held_out, texts in ((b["batch"][i], b["sizes"][i], b["held_out"][i], b["texts"][i]) for b in batches for i in range(len(b["batch"]))):
+            tokens, n = _tokens(_unpack(sizes, texts))
+            train = np.repeat(~np.array(held_out, dtype=bool), n)
             for kind, values in ((0, tokens), (1, _pairs(tokens))):
-                hashes, counts = np.unique(values, return_counts=True)
+                hashes = np.unique(values)
+                learned, times = np.unique(values[train], return_counts=True)
+                counts = np.zeros(len(hashes), dtype="<u4")
+                counts[np.searchsorted(hashes, learned)] = times
                 at = np.append(np.searchsorted(hashes, edges), len(hashes))
                 full = np.flatnonzero(np.diff(at))
                 part = lambda x, kind_of, at=at, full=full: [x[at[i] : at[i + 1]].astype(kind_of).tobytes() for i in full]
-                yield {"kind": [kind] * len(full), "bucket": full, "hashes": part(hashes, "<u8"), "counts": part(counts, "<u4")}
+                yield {"kind": [kind] * len(full), "bucket": full, "batch": [batch] * len(full), "hashes": part(hashes, "<u8"), "counts": part(counts, "<u4")}
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        hashes = np.frombuffer(b"".join(rows["hashes"]), "<u8")
+        asked = np.frombuffer(b"".join(rows["hashes"]), "<u8")
         counts = np.frombuffer(b"".join(rows["counts"]), "<u4").astype(np.int64)
-        order = np.argsort(hashes, kind="stable")
-        hashes, counts = hashes[order], counts[order]
-        first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-        hashes, counts = hashes[first], np.add.reduceat(counts, first)
-        least, bits = _sub_filter(hashes, counts, (PAIR_BITS if key[0] else WORD_BITS) // buckets)
+        learned = np.flatnonzero(counts)
+        learned = learned[np.argsort(asked[learned], kind="stable")]
+        hashes, counts = asked[learned], counts[learned]
+        first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))[: len(hashes)])
+        hashes, counts = hashes[first], np.add.reduceat(counts, first) if len(first) else counts
+        size = _bits(counts)
+        least, bits = _sub_filter(hashes, counts, size)
+        levels = LogFrequencyFilter([SubFilter(0, least, bits)], size, 1).levels(asked).astype(np.uint8)
+        ends = np.cumsum([len(h) // 8 for h in rows["hashes"]])
         words = (b"", b"") if key[0] else (hashes.tobytes(), counts.astype("<i8").tobytes())
-        return pd.DataFrame({"kind": [key[0]], "bucket": [key[1]], "n": [len(hashes)], "total": [int(counts.sum())], "least": [least], "bits": [bits], "hashes": [words[0]], "counts": [words[1]]})
+        none = [0] * len(rows)
+        return pd.DataFrame({
+            "kind": key[0], "bucket": key[1], "batch": [-1, *rows["batch"]], "n": [len(hashes), *none], "total": [int(counts.sum()), *none],
+            "levels": [b"", *(x.tobytes() for x in np.split(levels, ends[:-1]))], "hashes": [words[0], *[b""] * len(rows)], "counts": [words[1], *[b""] * len(rows)],
+        })
+
+    partial = map_batches(packed, count, "kind int, bucket int, batch long, hashes binary, counts binary")
+    return partial.groupBy("kind", "bucket").applyInPandas(merge, "kind int, bucket int, batch long, n long, total long, levels binary, hashes binary, counts binary")
+
 
-    partial = map_batches(texts, count, "kind int, bucket int, hashes binary, counts binary")
-    return partial.groupBy("kind", "bucket").applyInPandas(merge, "kind int, bucket int, n long, total long, least int, bits binary, hashes binary, counts binary")
+class SubFilter(NamedTuple):
+    bucket: int
+    least: int
+    bits: bytes
 
 
 class LogFrequencyFilter:
@@ -114,7 +163,7 @@ class LogFrequencyFilter:
             self.least[r.bucket] = r.least
             self.data[r.bucket] = np.frombuffer(r.bits, np.uint8)
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
         bucket = (hashes >> self.shift).astype(np.int64)
         level, open_ = np.zeros(len(hashes), dtype=np.int64), np.arange(len(hashes))
         while len(open_):
@@ -124,8 +173,15 @@ class LogFrequencyFilter:
                 hit &= (self.data[b, (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
             open_ = open_[hit]
             level[open_] += 1
-        middle = np.where(level > 1, 1.4, 1.0)
-        return np.where(level > 0, self.least[bucket] * np.exp2(level - 1.0) * middle, 0.0)
+        return level
+
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        return self.least[(hashes >> self.shift).astype(np.int64)] * _middle(self.levels(hashes))
+
+
+def _middle(level: np.ndarray) -> np.ndarray:
+    """The count that a level stands for, in units of the smallest that is admitted."""
+    return np.where(level > 0, np.exp2(level - 1.0) * np.where(level > 1, 1.4, 1.0), 0.0)
 
 
 def score(docs: DataFrame, held_out: Column, head_words: int = HEAD_WORDS, pair_weight: float = PAIR_WEIGHT) -> DataFrame:
@@ -136,48 +192,53 @@ def score(docs: DataFrame, held_out: Column, head_words: int = HEAD_WORDS, pair_
     """
     spark = docs.sparkSession
     docs = columns(docs, doc_id="long", text="string").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    train = docs.where("not held_out").select("text")
-    buckets = 1 << max(6, min(16, (train.count() // 2000).bit_length()))
-    ngrams = materialize(count_ngrams(train, buckets), "ngrams")
-    sums = ngrams.where("kind = 0").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+    packed = materialize(pack(docs), "packed")
+    buckets = 1 << max(6, min(16, ((packed.agg(F.sum(F.size("sizes"))).first()[0] or 0) // 4000).bit_length()))
+    ngrams = materialize(count_ngrams(packed, buckets), "ngrams")
+    sums = ngrams.where("kind = 0 and batch < 0").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
     distinct, total = sums.n or 0, sums.total or 0
-    filters = [LogFrequencyFilter(ngrams.where(F.col("kind") == k).select("bucket", "least", "bits").toLocalIterator(), bits, buckets) for k, bits in ((0, WORD_BITS), (1, PAIR_BITS))]  # of fixed size
 
-    words = ngrams.where("kind = 0").select("hashes", "counts")
+    words = ngrams.where("kind = 0 and batch < 0").select("hashes", "counts")
     least = _head_threshold(words, head_words) if distinct > head_words else 1
     head = [(np.frombuffer(r.hashes, "<u8"), np.frombuffer(r.counts, "<i8")) for r in _packed(words, least).toLocalIterator()]  # at most head_words words
     known, counts = (np.concatenate([h[i] for h in head]) if head else np.empty(0, t) for i, t in ((0, "<u8"), (1, "<i8")))
     order = np.argsort(known)
-    shared = spark.sparkContext.broadcast((filters, known[order], counts[order]))
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        (word_filter, pair_filter), known, counts = shared.value
-        for b in ({k: v[i : i + DOCS] for k, v in b.items()} for b in batches for i in range(0, len(b["text"]), DOCS)):
-            tokens, sizes = _tokens(b["text"])
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            values, place = np.unique(tokens, return_inverse=True)
-            at = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
-            c = np.where(known[at] == values, counts[at], 0) if len(known) else np.zeros(len(values), dtype=np.int64)
-            base = np.bincount(doc, np.log10(c + 1.0)[place], len(sizes))
-            n_known = np.bincount(doc, (c > 0)[place], len(sizes)).astype(np.int64)
-            rare = np.flatnonzero(c[place] == 0)
-            pair_of, n = np.unique(np.stack([doc[rare].astype(np.uint64), tokens[rare]], axis=1), axis=0, return_counts=True) if least > 1 and len(rare) else (np.empty((0, 2), np.uint64), np.empty(0, np.int64))
-            ends = np.searchsorted(pair_of[:, 0], np.arange(len(sizes) + 1, dtype=np.uint64))
-            as_long = pair_of[:, 1].view(np.int64) if pair_of.flags.f_contiguous else np.ascontiguousarray(pair_of[:, 1]).view(np.int64)
-
-            seen = word_filter.counts(values)[place]
-            single = (seen + 1) / (total + distinct + 1)
-            pairs, pair_place = np.unique(_pairs(tokens), return_inverse=True)
-            before = np.concatenate((word_filter.counts(np.array([END])), seen[:-1]))
-            follow = np.minimum(1.0, pair_filter.counts(pairs)[pair_place] / np.maximum(before, 1.0))
-            weight = np.where(before > 0, pair_weight, 0.0)
-            yield {
-                **{k: b[k] for k in ("doc_id", "held_out")}, "n_tokens": sizes, "n_known": n_known, "base": base,
-                "score": np.bincount(doc, np.log10(weight * follow + (1 - weight) * single), len(sizes)),
-                "rare": [as_long[i:j] for i, j in zip(ends, ends[1:], strict=False)], "times": [n[i:j] for i, j in zip(ends, ends[1:], strict=False)],
-            }
-
-    scored = map_batches(docs, run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>")
+    shared = spark.sparkContext.broadcast((known[order], counts[order]))
+    schema = T._parse_datatype_string("doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>")
+    out = to_arrow_schema(schema)
+
+    def run(key: tuple, own: pa.Table, found: pa.Table) -> pa.Table:
+        known, counts = shared.value
+        b = own.to_pylist()[0]
+        tokens, sizes = _tokens(_unpack(b["sizes"], b["texts"]))
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        values, place = np.unique(tokens, return_inverse=True)
+        at = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
+        c = np.where(known[at] == values, counts[at], 0) if len(known) else np.zeros(len(values), dtype=np.int64)
+        base = np.bincount(doc, np.log10(c + 1.0)[place], len(sizes))
+        n_known = np.bincount(doc, (c > 0)[place], len(sizes)).astype(np.int64)
+        rare = np.flatnonzero(c[place] == 0)
+        pair_of, n = np.unique(np.stack([doc[rare].astype(np.uint64), tokens[rare]], axis=1), axis=0, return_counts=True) if least > 1 and len(rare) else (np.empty((0, 2), np.uint64), np.empty(0, np.int64))
+        ends = np.searchsorted(pair_of[:, 0], np.arange(len(sizes) + 1, dtype=np.uint64))
+        as_long = pair_of[:, 1].view(np.int64) if pair_of.flags.f_contiguous else np.ascontiguousarray(pair_of[:, 1]).view(np.int64)
+
+        pieces = sorted(zip(*(found[x].to_pylist() for x in ("kind", "bucket", "levels")), strict=True))
+        word_counts, pair_counts = (_middle(np.frombuffer(b"".join(x for k, _, x in pieces if k == kind), np.uint8).astype(np.int64)) for kind in (0, 1))
+        seen = word_counts[place]
+        single = (seen + 1) / (total + distinct + 1)
+        pair_place = np.unique(_pairs(tokens), return_inverse=True)[1]
+        before = np.concatenate((word_counts[[np.searchsorted(values, END)]], seen[:-1]))
+        follow = np.minimum(1.0, pair_counts[pair_place] / np.maximum(before, 1.0))
+        weight = np.where(before > 0, pair_weight, 0.0)
+        columns_ = {
+            **{k: b[k] for k in ("doc_id", "held_out")}, "n_tokens": sizes, "n_known": n_known, "base": base,
+            "score": np.bincount(doc, np.log10(weight * follow + (1 - weight) * single), len(sizes)),
+            "rare": [as_long[i:j] for i, j in zip(ends, ends[1:], strict=False)], "times": [n[i:j] for i, j in zip(ends, ends[1:], strict=False)],
+        }
+        return pa.Table.from_arrays([pa.array(columns_[f.name], type=f.type) for f in out], schema=out)
+
+    found = ngrams.where("batch >= 0").select("batch", "kind", "bucket", "levels")
+    scored = packed.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(run, schema)
     scored = materialize(scored.withColumn("rid", F.monotonically_increasing_id()), "scored")
     rare = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("rid", F.col("r.rare").alias("hash"), F.col("r.times").alias("times"))
     tail = _words(words, lambda c: c < least)

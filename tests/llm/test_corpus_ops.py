@@ -146,6 +146,26 @@ def test_scores_base_equals_brute_force(spark, head):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def test_rare_pairs_count_whatever_the_size_of_the_corpus(spark, monkeypatch):
+    for fixed in ("WORD_BITS", "PAIR_BITS"):  # once fixed sizes, beyond which rare words and pairs were left out
+        monkeypatch.setattr(lm, fixed, 1 << 12, raising=False)
+    rng = np.random.default_rng(1)
+    train = [" ".join(f"w{i}" for i in rng.permutation(400)[:40]) for _ in range(200)]
+    docs = spark.createDataFrame([*enumerate(train), *((1000 + i, t) for i, t in enumerate(train[:50]))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") >= 1000).collect()}
+    singles, pairs = Counter(), Counter()
+    for t in train:
+        tokens = [*words(t), None]
+        singles.update(tokens)
+        pairs.update(zip([None, *tokens], tokens, strict=False))
+    level = lambda c: (lambda n: 2.0**n * (1.4 if n else 1.0))(math.floor(math.log2(c)))
+    whole = sum(singles.values()) + len(singles) + 1
+    for i, t in enumerate(train[:50]):
+        tokens = [*words(t), None]
+        p = [0.2 * min(1, level(pairs[a, b]) / level(singles[a])) + 0.8 * (level(singles[b]) + 1) / whole for a, b in zip([None, *tokens], tokens, strict=False)]
+        assert got[1000 + i] == pytest.approx(sum(map(math.log10, p)), abs=2.5) and got[i] == got[1000 + i]
+
+
 def test_filter_holds_quantised_counts():
     rng = np.random.default_rng(0)
     hashes = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
