@@ -9,6 +9,8 @@ from pitlake.operators import pit
 
 BUYS, SELLS = ("buy", "transfer_in", "opening_balance"), ("sell", "transfer_out")
 LONG_DAYS = 365
+#: Shared dates that covariances and the worst window need.
+MIN_OVERLAP = 60
 
 
 def running(quantity: Column):
@@ -98,9 +100,25 @@ def return_panel(px: DataFrame, names: DataFrame, prices: int = 253) -> DataFram
     return rets.join(F.broadcast(full), "d")
 
 
-def covariance(panel: DataFrame) -> DataFrame:
+def covariance(panel: DataFrame, names: DataFrame) -> DataFrame:
+    """Covariance and correlation of each pair of names; null under :data:`MIN_OVERLAP` shared dates."""
     a, b = (panel.select("d", F.col("instrument_id").alias(f"i{k}"), F.col("r").alias(f"r{k}")) for k in (1, 2))
-    return a.join(b, "d").groupBy("i1", "i2").agg(F.covar_samp("r1", "r2").alias("cov"), F.corr("r1", "r2").alias("corr"))
+    enough = lambda x: F.when(F.count("*") >= MIN_OVERLAP, x)
+    found = a.join(b, "d").groupBy("i1", "i2").agg(enough(F.covar_samp("r1", "r2")).alias("cov"), enough(F.corr("r1", "r2")).alias("corr"))
+    i1, i2 = (names.select(F.col("instrument_id").alias(f"i{k}")) for k in (1, 2))
+    return i1.crossJoin(i2).join(found, ["i1", "i2"], "left")
+
+
+def worst_window(panel: DataFrame, held: DataFrame) -> DataFrame:
+    """Peak and trough of the deepest drawdown of the portfolio's index, and each position's return over it; null under :data:`MIN_OVERLAP` shared dates."""
+    w = Window.orderBy("d")  # at most 252 dates
+    daily = panel.join(F.broadcast(held.select("instrument_id", "weight")), "instrument_id").groupBy("d").agg(F.sum(F.col("weight") * F.col("r")).alias("r"))
+    index = daily.withColumn("v", F.exp(F.sum(F.log1p("r")).over(w))).withColumn("top", F.max("v").over(w)).withColumn("peak", F.max_by("d", "v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    index = index.withColumn("_n", F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where(F.col("_n") >= MIN_OVERLAP)
+    deepest = index.orderBy(F.col("v") / F.col("top"), "d").limit(1).select("peak", F.col("d").alias("trough"), (F.col("v") / F.col("top") - 1).alias("dd"))
+    inside = panel.crossJoin(F.broadcast(deepest)).where("d > peak and d <= trough")
+    found = inside.groupBy("instrument_id", "peak", "trough", "dd").agg((F.exp(F.sum(F.log1p("r"))) - 1).alias("contribution"))
+    return held.select("instrument_id").join(found, "instrument_id", "left")
 
 
 def risk(cov: DataFrame, held: DataFrame) -> DataFrame:

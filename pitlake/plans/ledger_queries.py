@@ -51,8 +51,11 @@ query("led_snapshots", "snap", "SELECT instrument_id, d, round(quantity, 4) AS q
 
 
 def held(t: Tables) -> DataFrame:
-    one_day = lg.snapshots(lg.lots(lg.covered(t.tx)), lg.closures(t.tx), t.cal.where(F.col("d") == F.lit(DAY).cast("date")), t.px)
-    return one_day.join(F.broadcast(t.inst.select("instrument_id", "sector_id")), "instrument_id")
+    """The positions of one day, a row per instrument; kept, as risk reads them many times."""
+    if "held" not in t.__dict__:
+        one_day = lg.snapshots(lg.lots(lg.covered(t.tx)), lg.closures(t.tx), t.cal.where(F.col("d") == F.lit(DAY).cast("date")), t.px)
+        t.__dict__["held"] = one_day.join(F.broadcast(t.inst.select("instrument_id", "sector_id")), "instrument_id").persist()
+    return t.__dict__["held"]
 
 
 CTE["held"] = (("snap", "inst"), f"SELECT instrument_id, sector_id, value, weight FROM snap JOIN inst USING (instrument_id) WHERE d = DATE '{DAY}'")
@@ -66,21 +69,19 @@ for _n in ("panel0", "panel"):
     CTE[_n] = (tuple("few" if x == "held" else x for x in CTE[_n][0]), CTE[_n][1].replace("held", "few"))
 
 
-def few(t: Tables) -> DataFrame:
-    """The four largest positions, reweighted."""
-    if "few" not in t.__dict__:
-        top = held(t).orderBy(F.desc("value"), "instrument_id").limit(4)
-        t.__dict__["few"] = t.spark.createDataFrame(top.collect(), top.schema).withColumn("weight", F.col("value") / F.sum("value").over(Window.partitionBy(F.lit(1))))
-    return t.__dict__["few"]
+def panel(t: Tables) -> DataFrame:
+    if "panel" not in t.__dict__:
+        t.__dict__["panel"] = lg.return_panel(t.px, held(t)).persist()
+    return t.__dict__["panel"]
 
 
-def panel(t: Tables) -> DataFrame:
-    return lg.return_panel(t.px, few(t))
+def covariance(t: Tables) -> DataFrame:
+    return lg.covariance(panel(t), held(t))
 
 
 query("pf_return_panel", "panel", "SELECT instrument_id, d, round(r, 6) AS r FROM panel")(lambda t: panel(t).select("instrument_id", "d", F.round("r", 6).alias("r")))
 CTE["cov"] = (("panel",), "SELECT a.instrument_id AS i1, b.instrument_id AS i2, covar_samp(a.r, b.r) AS cov, corr(a.r, b.r) AS corr FROM panel a JOIN panel b USING (d) GROUP BY 1, 2")
-query("pf_covariance", "cov", "SELECT i1, i2, round(cov, 6) AS cov, round(corr, 6) AS corr FROM cov")(lambda t: neat(lg.covariance(panel(t)), "cov", "corr"))
+query("pf_covariance", "cov", "SELECT i1, i2, round(cov, 6) AS cov, round(corr, 6) AS corr FROM cov")(lambda t: neat(covariance(t), "cov", "corr"))
 CTE["fw"] = (("few",), "SELECT instrument_id, value / sum(value) OVER () AS weight FROM few")
 CTE["sig"] = (("cov", "fw"), "SELECT i1, a.weight AS w, sum(b.weight * cov) AS sw, sum(CASE WHEN i1 = i2 THEN cov END) AS var FROM cov JOIN fw a ON a.instrument_id = i1 JOIN fw b ON b.instrument_id = i2 GROUP BY 1, 2")
 CTE["risk"] = (
@@ -88,7 +89,7 @@ CTE["risk"] = (
     "SELECT i1 AS instrument_id, sqrt(var * 252) AS own_vol, sqrt(v * 252) AS portfolio_vol, w * sw / v AS risk_share, sw * 252 / sqrt(v * 252) AS marginal, sqrt(greatest(0, (v - 2 * w * sw + w * w * var) / ((1 - w) * (1 - w))) * 252) - sqrt(v * 252) AS diversification FROM sig CROSS JOIN (SELECT sum(w * sw) AS v FROM sig)",
 )
 for _key, _cols in (("pf_volatility", ("own_vol", "portfolio_vol")), ("pf_risk_contrib", ("risk_share", "marginal")), ("pf_diversification", ("diversification",))):
-    query(_key, "risk", f"SELECT instrument_id, {', '.join(f'round({c}, 6) AS {c}' for c in _cols)} FROM risk")(lambda t, c=_cols: neat(lg.risk(lg.covariance(panel(t)), few(t)).select("instrument_id", *c), *c))
+    query(_key, "risk", f"SELECT instrument_id, {', '.join(f'round({c}, 6) AS {c}' for c in _cols)} FROM risk")(lambda t, c=_cols: neat(lg.risk(covariance(t), held(t)).select("instrument_id", *c), *c))
 CTE["dd"] = (("px",), "SELECT instrument_id, d, adj / max(adj) OVER (PARTITION BY instrument_id ORDER BY d) - 1 AS dd FROM px")
 query("pf_drawdown", "dd", "SELECT instrument_id, round(arg_max(dd, d), 6) AS current, round(min(dd), 6) AS deepest FROM dd GROUP BY 1")(lambda t: neat(lg.drawdowns(t.px), "current", "deepest"))
 CTE["idx"] = (("panel", "fw"), "SELECT d, exp(sum(ln(1 + r)) OVER (ORDER BY d)) AS v FROM (SELECT d, sum(weight * r) AS r FROM panel JOIN fw USING (instrument_id) GROUP BY 1)")
@@ -96,25 +97,19 @@ CTE["worst"] = (("idx",), "SELECT d AS trough, top_d AS peak, v / top - 1 AS dd
 
 
 def worst_window(t: Tables) -> DataFrame:
-    """Peak and trough of the deepest drawdown of the portfolio's index, and each position's return over it."""
-    w = Window.orderBy("d")  # at most 252 dates
-    daily = panel(t).join(F.broadcast(few(t).select("instrument_id", "weight")), "instrument_id").groupBy("d").agg(F.sum(F.col("weight") * F.col("r")).alias("r"))
-    index = daily.withColumn("v", F.exp(F.sum(F.log1p("r")).over(w))).withColumn("top", F.max("v").over(w)).withColumn("peak", F.max_by("d", "v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    deepest = index.orderBy(F.col("v") / F.col("top"), "d").limit(1).select("peak", F.col("d").alias("trough"), (F.col("v") / F.col("top") - 1).alias("dd"))
-    inside = panel(t).crossJoin(F.broadcast(deepest)).where("d > peak and d <= trough")
-    return inside.groupBy("instrument_id", "peak", "trough", "dd").agg((F.exp(F.sum(F.log1p("r"))) - 1).alias("contribution"))
+    return lg.worst_window(panel(t), held(t))
 
 
 query("pf_worst_window", "panel worst", "SELECT instrument_id, peak, trough, round(dd, 6) AS dd, round(exp(sum(ln(1 + r))) - 1, 6) AS contribution FROM panel CROSS JOIN worst WHERE d > peak AND d <= trough GROUP BY 1, 2, 3, 4")(lambda t: neat(worst_window(t), "dd", "contribution"))
 query("pf_correlation_flags", "cov", "SELECT i1, i2, round(corr, 6) AS corr, CAST(n AS INTEGER) AS n, corr >= 0.75 AS flagged FROM (SELECT *, row_number() OVER (PARTITION BY i1 ORDER BY corr DESC, i2) AS n FROM cov WHERE i1 <> i2) WHERE n <= 3")(
-    lambda t: lg.covariance(panel(t)).where("i1 <> i2").withColumn("n", F.row_number().over(Window.partitionBy("i1").orderBy(F.desc("corr"), "i2"))).where("n <= 3").select("i1", "i2", F.round("corr", 6).alias("corr"), "n", (F.col("corr") >= 0.75).alias("flagged"))
+    lambda t: covariance(t).where("i1 <> i2 and corr is not null").withColumn("n", F.row_number().over(Window.partitionBy("i1").orderBy(F.desc("corr"), "i2"))).where("n <= 3 or corr >= 0.75").select("i1", "i2", F.round("corr", 6).alias("corr"), "n", (F.col("corr") >= 0.75).alias("flagged"))
 )
 query("pf_concentration_flags", "held", "SELECT 'position' AS kind, instrument_id AS id, round(weight, 8) AS weight FROM held WHERE weight > 0.10 UNION ALL SELECT 'sector', sector_id, round(sum(weight), 8) FROM held GROUP BY 2 HAVING sum(weight) > 0.20")(
-    lambda t: (lambda h: h.where("weight > 0.10").select(F.lit("position").alias("kind"), F.col("instrument_id").alias("id"), F.round("weight", 8).alias("weight")).union(h.groupBy("sector_id").agg(F.sum("weight").alias("w")).where("w > 0.20").select(F.lit("sector"), "sector_id", F.round("w", 8))))(held(t))
+    lambda t: (lambda h: h.where("weight > 0.15").select(F.lit("position").alias("kind"), F.col("instrument_id").alias("id"), F.round("weight", 8).alias("weight")).union(h.groupBy("sector_id").agg(F.sum("weight").alias("w")).where("w > 0.35").select(F.lit("sector"), "sector_id", F.round("w", 8))))(held(t))
 )
 query("pf_risk_notes", "risk fw dd", "SELECT instrument_id, 'diversifier' AS note FROM risk WHERE diversification > 0 UNION ALL SELECT instrument_id, 'risk over weight' FROM risk JOIN fw USING (instrument_id) WHERE risk_share > 1.2 * weight UNION ALL SELECT instrument_id, 'drawdown' FROM (SELECT instrument_id, min(dd) AS m FROM dd GROUP BY 1) JOIN fw USING (instrument_id) WHERE m < -0.25")(
-    lambda t: (lambda r, f, d: r.where("diversification > 0").select("instrument_id", F.lit("diversifier").alias("note")).union(r.join(f, "instrument_id").where("risk_share > 1.2 * weight").select("instrument_id", F.lit("risk over weight"))).union(d.join(f, "instrument_id").where("deepest < -0.25").select("instrument_id", F.lit("drawdown"))))(
-        lg.risk(lg.covariance(panel(t)), few(t)), few(t).select("instrument_id", "weight"), lg.drawdowns(t.px)
+    lambda t: (lambda r, f, d: r.where("diversification > 0").select("instrument_id", F.lit("diversifier").alias("note")).union(r.join(f, "instrument_id").where("risk_share > 1.5 * weight").select("instrument_id", F.lit("risk over weight"))).union(d.join(f, "instrument_id").where("deepest < -0.25").select("instrument_id", F.lit("drawdown"))))(
+        lg.risk(covariance(t), held(t)), held(t).select("instrument_id", "weight"), lg.drawdowns(t.px)
     )
 )
 query("led_rebuild_idempotent", "snap", "SELECT count(*) AS rows, 0 AS changed FROM snap")(

@@ -1,8 +1,10 @@
 """Operators against hand-made cases: null rules, look-ahead, folds, and reruns."""
 
 import datetime as dt
+import functools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +144,29 @@ def test_empty_tables(spark):
     assert ft.price_features(empty).count() == 0
     assert research.path_excursions(empty, 21).count() == 0
     assert quality.stale_runs(empty).count() == 0
+
+
+def test_portfolio_risk_covers_all_positions(spark):
+    run = lambda key: __spark_entry__.queries()[key](spark, "/root/testdata/sf0.01")
+    names = {r.instrument_id for r in run("pf_weights").collect()}
+    risk = {r.instrument_id for r in run("pf_risk_contrib").collect()}
+    assert len(names) > 4 and risk == names
+
+
+def test_covariance_needs_sixty_shared_dates(spark):
+    rng = random.Random(3)
+    closes = {i: [100 * (1 + rng.random() / 10) for _ in range(61)] for i in range(6)}
+    names = spark.createDataFrame([(i, (i + 1) / 21) for i in closes], "instrument_id long, weight double")
+    for n, known in ((61, True), (60, False)):
+        px = functools.reduce(lambda a, b: a.union(b), [panel(spark, c[:n], i) for i, c in closes.items()])
+        returns = ledger.return_panel(px, names)
+        cov = ledger.covariance(returns, names)
+        assert [r.cov is not None for r in cov.collect()] == [known] * 36
+        risk = ledger.risk(cov, names).collect()
+        window = ledger.worst_window(returns, names).collect()
+        assert len(risk) == len(window) == 6
+        assert {r.portfolio_vol is not None for r in risk} == {r.dd is not None for r in window} == {known}
+        if known:
+            r = np.array([np.diff(c) / c[:-1] for c in map(np.array, closes.values())])
+            w = np.arange(1, 7) / 21
+            assert risk[0].portfolio_vol == pytest.approx(np.sqrt(w @ np.cov(r) @ w * 252))
