@@ -86,16 +86,29 @@ def turnover(rows: DataFrame, keys: list[str]) -> DataFrame:
     return moved.where("delta is not null").groupBy(*keys).agg(F.avg(F.abs("delta")).alias("mean_move"), F.percentile(F.abs("delta"), 0.95).alias("p95_move"), F.avg("changed").alias("band_change_rate"), F.avg(reversal).alias("reversal_rate"))
 
 
+def paired(rows: DataFrame, x: str, system: str, against: str) -> DataFrame:
+    """``instrument_id, as_of, horizon`` and ``x`` as ``system`` minus ``against``, where both are known."""
+    on = ["instrument_id", "as_of", "horizon"]
+    of = lambda s, n: F.max(F.when(F.col("system") == s, F.col(x).cast("double"))).alias(n)
+    both = rows.where(F.col("system").isin(system, against)).groupBy(*on).agg(of(system, "_a"), of(against, "_b"))
+    return both.where("_a is not null and _b is not null").select(*on, (F.col("_a") - F.col("_b")).alias(x))
+
+
 def block_bootstrap(rows: DataFrame, keys: list[str], x: str, draws: int, block: int = 4, seed: int = 7) -> DataFrame:
-    """Mean of ``x`` and its 95 % interval by circular blocks; starts come from an integer generator of (seed, draw, block).
+    """Mean of ``x`` and its 95 % interval by circular blocks within each instrument's series; starts come from a hash of (seed, draw, instrument, block).
 
-    Rows are numbered within the key; a draw reads n rows, so work is draws * n, spread over keys and draws.
+    Sums of all blocks are made once from the series, so a draw reads n / block rows, spread over keys, instruments and draws.
+    Draw -1 takes each block where it is and so gives the mean itself.
     """
-    w = Window.partitionBy(*keys).orderBy("as_of", "instrument_id")
-    numbered = rows.select(*keys, (F.row_number().over(w) - 1).alias("_i"), F.col(x).alias("_x"))
-    sizes = numbered.groupBy(*keys).agg(F.count("*").alias("_n"), F.avg("_x").alias("point"))
-    blocks = sizes.withColumn("_b", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_n") / block) - 1).cast("int")))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    start = (F.lit(seed) * 7919 + F.col("draw").cast("long") * 104729 + F.col("_b").cast("long") * 1299709 + 12345) * 1103515245 % 2147483648 % F.col("_n")
-    picked = blocks.withColumn("_s", start).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("_b") * block + F.col("_k") < F.col("_n")).withColumn("_i", ((F.col("_s") + F.col("_k")) % F.col("_n")).cast("int"))
-    means = picked.join(numbered, [*keys, "_i"]).groupBy(*keys, "point", "draw").agg(F.avg("_x").alias("_m"))
-    return means.groupBy(*keys, "point").agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"), F.avg((F.col("_m") > 0).cast("double")).alias("share_positive"))
+    of = [*keys, "instrument_id"]
+    series = Window.partitionBy(*of)
+    numbered = rows.select(*of, (F.row_number().over(series.orderBy("as_of")) - 1).alias("_i"), F.count("*").over(series).cast("int").alias("_n"), F.col(x).alias("_x"))
+    wrapped = numbered.withColumn("_i", F.explode(F.when(F.col("_i") < block, F.array(F.col("_i"), F.col("_i") + F.col("_n"))).otherwise(F.array("_i"))))
+    w = series.orderBy("_i")
+    sums = wrapped.select(*of, "_i", "_n", F.array(*[F.sum("_x").over(w.rowsBetween(0, k)) for k in range(block)]).alias("_sums")).where("_i < _n").drop("_n")
+    blocks = numbered.where(F.col("_i") % block == 0).select(*of, "_n", F.col("_i").alias("_at"), F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))).alias("draw"))
+    start = F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), F.col("instrument_id"), F.col("_at")), F.col("_n")).cast("int")
+    picked = blocks.withColumn("_i", F.when(F.col("draw") < 0, F.col("_at")).otherwise(start)).withColumn("_k", F.least(F.lit(block), F.col("_n") - F.col("_at")))
+    means = picked.join(sums, [*of, "_i"]).groupBy(*keys, "draw").agg((F.sum(F.element_at("_sums", F.col("_k"))) / F.sum("_k")).alias("_m"))
+    drawn = F.when(F.col("draw") >= 0, F.col("_m"))
+    return means.groupBy(*keys).agg(F.max(F.when(F.col("draw") < 0, F.col("_m"))).alias("point"), F.percentile(drawn, 0.025).alias("low"), F.percentile(drawn, 0.975).alias("high"), F.avg((drawn > 0).cast("double")).alias("share_positive"))

@@ -137,5 +137,5 @@ CTE["bs0"] = (("wr",), "SELECT horizon, row_number() OVER (PARTITION BY horizon
 CTE["bs1"] = (("bs0",), "SELECT horizon, count(*) AS n, avg(x) AS point FROM bs0 GROUP BY 1")
 CTE["bs2"] = (("bs1",), f"SELECT horizon, n, point, draw, b, (7 * 7919 + draw * 104729 + b * 1299709 + 12345) * 1103515245 % 2147483648 % n AS s FROM (SELECT *, unnest(range(CAST(ceil(n / 4.0) AS BIGINT))) AS b FROM bs1) CROSS JOIN range({DRAWS}) r(draw)")
 query("wf_block_bootstrap", "bs0 bs2", "SELECT horizon, round(any_value(point), 6) AS point, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS share_positive FROM (SELECT k.horizon, k.point, k.draw, avg(x) AS m FROM (SELECT *, (s + j) % n AS i FROM bs2 CROSS JOIN range(4) q(j) WHERE b * 4 + j < n) k JOIN bs0 USING (horizon, i) GROUP BY 1, 2, 3) GROUP BY 1")(
-    lambda t: neat(ev.block_bootstrap(prepared(t).where("system = 'combined'"), ["horizon"], "realized_excess", DRAWS), "point", "low", "high", "share_positive")
+    lambda t: neat(ev.block_bootstrap(ev.paired(prepared(t), "hit", "combined", "baseline"), ["horizon"], "hit", 1000), "point", "low", "high", "share_positive")
 )

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from pitlake.operators import analogues, regimes
+from pitlake.operators import analogues, evaluate, regimes
 from pitlake.operators import features as ft
 from pitlake.operators import ledger, pit, quality, research
 from pitlake.sources import sinks
@@ -170,3 +170,18 @@ def test_covariance_needs_sixty_shared_dates(spark):
             r = np.array([np.diff(c) / c[:-1] for c in map(np.array, closes.values())])
             w = np.arange(1, 7) / 21
             assert risk[0].portfolio_vol == pytest.approx(np.sqrt(w @ np.cov(r) @ w * 252))
+
+
+def test_bootstrap_of_the_paired_difference(spark):
+    rng = random.Random(5)
+    cells = [(i, day(d), 21, system, rng.random() < p) for i in range(3) for d in range(30 + i) for system, p in (("combined", 0.7), ("baseline", 0.4))]
+    rows = spark.createDataFrame([*cells, (9, day(0), 21, "combined", True)], "instrument_id long, as_of date, horizon int, system string, hit boolean")
+    got = evaluate.block_bootstrap(evaluate.paired(rows, "hit", "combined", "baseline"), ["horizon"], "hit", 1000).first()
+    mean = lambda s: np.mean([h for *_, system, h in cells if system == s])
+    series = [np.array([h for j, *_, s, h in cells if (j, s) == (i, "combined")], float) - [h for j, *_, s, h in cells if (j, s) == (i, "baseline")] for i in range(3)]
+    draws = []
+    for _ in range(1000):
+        taken = [x[[(s + j) % len(x) for b in range(0, len(x), 4) for s in [rng.randrange(len(x))] for j in range(min(4, len(x) - b))]] for x in series]
+        draws.append(np.concatenate(taken).mean())
+    assert got.point == pytest.approx(mean("combined") - mean("baseline"))
+    assert (got.low, got.high) == pytest.approx(tuple(np.percentile(draws, [2.5, 97.5])), abs=0.03)
