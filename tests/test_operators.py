@@ -185,3 +185,8 @@ def test_bootstrap_of_the_paired_difference(spark):
         draws.append(np.concatenate(taken).mean())
     assert got.point == pytest.approx(mean("combined") - mean("baseline"))
     assert (got.low, got.high) == pytest.approx(tuple(np.percentile(draws, [2.5, 97.5])), abs=0.03)
+
+
+def test_calendar_covers_all_events(spark):
+    got = __spark_entry__.queries()["src_calendar"](spark, SF)
+    assert got.count() == spark.read.parquet(f"{SF}/events.parquet").count() > 0
