@@ -49,17 +49,15 @@ def columns(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str | T.StructType, rows: int = 0) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str | T.StructType, rows: int = 2000) -> DataFrame:
     """``mapInArrow`` over column dictionaries: ``fn`` gets and yields ``{column: list or array}``.
 
-    ``rows`` bounds the rows of a batch, for functions that give whole texts back.
+    ``rows`` bounds the rows that are Python objects at a time; whole batches stay in Arrow's memory.
     """
-    if rows:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     out = to_arrow_schema(schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in fn(b.to_pydict() for b in batches):
+        for cols in fn(b.slice(at, rows).to_pydict() for b in batches for at in range(0, b.num_rows, rows)):
             arrays = [pa.array(cols[f.name], type=f.type) for f in out]
             yield pa.RecordBatch.from_arrays(arrays, schema=out)
 

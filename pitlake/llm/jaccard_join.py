@@ -1,14 +1,15 @@
 """Exact n-gram Jaccard join of documents by a token-group matrix.
 
 1. A document becomes the sorted hashes of its distinct word n-grams; documents with equal sets are one class.
-2. Rows of the matrix: the hash range is cut into more segments than two linked sets can differ in, so linked
-   sets agree on a whole segment (with some to spare, so that it isn't an empty one). The number of segments follows from the set size in levels; a set
-   takes part in its own level and, as the larger one, in the level below.
-3. Groups: classes that share segments are grouped around their smallest common class, in blocks of bounded
-   size, so similar documents stand together. A pair of groups is looked at if any segment stands in both.
-4. Each group has the union of its members' n-grams. A query whose overlap with the union is under the share
-   of its own size that a link needs cannot have a link there; groups are opened for the other queries only.
-5. In an opened group all overlaps are exact set intersections. Links give components by contraction.
+2. A class is probed by its rarest n-grams. Linked sets of n n-grams share at least T = ceil(n * num / den), so of the
+   first n - T + k n-grams in any order that all sets keep to, at least k are shared. The order puts frequent n-grams
+   last, by a sketch of counts over all documents; how good the sketch is decides the work, never the result.
+3. Groups: classes of about one size that share probes stand together, in blocks of bounded size.
+4. The matrix: rows are n-grams, columns are groups before they are cut into blocks, and an entry says that the
+   group's union holds the n-gram among its probes. A query can link into a column only if the union holds k of its
+   probes, so its overlap is bounded before any set has moved; only sets of such pairs are sent, once each.
+5. In a block the whole union bounds the overlap of each query again; opened blocks give exact intersections.
+   Links give components by contraction.
 """
 
 from __future__ import annotations
@@ -18,19 +19,24 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitlake.llm.common import columns, connected_components, join_bounded, map_batches, materialize
-from pitlake.llm.hashing import C1, C3, mix, nth, word_hashes, words_of
-
-#: Classes and n-grams that a group aims at.
-GROUP_CLASSES, GROUP_NGRAMS = 512, 400_000
-NO_SEGMENTS = np.empty(0, np.int64)
-#: Candidate ids (8 bytes each) up to which they are broadcast to pick their documents; a shuffle join follows beyond.
+from pitlake.llm.hashing import C1, mix, word_hashes, words_of
+
+#: Classes and n-grams that a block aims at, and queries that meet it in one task.
+GROUP_CLASSES, GROUP_NGRAMS, TASK_QUERIES = 512, 400_000, 2048
+#: Counters of the sketch (one byte each when sent to the tasks), and the ranges in which they are summed.
+SKETCH_BITS, RANGE_BITS = 22, 6
+#: Doublings of its count from which an n-gram's rows are dealt to several tasks.
+HOT = 11
+#: Document ids (8 bytes each) up to which they are broadcast to pick their documents; a shuffle join follows beyond.
 BROADCAST_IDS = 2_000_000
-#: The same for rows of four short columns (candidate classes, pairs of groups).
+#: The same for rows of four short columns.
 BROADCAST_ROWS = 500_000
 
 
@@ -47,48 +53,32 @@ def ngrams(text: str | None, words: int) -> np.ndarray:
 
 
 @cache
-def levels(num: int, den: int) -> tuple[list[int], list[int], list[int]]:
-    """First set size of each level, its number of segments (0: only equal sets link), and how many may be empty.
+def levels(num: int, den: int) -> tuple[list[int], list[int]]:
+    """First set size of each level, and the probes that sets of the level share at least if they link.
 
-    Linked sets of a level differ in at most d n-grams, so of d + 1 + e segments at least e + 1 agree; unless more
-    than e are empty, one that isn't empty agrees.
+    Linked sets are of one level or of two that follow each other.
     """
-    starts, parts, empty = [1], [], []
+    starts = [1]
     while starts[-1] < 1 << 40:
         starts.append(starts[-1] * den // num + 1)
-    for nxt in starts[1:]:
-        least = nxt - 1
-        apart = (least + least * den // num) * (den - num) // (den + num)
-        empty.append(max(1, apart // 10))
-        parts.append(apart + 1 + empty[-1] if apart else 0)
-    return starts, parts, empty
+    return starts, [max(1, min(2 + s // 32, -(-s * num // den))) for s in starts]
 
 
-@cache
-def bounds(parts: int) -> np.ndarray:
-    return np.array([((i << 32) + parts - 1) // parts << 32 for i in range(parts)], dtype=np.uint64)
+def level_of(size: int, num: int, den: int) -> int:
+    return bisect_right(levels(num, den)[0], size) - 1
 
 
-def signatures(grams: np.ndarray, num: int, den: int) -> np.ndarray:
-    """One hash for each segment of the set, in its level and the one below."""
-    if not len(grams):
+def probes(grams: np.ndarray, heat: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Positions of the n-grams that a set is probed by; none if only an equal set can link."""
+    n = len(grams)
+    if not n or n * (den - num) < num:
         return np.empty(0, np.int64)
-    starts, parts, empty = levels(num, den)
-    own = bisect_right(starts, len(grams)) - 1
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(grams * C3), dtype=np.uint64)))
-    out = []
-    for level in (own, own - 1):
-        if level >= 0 and parts[level]:
-            at = np.searchsorted(grams, bounds(parts[level]))
-            ends = np.append(at[1:], len(grams))
-            sigs = mix(sums[ends] - sums[at] + mix(np.arange(parts[level], dtype=np.uint64) * C1 + nth(level + 1)))
-            full = ends > at
-            out.append(sigs[full] if len(full) - full.sum() <= empty[level] else sigs)
-    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
-
-
-def links(a: list[np.ndarray], b: list[np.ndarray] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) of linked sets of two groups (or within one, i < j): bound by the union, then exact."""
+    count = n - -(-n * num // den) + levels(num, den)[1][level_of(n, num, den)]
+    return np.argsort(heat, kind="stable")[:count]
+
+
+def links(members: list[np.ndarray], queries: list[np.ndarray] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (member, query) of linked sets, or (i < j) within the members: bound by the union, then exact."""
 
     def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -100,29 +90,29 @@ def links(a: list[np.ndarray], b: list[np.ndarray] | None, num: int, den: int) -
         overlap = np.bincount(owner[union[at] == grams], minlength=len(sets))
         return np.flatnonzero(overlap * den >= np.maximum(sizes, least) * num)
 
-    if b is None:
-        union, counts = np.unique(np.concatenate(a), return_counts=True)
+    none = np.empty(0, np.int64)
+    union, counts = np.unique(np.concatenate(members), return_counts=True)
+    if queries is None:
         shared = union[counts > 1]
-        keep = qualifying(a, shared, 0) if len(shared) else np.empty(0, np.int64)
-        keep_a = keep_b = keep
+        keep_m = keep_q = qualifying(members, shared, 0) if len(shared) else none
     else:
-        keep_a = qualifying(a, np.unique(np.concatenate(b)), min(map(len, b)))
-        keep_b = qualifying(b, np.unique(np.concatenate([a[i] for i in keep_a])), min(len(a[i]) for i in keep_a)) if len(keep_a) else keep_a
-    if not len(keep_a) or not len(keep_b) or (b is None and len(keep_a) < 2):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    left, right = [a[i] for i in keep_a], [(a if b is None else b)[i] for i in keep_b]
-    (ga, oa), (gb, ob) = flat(left), flat(right)
-    common = np.intersect1d(ga, gb) if b is not None else np.unique(ga)
+        keep_q = qualifying(queries, union, min(map(len, members)))
+        keep_m = qualifying(members, np.unique(np.concatenate([queries[i] for i in keep_q])), min(len(queries[i]) for i in keep_q)) if len(keep_q) else none
+    if not len(keep_m) or not len(keep_q) or (queries is None and len(keep_m) < 2):
+        return none, none
+    left, right = [members[i] for i in keep_m], [(members if queries is None else queries)[i] for i in keep_q]
+    (gm, om), (gq, oq) = flat(left), flat(right)
+    common = np.intersect1d(gm, gq) if queries is not None else np.unique(gm)
     overlap = np.zeros((len(left), len(right)), dtype=np.float32)
-    for at in range(0, len(common), 8192):
-        part = common[at : at + 8192]
-        x, y = (_rows(part, g, o, n) for g, o, n in ((ga, oa, len(left)), (gb, ob, len(right))))
+    for at in range(0, len(common), 4096):
+        part = common[at : at + 4096]
+        x, y = (_rows(part, g, o, n) for g, o, n in ((gm, om, len(left)), (gq, oq, len(right))))
         overlap += x @ y.T
     sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None]
     inter = overlap.astype(np.int64)
     i, j = np.nonzero(inter * den >= (sizes - inter) * num)
-    i, j = keep_a[i], keep_b[j]
-    return (i[i < j], j[i < j]) if b is None else (i, j)
+    i, j = keep_m[i], keep_q[j]
+    return (i[i < j], j[i < j]) if queries is None else (i, j)
 
 
 def _rows(part: np.ndarray, grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -145,93 +135,154 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _examine(batches: Iterator[dict], num: int, den: int) -> Iterator[dict]:
-    """Rows sorted by pair of groups -> linked classes with one class they are connected to, and their links."""
+    """Rows sorted by block, chunk and side (members first) -> linked classes with one that they are connected to."""
 
-    def done(rows: list[tuple]) -> dict | None:
-        sides: tuple[dict, dict] = ({}, {})
-        for side, cid, size, grams in rows:
-            sides[side][cid] = (size, grams)
-        cids = [*sides[0], *sides[1]]
-        if len(cids) < 2 or (sides[1] and not sides[0]):
+    def done(chunk: int, members: dict, queries: dict) -> dict | None:
+        if not members or len(members) + len(queries) < 2:
             return None
-        sets = [[np.frombuffer(g, np.uint64) for _, g in s.values()] for s in sides]
-        i, j = links(sets[0], sets[1] or None, num, den)
-        j = j + len(sides[0]) if sides[1] else j
-        weights = np.array([s for s, _ in [*sides[0].values(), *sides[1].values()]])
+        own, others = ([np.frombuffer(g, np.uint64) for _, g in s.values()] for s in (members, queries))
+        found = [links(own, None, num, den)] if not chunk and len(own) > 1 else []
+        at = 0
+        while at < len(others):  # a bounded number of n-grams at a time
+            to, grams = at, 0
+            while to < len(others) and to < at + GROUP_CLASSES and (to == at or grams + len(others[to]) <= GROUP_NGRAMS):
+                grams += len(others[to])
+                to += 1
+            i, j = links(own, others[at:to], num, den)
+            found.append((i, j + len(own) + at))
+            at = to
+        if not found:
+            return None
+        i, j = (np.concatenate([f[x] for f in found]) for x in (0, 1))
+        cids = [*members, *queries]
+        weights = np.array([s for s, _ in [*members.values(), *queries.values()]])
         count = np.bincount(i, weights[j], len(cids)) + np.bincount(j, weights[i], len(cids))
         root, linked = _roots(len(cids), i, j), np.flatnonzero(count)
         return {"cid": [cids[x] for x in linked], "root": [cids[root[x]] for x in linked], "links": count[linked].astype(np.int64)}
 
-    key, rows = None, []
+    key: tuple | None = None
+    sides: tuple[dict, dict] = ({}, {})
     for b in batches:
-        for k, row in zip(zip(b["ga"], b["gb"], strict=True), zip(b["side"], b["cid"], b["size"], b["grams"], strict=True), strict=True):
+        for k, side, cid, size, grams in zip(zip(b["block"], b["chunk"], strict=True), b["side"], b["cid"], b["size"], b["grams"], strict=True):
             if k != key:
-                if rows and (out := done(rows)):
+                if key and (out := done(key[1], *sides)):
                     yield out
-                key, rows = k, []
-            rows.append(row)
-    if rows and (out := done(rows)):
+                key, sides = k, ({}, {})
+            sides[side][cid] = (size, grams)
+    if key and (out := done(key[1], *sides)):
         yield out
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links`` for every row of ``docs(doc_id, text)``.
+def _summed_heat(sketches: DataFrame) -> np.ndarray:
+    """Heat of each counter: doublings of its count over what chance would give (2**SKETCH_BITS bytes)."""
+    size = 1 << SKETCH_BITS - RANGE_BITS
 
-    Rows link when ``den * |A & B| >= num * |A | B|`` for their n-gram sets (words parted by ASCII white space,
-    A-Z in lower case). ``component_id`` is the smallest doc_id that links reach, its own included;
-    ``n_links`` counts linked rows. Texts that are null, empty or blank have no set: they are linked to nothing.
-    Rows with a null id take part and only never name a component. Repeated rows are copies of each other.
-    """
+    def total(batches: Iterator[dict]) -> Iterator[dict]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for r, c in zip(b["range"], b["counts"], strict=True):
+                own = sums.setdefault(r, np.zeros(size, np.int64))
+                own += np.frombuffer(pa.decompress(c, 2 * size, "zstd", asbytes=True), "<u2")
+        for r, own in sums.items():
+            mean = own.mean()
+            heat = np.log2(np.maximum(1, own - mean - 3 * mean**0.5)).astype(np.uint8)
+            yield {"range": [r], "heat": [heat.tobytes()]}
+
+    found = map_batches(sketches.select("range", "counts").repartition("range"), total, "range int, heat binary", 64).collect()  # 2**RANGE_BITS rows, whatever the corpus
+    heat = np.zeros((1 << RANGE_BITS, size), np.uint8)
+    for r in found:
+        heat[r.range] = np.frombuffer(r.heat, np.uint8)
+    return heat.reshape(-1)
+
+
+def _keys(sets: list[np.ndarray]) -> tuple[list[bytes], list[int]]:
+    keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+    return keys, [int.from_bytes(k[:8], "little", signed=True) for k in keys]
+
+
+def _block(home: str, level: str, part: str) -> Column:
+    return F.xxhash64(home, level, part)
 
-    def keys_of(sets: list[np.ndarray]) -> tuple[list[bytes], list[int]]:
-        keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        return keys, [int.from_bytes(k[:8], "little", signed=True) for k in keys]
+
+def classified(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id, n_shingles, key`` of ``docs(doc_id, text)``, and classes ``key, first_doc, size, label, links``.
+
+    Classes have one label exactly if links connect them; ``links`` counts the linked rows of other classes.
+    """
+    shift = np.uint64(64 - SKETCH_BITS)
 
     def read(batches: Iterator[dict]) -> Iterator[dict]:
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
             sets = [ngrams(t, words) for t in b["text"]]
-            keys, short = keys_of(sets)
-            yield {"doc_id": b["doc_id"], "n_shingles": list(map(len, sets)), "key": keys, "short": short}
-
-    def cut(batches: Iterator[dict]) -> Iterator[dict]:
-        seen: set[bytes] = set()  # a task gives the segments of a set once, however many copies it has
-        for b in batches:
-            for first in range(0, len(b["text"]), 500):
-                sets = [ngrams(t, words) for t in b["text"][first : first + 500]]
-                keys, short = keys_of(sets)
-                sigs = []
-                for k, s in zip(keys, sets, strict=True):
-                    sigs.append(NO_SEGMENTS if k in seen else signatures(s, num, den))
-                    seen.add(k)
-                yield {"short": np.repeat(np.array(short, dtype=np.int64), [len(s) for s in sigs]), "sig": np.concatenate(sigs)}
-
-    docs = columns(docs, doc_id="long", text="string")
-    rows = materialize(map_batches(docs, read, "doc_id long, n_shingles long, key binary, short long").withColumn("rid", F.monotonically_increasing_id()), "sets")
-    full = rows.where("n_shingles > 0")
-    classes = full.groupBy("key").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("first_doc"), F.count("*").alias("size"), F.min("n_shingles").alias("n_shingles"), F.min("short").alias("short"))
+            keys, short = _keys(sets)
+            at, times = np.unique(np.concatenate(sets) >> shift, return_counts=True)
+            sketch[at.astype(np.int64)] += times.astype(np.uint32)
+            none = [None] * len(sets)
+            yield {"doc_id": b["doc_id"], "n_shingles": list(map(len, sets)), "key": keys, "short": short, "level": [level_of(len(s), num, den) for s in sets], "range": none, "counts": none}
+        parts = np.minimum(sketch, 65535).astype("<u2").reshape(1 << RANGE_BITS, -1)
+        for r in np.flatnonzero(parts.any(axis=1)):
+            yield {"doc_id": [None], "n_shingles": [None], "key": [None], "short": [None], "level": [None], "range": [r], "counts": [pa.compress(parts[r].tobytes(), "zstd", asbytes=True)]}
+
+    done = materialize(map_batches(docs, read, "doc_id long, n_shingles long, key binary, short long, level int, range int, counts binary").withColumn("rid", F.monotonically_increasing_id()), "sets")
+    rows = done.where("range is null")
+    heat = docs.sparkSession.sparkContext.broadcast(_summed_heat(done.where("range is not null")))
+    classes = rows.where("n_shingles > 0").groupBy("key").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("first_doc"), F.count("*").alias("size"), F.min("n_shingles").alias("n"), F.min("short").alias("short"), F.min("level").alias("level"))
     classes = materialize(classes, "classes")
 
-    # A short key may stand for two classes by chance: both are then candidates, and the sets decide.
-    segments = map_batches(docs, cut, "short long, sig long").repartition("sig")
-    shared = segments.groupBy("sig").agg(F.min("short").alias("first"), F.max("short").alias("last")).where("first < last").select("sig", "first")
-    met = materialize(segments.join(shared.hint("shuffle_hash"), "sig"), "segments")
-    home = met.groupBy("short").agg(F.min("first").alias("home"))
-    members = materialize(home.join(classes, "short"), "members")
-    spread = members.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / GROUP_CLASSES, F.sum("n_shingles") / GROUP_NGRAMS)).alias("blocks"))
-    grouped = members.join(spread, "home").withColumn("group", F.xxhash64("home", F.pmod(F.xxhash64("cid"), "blocks")))
-    grouped = materialize(grouped.select("cid", "short", "group", "size", "key", F.col("first_doc").alias("doc_id")), "groups")
-
-    # The matrix by segment: which groups hold it. A class is laid beside another group only where they share one.
-    placed = materialize(met.join(grouped.select("short", "cid", "group"), "short").select("sig", "cid", "group"), "placed")
-    spanning = placed.groupBy("sig").agg(F.collect_set("group").alias("groups")).where(F.size("groups") > 1)
-    reach = placed.join(spanning, "sig").groupBy("cid", "group").agg(F.array_distinct(F.flatten(F.collect_set("groups"))).alias("groups"))
-    across = reach.select("cid", "group", F.explode("groups").alias("other")).where("group <> other")
-    several = grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    within = grouped.join(several, "group").select("cid", "group", F.col("group").alias("other"))
-    beside = across.union(within).select("cid", F.least("group", "other").alias("ga"), F.greatest("group", "other").alias("gb"), (F.col("group") > F.col("other")).cast("int").alias("side"))
-    pairs = materialize(beside, "group_pairs")
-
-    ids = grouped.where("doc_id is not null").select("doc_id").distinct()
+    def probe(batches: Iterator[dict]) -> Iterator[dict]:
+        seen: set[int] = set()  # a task gives the probes of a set once, however many copies it has
+        for b in batches:
+            out: dict[str, list] = {c: [] for c in ("short", "level", "token", "heat")}
+            for t in b["text"]:
+                grams = ngrams(t, words)
+                short = _keys([grams])[1][0]
+                if short in seen:
+                    continue
+                seen.add(short)
+                hot = heat.value[(grams >> shift).astype(np.int64)]
+                at = probes(grams, hot, num, den)
+                for c, v in zip(out, (np.full(len(at), short), np.full(len(at), level_of(len(grams), num, den)), grams[at].view(np.int64), hot[at]), strict=True):
+                    out[c].append(v)
+            yield {c: np.concatenate(v) if v else [] for c, v in out.items()}
+
+    # Units are (short key, level): if two classes share one by chance, both are candidates, and the sets decide.
+    salts = lambda c: F.when(F.col(c) > HOT, F.expr(f"shiftleft(1L, {c} - {HOT})")).otherwise(F.lit(1))
+    told = map_batches(docs, probe, "short long, level int, token long, heat int").withColumn("salt", F.pmod(F.xxhash64("short"), salts("heat"))).repartition("token", "salt")
+    shared = told.groupBy("token", "salt").agg(F.min("short").alias("first"), F.max("short").alias("last"), F.max("heat").alias("h")).where((F.col("first") < F.col("last")) | (F.col("h") > HOT)).select("token", "salt", "first")
+    met = told.join(shared, ["token", "salt"]).dropDuplicates(["token", "salt", "short", "level"])
+    met = materialize(met.select("token", "salt", "heat", "short", "level", "first"), "shared_probes")
+
+    homes = met.groupBy("short", "level").agg(F.min("first").alias("home"))
+    members = materialize(homes.join(classes, ["short", "level"]), "members")
+    spread = members.groupBy("home", "level").agg(F.ceil(F.greatest(F.count("*") / GROUP_CLASSES, F.sum("n") / GROUP_NGRAMS)).alias("blocks"))
+    spread = materialize(spread, "columns")
+    placed = members.join(spread, ["home", "level"]).withColumn("part", F.pmod(F.xxhash64("cid"), "blocks")).withColumn("block", _block("home", "level", "part"))
+    placed = materialize(placed.select("cid", "short", "level", "home", "part", "block", "size", "key", F.col("first_doc").alias("doc_id")), "placed")
+
+    # The matrix bounds the overlap of a unit with each column; the pair is looked at from the larger home.
+    entries = materialize(met.join(placed.select("short", "level", "home").distinct(), ["short", "level"]).select("token", "salt", "heat", "short", "level", "home"), "matrix")
+    union = entries.groupBy("token", F.col("home").alias("to_home"), F.col("level").alias("to_level")).agg(F.max("heat").alias("heat"))
+    union = union.select("token", "to_home", "to_level", F.explode(F.sequence(F.lit(0).cast("long"), salts("heat") - 1)).alias("salt"))
+    near = (F.col("to_home") < F.col("home")) & (F.abs(F.col("to_level") - F.col("level")) <= 1)
+    needed = F.array(*[F.lit(k) for k in levels(num, den)[1]])
+    bound = F.least(F.element_at(needed, F.col("level") + 1), F.element_at(needed, F.col("to_level") + 1))
+    meets = entries.join(union, ["token", "salt"]).where(near).groupBy("short", "level", "to_home", "to_level").agg(F.count("*").alias("held")).where(F.col("held") >= bound)
+    to = spread.select(F.col("home").alias("to_home"), F.col("level").alias("to_level"), F.col("blocks").alias("to_blocks"))
+    across = placed.select("short", "level", "cid").join(meets, ["short", "level"]).join(to, ["to_home", "to_level"]).select("cid", "to_home", "to_level", F.explode(F.sequence(F.lit(0).cast("long"), F.col("to_blocks") - 1)).alias("to_part"))
+    beside = placed.select("cid", "level", "part", F.col("home").alias("to_home")).join(to, "to_home").where((F.col("to_level") == F.col("level") + 1) | ((F.col("to_level") == F.col("level")) & (F.col("part") > 0)))
+    last = F.when(F.col("to_level") == F.col("level"), F.col("part")).otherwise(F.col("to_blocks")) - 1
+    beside = beside.select("cid", "to_home", "to_level", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("to_part"))
+    queries = materialize(across.union(beside).select("cid", _block("to_home", "to_level", "to_part").alias("block")), "queries")
+    asked = queries.groupBy("block").agg(F.ceil(F.count("*") / TASK_QUERIES).alias("chunks"))
+    several = placed.groupBy("block").agg(F.count("*").alias("n")).join(asked, "block", "left").where("n > 1 or chunks > 0").select("block", F.coalesce("chunks", F.lit(1)).alias("chunks"))
+    several = materialize(several, "blocks")
+    own = placed.join(several, "block").select("cid", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"))
+    others = queries.join(several, "block").select("cid", "block", F.pmod(F.xxhash64("cid"), "chunks").alias("chunk"), F.lit(1).alias("side"))
+    sent = materialize(own.union(others), "sent")
+
+    wanted = materialize(placed.join(sent.select("cid").distinct(), "cid", "left_semi").select("cid", "key", "size", "doc_id"), "wanted")
+    ids = wanted.where("doc_id is not null").select("doc_id").distinct()
     texts = join_bounded(docs, ids, ["doc_id"], "left_semi", BROADCAST_IDS).union(docs.where("doc_id is null").select("doc_id", "text"))
 
     def again(batches: Iterator[dict]) -> Iterator[dict]:
@@ -239,16 +290,59 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             data = [ngrams(t, words).tobytes() for t in b["text"]]
             yield {"key": list(map(xxhash.xxh3_128_digest, data)), "grams": data}
 
-    chosen = grouped.select("key", "cid", "size")
-    sets = materialize(join_bounded(map_batches(texts, again, "key binary, grams binary"), chosen, ["key"], "inner", BROADCAST_ROWS).select("cid", "size", "grams"), "group_sets")
-    laid = join_bounded(sets, pairs, ["cid"], "inner", BROADCAST_ROWS).select("ga", "gb", "side", "cid", "size", "grams").repartition("ga", "gb").sortWithinPartitions("ga", "gb")
-    linked = materialize(map_batches(laid, lambda b: _examine(b, num, den), "cid long, root long, links long"), "links")
+    sets = materialize(join_bounded(map_batches(texts, again, "key binary, grams binary", 500), wanted.select("key", "cid", "size"), ["key"], "inner", BROADCAST_ROWS).select("cid", "size", "grams"), "opened_sets")
+    laid = join_bounded(sets, sent, ["cid"], "inner", BROADCAST_ROWS).select("block", "chunk", "side", "cid", "size", "grams").repartition("block", "chunk").sortWithinPartitions("block", "chunk", "side")
+    linked = materialize(map_batches(laid, lambda b: _examine(b, num, den), "cid long, root long, links long", 500), "links")
 
     labels = connected_components(linked.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     counts = linked.groupBy("cid").agg(F.sum("links").alias("links"))
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").join(counts, "cid", "left")
-    named = materialize(named.select("key", "first_doc", "size", F.coalesce("label", "cid").alias("label"), F.coalesce("links", F.lit(0)).alias("links")), "named")
-    smallest = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    by_key = named.join(smallest, "label").select("key", "component_id", (F.col("size") - 1 + F.col("links")).alias("n_links"))
+    named = named.select("key", "first_doc", "size", F.coalesce("label", "cid").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    return rows.select("doc_id", "n_shingles", "key"), materialize(named, "named")
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links`` for every row of ``docs(doc_id, text)``.
+
+    Rows link when ``den * |A & B| >= num * |A | B|`` for their n-gram sets (words parted by ASCII white space,
+    A-Z in lower case). ``component_id`` is the smallest doc_id that links reach, its own included;
+    ``n_links`` counts linked rows. Texts that are null, empty or blank have no set: they are linked to nothing.
+    Rows with a null id take part and only never name a component. Repeated rows are copies of each other.
+    An empty table gives no rows; other columns of ``docs`` are not read.
+    """
+    rows, classes = classified(columns(docs, doc_id="long", text="string"), words, num, den)
+    smallest = classes.groupBy("label").agg(F.min("first_doc").alias("component_id"))
+    by_key = classes.join(smallest, "label").select("key", "component_id", (F.col("size") - 1 + F.col("links")).alias("n_links"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key")).join(by_key, "key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for a component of :func:`jaccard_components`.
+
+    That is the row with the smallest id; of rows that repeat its id and its set, the one with the smallest text.
+    A component without ids keeps one row. Texts without a word are linked to nothing: they stay, but of rows that
+    repeat an id without a word, one stays. An empty table gives no rows, whatever its other columns are called.
+    """
+    rows, classes = classified(columns(docs, doc_id="long", text="string"), words, num, den)
+    best = classes.groupBy("label").agg(F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "key")).alias("best")).select("best.key", "best.first_doc")
+    blank = rows.where("n_shingles = 0").select("key", F.col("doc_id").alias("first_doc")).distinct()
+    kept = materialize(best.union(blank), "kept")
+    repeated = materialize(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated_ids")
+    single = kept.where("first_doc is not null").join(repeated.withColumnRenamed("doc_id", "first_doc"), "first_doc", "left_anti").select("first_doc")
+
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    at = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*own).alias("row"))
+    ids = lambda df, c: df.select(F.col(c).alias("id"))
+    plain = join_bounded(at, ids(single, "first_doc"), ["id"], "left_semi", BROADCAST_IDS).select("row.*")
+
+    @F.pandas_udf("binary")
+    def key_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([_keys([ngrams(t, words)])[0][0] for t in texts])
+
+    odd = join_bounded(at, ids(repeated, "doc_id"), ["id"], "left_semi", BROADCAST_IDS).union(at.where("id is null"))
+    odd = odd.select("id", "row", key_of(F.col("row.text").cast("string")).alias("key"))
+    unnamed_blank = F.col("id").isNull() & (F.col("key") == F.lit(_keys([ngrams(None, words)])[0][0]))
+    of_kept = odd.where(~unnamed_blank).join(kept.withColumnRenamed("key", "kept_key"), (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("first_doc")), "left_semi")
+    first = of_kept.withColumn("nth", F.row_number().over(Window.partitionBy("id", "key").orderBy("row.text"))).where("nth = 1")
+    return plain.union(first.select("row.*")).union(odd.where(unnamed_blank).select("row.*"))
