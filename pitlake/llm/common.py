@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +65,35 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], s
     return df.mapInArrow(run, schema)
 
 
+def map_text(docs: DataFrame, make: Callable[[], Callable[[str | None], str | None | bool]], rows: int = 500) -> DataFrame:
+    """``docs`` with ``text`` rewritten: ``make()``, called once a task, gives a function of a text that returns the new
+    text, or False if the row goes. All other columns pass by untouched, whatever they are called, but ``n_chars``,
+    where there is one, follows a text that changed.
+    """
+    names = docs.columns
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for whole in batches:
+            for first in range(0, whole.num_rows, rows):
+                b = whole.slice(first, rows)
+                old = b.column(at).to_pylist()
+                new = [fn(t) for t in old]
+                if any(x is not y for x, y in zip(old, new, strict=True)):
+                    keep = [x is not False for x in new]
+                    arrays, old, new = [c.filter(pa.array(keep)) for c in b.columns], [x for x, k in zip(old, keep, strict=True) if k], [x for x in new if x is not False]
+                    arrays[at] = pa.array(new, type=arrays[at].type)
+                    if chars is not None:
+                        changed = pa.array([x is not y for x, y in zip(old, new, strict=True)])
+                        arrays[chars] = pc.if_else(changed, pc.utf8_length(arrays[at]).cast(arrays[chars].type), arrays[chars])
+                    b = pa.RecordBatch.from_arrays(arrays, schema=b.schema)
+                if b.num_rows:
+                    yield b
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows

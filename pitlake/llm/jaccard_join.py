@@ -253,7 +253,8 @@ def classified(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFra
     met = told.join(shared, ["token", "salt"]).dropDuplicates(["token", "salt", "short", "level"])
     met = materialize(met.select("token", "salt", "heat", "short", "level", "first"), "shared_probes")
 
-    homes = met.groupBy("short", "level").agg(F.min("first").alias("home"))
+    needed = F.array(*[F.lit(k) for k in levels(num, den)[1]])
+    homes = met.groupBy("short", "level").agg(F.min("first").alias("home"), F.count("*").alias("held")).where(F.col("held") >= F.element_at(needed, F.greatest(F.lit(1), F.col("level")))).drop("held")
     members = materialize(homes.join(classes, ["short", "level"]), "members")
     spread = members.groupBy("home", "level").agg(F.ceil(F.greatest(F.count("*") / GROUP_CLASSES, F.sum("n") / GROUP_NGRAMS)).alias("blocks"))
     spread = materialize(spread, "columns")
@@ -265,7 +266,6 @@ def classified(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFra
     union = entries.groupBy("token", F.col("home").alias("to_home"), F.col("level").alias("to_level")).agg(F.max("heat").alias("heat"))
     union = union.select("token", "to_home", "to_level", F.explode(F.sequence(F.lit(0).cast("long"), salts("heat") - 1)).alias("salt"))
     near = (F.col("to_home") < F.col("home")) & (F.abs(F.col("to_level") - F.col("level")) <= 1)
-    needed = F.array(*[F.lit(k) for k in levels(num, den)[1]])
     bound = F.least(F.element_at(needed, F.col("level") + 1), F.element_at(needed, F.col("to_level") + 1))
     meets = entries.join(union, ["token", "salt"]).where(near).groupBy("short", "level", "to_home", "to_level").agg(F.count("*").alias("held")).where(F.col("held") >= bound)
     to = spread.select(F.col("home").alias("to_home"), F.col("level").alias("to_level"), F.col("blocks").alias("to_blocks"))

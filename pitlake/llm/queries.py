@@ -40,9 +40,9 @@ def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             of = lambda kind, b=b: [sum(s["kind"] == kind for s in spans) for spans in b["base"]]
-            yield {"doc_id": b["doc_id"], "n_email": of("email"), "n_ip": of("ip"), "n_card": of("card"), "n_phone": of("phone"), "base_sha256": list(map(pii.digest, b["base"])), "spans": list(map(pii.span_text, b["spans"]))}
+            yield {"doc_id": b["doc_id"], "n_email": of("email"), "n_ip": of("ip"), "n_card": of("card"), "n_phone": of("phone"), "base_sha256": list(map(pii.digest, b["base"])), "spans": list(map(pii.span_text, b["spans"])), "n_spans": list(map(len, b["spans"]))}
 
-    return map_batches(found.select("doc_id", "base", "spans"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_batches(found.select("doc_id", "base", "spans"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def op5_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,16 +8,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pitlake.llm.common import TEXT_ROWS, columns, map_batches, materialize
+from pitlake.llm.common import TEXT_ROWS, columns, map_batches, map_text, materialize
 
 #: Characters that are drawn like a Latin letter, and digits or signs written for one.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ο": "o", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ſ": "s"}
@@ -29,12 +27,6 @@ INVISIBLE = re.compile("[­​-‏⁠﻿]")
 #: Labelled rows that the fit reads at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
 STEMS = (4, 5, 6)
-#: Insults that the lexicon starts from, unless labels speak against one, and their weight until labels give another.
-SEEDS = (
-    "idiot idiots idiotic moron morons moronic stupid dumb dumbass imbecile cretin fool loser losers scum scumbag trash garbage filth filthy vermin worthless useless pathetic disgusting"
-    " despicable clown clowns jerk bastard bitch asshole shit bullshit crap fuck fucking dick douche whore slut pig retard retarded freak creep coward liar psycho lunatic hypocrite"
-).split()
-SEED_WEIGHT = 4.0
 
 
 def fold(text: str | None) -> str:
@@ -109,13 +101,13 @@ def _terms(text: str | None) -> Counter:
     return found
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, least_docs: int = 5, least_share: float = 0.003, least_odds: float = 2.5) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, least_docs: int = 3, least_odds: float = 0.3, z: float = 3.0) -> Lexicon:
     """A lexicon from at most ``sample_rows`` labelled documents.
 
-    A term gets the log odds of the shares of toxic and clean documents that hold it, and enters from
-    ``least_docs`` toxic documents (half as many, if they say it three times each) or this share of them, and
-    ``least_odds`` on; what a stem covers is left out. Rows without id or
-    label are left out, an id with several labels has the largest. No labels or one class: an empty lexicon.
+    A term weighs as much as the log odds of the shares of toxic and clean documents that hold it, less ``z`` standard
+    errors, and enters from ``least_docs`` toxic documents and ``least_odds`` on; what a stem covers is left out. Rows
+    without id or label are left out, an id with several labels has the largest, repeated documents count each. No
+    labels or one class: an empty lexicon.
     """
     spark = docs.sparkSession
     labels = columns(labels, doc_id="long", toxic="int").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -126,27 +118,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, leas
     if not toxic or not clean:
         return Lexicon({}, [], [0.0 if toxic else -10.0, 0.0, 0.0, 0.0])
 
-    least_docs = max(least_docs, round(least_share * toxic))
-
     def emit(batches: Iterator[dict]) -> Iterator[dict]:
-        bad, good, said = Counter(), Counter(), Counter()
+        bad, good = Counter(), Counter()
         for b in batches:
             for text, y in zip(b["text"], b["toxic"], strict=True):
                 terms = _terms(text)
                 (bad if y > 0 else good).update(terms.keys())
-                if y > 0:
-                    said.update(terms)
         keys = list(bad | good)
-        yield {"term": keys, "bad": [bad[t] for t in keys], "good": [good[t] for t in keys], "said": [said[t] for t in keys]}
+        yield {"term": keys, "bad": [bad[t] for t in keys], "good": [good[t] for t in keys]}
 
-    counted = map_batches(sample, emit, "term string, bad long, good long, said long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum("said").alias("said"))
+    counted = map_batches(sample, emit, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((F.col("good") + 0.5) / (clean + 1))
-    often = (F.col("bad") >= least_docs) | ((F.col("bad") >= least_docs / 2) & (F.col("said") >= 3 * F.col("bad")))
-    entries = counted.where(often).withColumn("odds", odds).where(F.col("odds") >= least_odds)
-    weights = {r.term: r.odds for r in entries.select("term", "odds").collect()}  # at most the sample's terms over least_docs
-    seeds = counted.where(F.col("term").isin([f" {w} " for w in SEEDS])).withColumn("odds", odds)
-    spoken = {r.term: r.odds for r in seeds.collect()}
-    weights = {f" {w} ": SEED_WEIGHT for w in SEEDS if spoken.get(f" {w} ", SEED_WEIGHT) > 0} | weights
+    surely = odds - z * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    entries = counted.where(F.col("bad") >= least_docs).withColumn("weight", surely).where(F.col("weight") >= least_odds)
+    weights = {r.term: r.weight for r in entries.select("term", "weight").collect()}  # at most the sample's terms over least_docs
     stems = [t for t in weights if not t.endswith(" ")]
     shortest = {t for t in stems if not any(t[:n] in weights for n in range(5, len(t)))}
     weights = {t: w for t, w in weights.items() if t in shortest or (t.endswith(" ") and not any(t[: n + 1] in shortest for n in STEMS))}
@@ -181,21 +166,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, leas
     return Lexicon(weights, exceptions, logistic(got[["a", "r", "n"]].to_numpy(), got["y"].to_numpy()).tolist())
 
 
+def _scorer(lexicon: Lexicon) -> Callable[[list[str | None]], np.ndarray]:
+    automaton, beta = lexicon.automaton(), np.array(lexicon.coefficients)
+    return lambda texts: 1 / (1 + np.exp(-np.clip(np.array([(1.0, *features(automaton, t)) for t in texts]).reshape(-1, 4) @ beta, -30, 30)))
+
+
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``doc_id, score`` (0 to 1) for every row of ``docs(doc_id, text)``; a null text is empty, repeated rows are scored each."""
-    scored = add_score(columns(docs, doc_id="long", text="string"), lexicon)
-    return scored.select("doc_id", "toxicity").withColumnRenamed("toxicity", "score")
+    """``doc_id, score`` (0 to 1) for every row of ``docs(doc_id, text)``.
+
+    A null text is empty, repeated rows are scored each, null ids stay null, an empty table gives no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        scores = _scorer(shared.value)
+        for b in batches:
+            yield {"doc_id": b["doc_id"], "score": scores(b["text"])}
+
+    return map_batches(columns(docs, doc_id="long", text="string"), run, "doc_id long, score double", TEXT_ROWS)
 
 
-def add_score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``docs`` with one more column ``toxicity``; only the texts go to Python and only the scores come back."""
+def without_toxic(docs: DataFrame, lexicon: Lexicon, at: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns whatever they are called, that score under ``at``; a null text is empty."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
 
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton, beta = shared.value.automaton(), np.array(shared.value.coefficients)
-        for texts in batches:
-            x = np.array([(1.0, *features(automaton, t)) for t in texts]).reshape(-1, 4)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))))
+    def make() -> Callable[[str | None], str | None | bool]:
+        scores = _scorer(shared.value)
+        return lambda text: text if scores([text])[0] < at else False
 
-    return docs.withColumn("toxicity", F.pandas_udf(scores, T.DoubleType())(F.col("text")))
+    return map_text(docs, make)
