@@ -7,8 +7,7 @@ last return the columns of ``docs``. Between stages the result is written and re
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from pitlake.llm import decontam, jaccard_join, packing, pii, toxicity
 from pitlake.llm.common import materialize, read_table
@@ -17,34 +16,39 @@ WORD_BPE = "word_bpe_49k.json"
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.5, with a lexicon learned from the labels of ``docs``."""
-    lexicon = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.add_score(docs, lexicon).where("toxicity < 0.5").select(*[f"`{c}`" for c in docs.columns])
+    """Documents whose toxicity score is under 0.5, with a lexicon learned from the labels of ``docs``.
+
+    A null text is empty; null and repeated ids keep their rows; without labels all documents stay.
+    """
+    return toxicity.without_toxic(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")), at=0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of five-word n-grams (similarity 0.8 or more) connect: its smallest id.
 
-    Texts without a word are linked to nothing and stay; of rows that repeat an id, one stays.
+    Texts without a word are linked to nothing and stay; of rows that repeat an id and its n-grams, one stays.
     """
-    found = jaccard_join.jaccard_components(docs, words=5, num=80, den=100)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    first = docs.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where((F.col("_row") == 1) | F.col("doc_id").isNull())
-    return first.drop("_row").join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    return jaccard_join.representatives(docs, words=5, num=80, den=100)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of test items; those that mostly consist of such passages go."""
+    """Documents without passages of test items; those that mostly consist of such passages go.
+
+    Null texts and repeated rows stay as they are; an empty benchmark changes nothing.
+    """
     return decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), window=10)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in the text replaced by its kind in brackets."""
+    """All documents, with personal data in the text replaced by its kind in brackets; nulls and repeated rows stay."""
     return pii.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 4096 tokens."""
+    """The pieces of all documents and their places in sequences of 4096 tokens.
+
+    A null text is an empty document; null and repeated ids are packed like others.
+    """
     return packing.pack(docs, public_tokenizers.path(WORD_BPE), capacity=4096, end_id=1)
 
 
