@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -26,7 +27,10 @@ CACHE = 1_200_000
 DOCS = 256
 #: Fixed value: signs that may close a word of letters (none of them begins a contraction or a special token).
 SIGNS = ".,;:!?%*&#$-"
-JOINED_SIGNS = re.compile(r"[^\w\s][,.] |_[,.] ")
+#: Commas and full stops after anything but white space and the Latin letters and digits, which stay such when normalised.
+JOINED_SIGNS = re.compile(r"[,.](?<=[^ \n0-9A-Za-zÀ-ÖØ-öø-įıĲ-ɏ][,.]) ")
+#: What may change otherwise if the text is put in lower case before it is normalised, or could become a special token.
+CASED = re.compile(r"[^\x00-įı-ɏ]|<\|")
 #: Pieces that one numbering task should get.
 ROWS_PER_TASK = 200_000
 
@@ -34,37 +38,61 @@ ROWS_PER_TASK = 200_000
 def split_words(text: str | None) -> list[str]:
     """Words at spaces and line ends, with closing commas and full stops apart, which merge with other signs only."""
     text = (text or "").replace("\n", " ")
+    if not CASED.search(text):
+        text = text.lower()
     if not JOINED_SIGNS.search(text):
         text = text.replace(", ", " , ").replace(". ", " . ")
     return text.split(" ")
 
 
-class WordIds(dict):
+def is_letters(word: str) -> bool:
+    """Whether the word still is all letters when the tokenizer has normalised it."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
+class WordIds:
     """Ids of white-space separated words as little-endian uint32 bytes; a word's ids don't depend on its neighbours."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that end a run of letters
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
+    def encode(self, texts: list[list[str]]) -> Iterator[bytes]:
+        """The ids of each text, given as words."""
+        self.learn(set().union(*texts))
+        at = self.known.__getitem__
+        return (b"".join(map(at, words)) for words in texts)
+
     def learn(self, words: set[str]) -> None:
-        if len(self) > CACHE:
-            self.clear()
-        new = [w for w in words if w not in self]
-        parts = {w: (w[: len(w) - len(tail)], tail) for w in new if not w.isalpha() and (tail := w[len(w.rstrip(SIGNS)) :])}
-        parts = {w: p for w, p in parts.items() if p[0].isalpha()}  # letters, then signs: two parts that don't merge
-        wanted = {x for w in new for x in parts.get(w, (w,)) if x not in self}
-        letters = [w for w in wanted if w.isalpha()]
-        self._learn_letters(letters)
-        rest = [w for w in wanted if w not in self]
+        known = self.known
+        if len(known) > CACHE:
+            known.clear()
+        parts, letters, rest = {}, set(), set()
+        for w in words.difference(known):
+            if is_letters(w):
+                letters.add(w)
+                continue
+            head = w.rstrip(SIGNS)
+            if len(head) < len(w) and is_letters(head):  # letters, then signs: two parts that don't merge
+                tail = w[len(head) :]
+                parts[w] = head, tail
+                if head not in known:
+                    letters.add(head)
+                if tail not in known:
+                    rest.add(tail)
+            else:
+                rest.add(w)
+        self._learn_letters(list(letters))
+        rest = [*rest, *(w for w in letters if w not in known)] if len(letters) else list(rest)
         for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+            known[w] = np.array(e.ids, "<u4").tobytes()
         for w, (a, b) in parts.items():
-            self[w] = self[a] + self[b]
+            known[w] = known[a] + known[b]
 
     def _learn_letters(self, words: list[str]) -> None:
         """Words of letters alone in one text, cut where a word ends; any that are cut otherwise are left out."""
@@ -77,9 +105,9 @@ class WordIds(dict):
                 self._learn_letters(words[half:])
             return
         data, at = ids.tobytes() if len(ids) else b"", 0
-        for w, end in zip(words, ends.tolist() if len(ids) else (), strict=True):
-            self[w] = data[at : 4 * end]
-            at = 4 * end
+        for w, end in zip(words, (4 * ends).tolist() if len(ids) else (), strict=True):
+            self.known[w] = data[at:end]
+            at = end
 
 
 _words: dict[str, WordIds] = {}
@@ -94,15 +122,16 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = _words.setdefault(tokenizer, None) or _words.__setitem__(tokenizer, WordIds(tokenizer)) or _words[tokenizer]
+        if tokenizer not in _words:
+            _words[tokenizer] = WordIds(tokenizer)
+        ids = _words[tokenizer]
         end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for first in range(0, len(b["text"]), DOCS):
                 split = list(map(split_words, b["text"][first : first + DOCS]))
-                ids.learn(set().union(*split))
-                for doc_id, words in zip(b["doc_id"][first : first + DOCS], split, strict=True):
-                    data = b"".join(map(ids.__getitem__, words)) + end
+                for doc_id, encoded in zip(b["doc_id"][first : first + DOCS], ids.encode(split), strict=True):
+                    data = encoded + end
                     for piece, at in enumerate(range(0, len(data), width)):
                         part = data[at : at + width]
                         for c, v in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

@@ -71,6 +71,20 @@ def test_packing_keeps_all_tokens_without_gaps(spark):
     assert packing.pack(docs_of(spark, []), path).count() == 0
 
 
+def test_packing_ids_of_every_odd_character():
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(queries.WORD_BPE)
+    odd = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x2100 or unicodedata.normalize("NFC", chr(c)).lower() != chr(c))]
+    texts = [t.format(c=c) for c in odd for t in ("{c}$", "{c}.", "a{c}, b", "A {c}B. C", "{c} ,d")] + ["<|ENDOFTEXT|> <|endoftext|>a, b", "Σας, ΑΣ. Ω", "it'S, 'Re. x"]
+    ids, library = packing.WordIds(path), Tokenizer.from_file(path)
+    got = list(ids.encode([packing.split_words(t) for t in texts]))
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
 @pytest.mark.parametrize("histogram", [{}, {512: 3}, {1: 1000}, {300: 7, 212: 7}, {n: 1 + n % 5 for n in range(1, 513)}, {257: 11, 200: 4, 3: 1}])
 def test_packing_plan_places_each_item_once(histogram):
     ranks, bins = defaultdict(list), defaultdict(list)
