@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,6 +52,16 @@ def columns(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back: the worker process lives on and serves other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library: then it stays with the process
+        pass
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str | T.StructType, rows: int = 2000) -> DataFrame:
     """``mapInArrow`` over column dictionaries: ``fn`` gets and yields ``{column: list or array}``.
 
@@ -61,6 +73,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], s
         for cols in fn(b.slice(at, rows).to_pydict() for b in batches for at in range(0, b.num_rows, rows)):
             arrays = [pa.array(cols[f.name], type=f.type) for f in out]
             yield pa.RecordBatch.from_arrays(arrays, schema=out)
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -90,6 +103,7 @@ def map_text(docs: DataFrame, make: Callable[[], Callable[[str | None], str | No
                     b = pa.RecordBatch.from_arrays(arrays, schema=b.schema)
                 if b.num_rows:
                     yield b
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,16 +41,30 @@ BROADCAST_IDS = 2_000_000
 BROADCAST_ROWS = 500_000
 
 
-def ngrams(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams; fewer words than n are one n-gram, no words none."""
-    hashes = word_hashes(words_of(text))
-    if not len(hashes):
-        return np.empty(0, np.uint64)
-    size = min(words, len(hashes))
-    out = np.full(len(hashes) - size + 1, size, np.uint64)
+def ngram_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the word n-grams of each text; fewer words than n are one n-gram, no words none."""
+    out = []
+    for first in range(0, len(texts), 200):  # few texts at a time: their words are hashed and joined together
+        each = [words_of(t) for t in texts[first : first + 200]]
+        hashes = word_hashes(list(chain.from_iterable(each)))
+        whole, at = _joined(hashes, words), 0
+        for n in map(len, each):
+            if n >= words:
+                grams = np.sort(whole[at : at + n - words + 1])
+                distinct = np.ones(len(grams), dtype=bool)
+                np.not_equal(grams[1:], grams[:-1], out=distinct[1:])
+                out.append(grams[distinct])
+            else:
+                out.append(_joined(hashes[at : at + n], n) if n else np.empty(0, np.uint64))
+            at += n
+    return out
+
+
+def _joined(hashes: np.ndarray, size: int) -> np.ndarray:
+    out = np.full(max(0, len(hashes) - size + 1), size, np.uint64)
     for i in range(size):
-        out = mix(out * C1 + hashes[i : len(hashes) - size + 1 + i])
-    return np.unique(out)
+        out = mix(out * C1 + hashes[i : len(out) + i])
+    return out
 
 
 @cache
@@ -214,7 +229,7 @@ def classified(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFra
     def read(batches: Iterator[dict]) -> Iterator[dict]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
-            sets = [ngrams(t, words) for t in b["text"]]
+            sets = ngram_sets(b["text"], words)
             keys, short = _keys(sets)
             at, times = np.unique(np.concatenate(sets) >> shift, return_counts=True)
             sketch[at.astype(np.int64)] += times.astype(np.uint32)
@@ -234,8 +249,7 @@ def classified(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFra
         seen: set[int] = set()  # a task gives the probes of a set once, however many copies it has
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("short", "level", "token", "heat")}
-            for t in b["text"]:
-                grams = ngrams(t, words)
+            for grams in ngram_sets(b["text"], words):
                 short = _keys([grams])[1][0]
                 if short in seen:
                     continue
@@ -248,8 +262,9 @@ def classified(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFra
 
     # Units are (short key, level): if two classes share one by chance, both are candidates, and the sets decide.
     salts = lambda c: F.when(F.col(c) > HOT, F.expr(f"shiftleft(1L, {c} - {HOT})")).otherwise(F.lit(1))
+    # Both sides of the join below read all columns of ``told``, so that they are one exchange.
     told = map_batches(docs, probe, "short long, level int, token long, heat int").withColumn("salt", F.pmod(F.xxhash64("short"), salts("heat"))).repartition("token", "salt")
-    shared = told.groupBy("token", "salt").agg(F.min("short").alias("first"), F.max("short").alias("last"), F.max("heat").alias("h")).where((F.col("first") < F.col("last")) | (F.col("h") > HOT)).select("token", "salt", "first")
+    shared = told.groupBy("token", "salt").agg(F.min("short").alias("first"), F.max("short").alias("last"), F.max("heat").alias("h"), F.max("level").alias("l")).where(((F.col("first") < F.col("last")) | (F.col("h") > HOT)) & (F.col("l") >= 0)).select("token", "salt", "first")
     met = told.join(shared, ["token", "salt"]).dropDuplicates(["token", "salt", "short", "level"])
     met = materialize(met.select("token", "salt", "heat", "short", "level", "first"), "shared_probes")
 
@@ -287,7 +302,7 @@ def classified(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFra
 
     def again(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            data = [ngrams(t, words).tobytes() for t in b["text"]]
+            data = [s.tobytes() for s in ngram_sets(b["text"], words)]
             yield {"key": list(map(xxhash.xxh3_128_digest, data)), "grams": data}
 
     sets = materialize(join_bounded(map_batches(texts, again, "key binary, grams binary", 500), wanted.select("key", "cid", "size"), ["key"], "inner", BROADCAST_ROWS).select("cid", "size", "grams"), "opened_sets")
@@ -338,11 +353,11 @@ def representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     @F.pandas_udf("binary")
     def key_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([_keys([ngrams(t, words)])[0][0] for t in texts])
+        return pd.Series(_keys(ngram_sets(texts.tolist(), words))[0])
 
     odd = join_bounded(at, ids(repeated, "doc_id"), ["id"], "left_semi", BROADCAST_IDS).union(at.where("id is null"))
     odd = odd.select("id", "row", key_of(F.col("row.text").cast("string")).alias("key"))
-    unnamed_blank = F.col("id").isNull() & (F.col("key") == F.lit(_keys([ngrams(None, words)])[0][0]))
+    unnamed_blank = F.col("id").isNull() & (F.col("key") == F.lit(_keys(ngram_sets([None], words))[0][0]))
     of_kept = odd.where(~unnamed_blank).join(kept.withColumnRenamed("key", "kept_key"), (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("first_doc")), "left_semi")
     first = of_kept.withColumn("nth", F.row_number().over(Window.partitionBy("id", "key").orderBy("row.text"))).where("nth = 1")
     return plain.union(first.select("row.*")).union(odd.where(unnamed_blank).select("row.*"))

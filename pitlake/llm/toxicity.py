@@ -90,15 +90,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30)
     return beta
 
 
-def _terms(text: str | None) -> Counter:
-    """Words and stems with their occurrences."""
-    words, found = Counter(fold(text).split()), Counter()
-    for w, n in words.items():
-        found[f" {w} "] += n
-        for k in STEMS:
-            if len(w) >= k:
-                found[f" {w[:k]}"] += n
-    return found
+def _terms(text: str | None) -> set[str]:
+    """Words and stems."""
+    words = set(fold(text).split())
+    return {f" {w} " for w in words} | {f" {w[:k]}" for k in STEMS for w in words if len(w) >= k}
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, least_docs: int = 3, least_odds: float = 0.3, z: float = 3.0) -> Lexicon:
@@ -119,15 +114,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, leas
         return Lexicon({}, [], [0.0 if toxic else -10.0, 0.0, 0.0, 0.0])
 
     def emit(batches: Iterator[dict]) -> Iterator[dict]:
-        bad, good = Counter(), Counter()
-        for b in batches:
+        for b in batches:  # sums of few documents at a time: Spark adds them up
+            bad, good = Counter(), Counter()
             for text, y in zip(b["text"], b["toxic"], strict=True):
-                terms = _terms(text)
-                (bad if y > 0 else good).update(terms.keys())
-        keys = list(bad | good)
-        yield {"term": keys, "bad": [bad[t] for t in keys], "good": [good[t] for t in keys]}
+                (bad if y > 0 else good).update(_terms(text))
+            keys = list(bad | good)
+            yield {"term": keys, "bad": [bad[t] for t in keys], "good": [good[t] for t in keys]}
 
-    counted = map_batches(sample, emit, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counted = map_batches(sample, emit, "term string, bad long, good long", TEXT_ROWS).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((F.col("good") + 0.5) / (clean + 1))
     surely = odds - z * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     entries = counted.where(F.col("bad") >= least_docs).withColumn("weight", surely).where(F.col("weight") >= least_odds)
