@@ -18,6 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 _own_dirs: dict[str, str] = {}
 #: Rows of a batch for functions that give whole texts back.
 TEXT_ROWS = 1000
+#: Rows of an Arrow batch, the same for every operator: two batches of texts a task are all that stands outside the heap.
+ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +54,11 @@ def columns(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
 
 
+def _small_batches(df: DataFrame) -> DataFrame:
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df
+
+
 def release() -> None:
     """Give memory that a task no longer uses back: the worker process lives on and serves other operators."""
     gc.collect()
@@ -75,7 +82,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], s
             yield pa.RecordBatch.from_arrays(arrays, schema=out)
         release()
 
-    return df.mapInArrow(run, schema)
+    return _small_batches(df).mapInArrow(run, schema)
 
 
 def map_text(docs: DataFrame, make: Callable[[], Callable[[str | None], str | None | bool]], rows: int = 500) -> DataFrame:
@@ -105,7 +112,7 @@ def map_text(docs: DataFrame, make: Callable[[], Callable[[str | None], str | No
                     yield b
         release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return _small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def is_small(df: DataFrame, rows: int) -> bool:
