@@ -86,6 +86,10 @@ def turnover(rows: DataFrame, keys: list[str]) -> DataFrame:
     return moved.where("delta is not null").groupBy(*keys).agg(F.avg(F.abs("delta")).alias("mean_move"), F.percentile(F.abs("delta"), 0.95).alias("p95_move"), F.avg("changed").alias("band_change_rate"), F.avg(reversal).alias("reversal_rate"))
 
 
+#: The prime that mixing is done by.
+MODULUS = 2147483647
+
+
 def paired(rows: DataFrame, x: str, system: str, against: str) -> DataFrame:
     """``instrument_id, as_of, horizon`` and ``x`` as ``system`` minus ``against``, where both are known."""
     on = ["instrument_id", "as_of", "horizon"]
@@ -94,8 +98,17 @@ def paired(rows: DataFrame, x: str, system: str, against: str) -> DataFrame:
     return both.where("_a is not null and _b is not null").select(*on, (F.col("_a") - F.col("_b")).alias(x))
 
 
+def _mixed(seed: int, *parts: Column) -> Column:
+    """A number under 2**31 - 1 from whole numbers: sums are squared in turn, so that no two parts only shift each other."""
+    out = F.lit(seed).cast("long")
+    for p in parts:
+        out = (out * 48271 + p.cast("long") * 69621 + 1) % MODULUS
+        out = (out * out + 12345) % MODULUS
+    return out
+
+
 def block_bootstrap(rows: DataFrame, keys: list[str], x: str, draws: int, block: int = 4, seed: int = 7) -> DataFrame:
-    """Mean of ``x`` and its 95 % interval by circular blocks within each instrument's series; starts come from a hash of (seed, draw, instrument, block).
+    """Mean of ``x`` and its 95 % interval by circular blocks within each instrument's series; starts come from integer mixing of (seed, draw, instrument, block).
 
     Sums of all blocks are made once from the series, so a draw reads n / block rows, spread over keys, instruments and draws.
     Draw -1 takes each block where it is and so gives the mean itself.
@@ -107,7 +120,7 @@ def block_bootstrap(rows: DataFrame, keys: list[str], x: str, draws: int, block:
     w = series.orderBy("_i")
     sums = wrapped.select(*of, "_i", "_n", F.array(*[F.sum("_x").over(w.rowsBetween(0, k)) for k in range(block)]).alias("_sums")).where("_i < _n").drop("_n")
     blocks = numbered.where(F.col("_i") % block == 0).select(*of, "_n", F.col("_i").alias("_at"), F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))).alias("draw"))
-    start = F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), F.col("instrument_id"), F.col("_at")), F.col("_n")).cast("int")
+    start = _mixed(seed, F.col("draw"), F.col("instrument_id"), F.col("_at")) % F.col("_n")
     picked = blocks.withColumn("_i", F.when(F.col("draw") < 0, F.col("_at")).otherwise(start)).withColumn("_k", F.least(F.lit(block), F.col("_n") - F.col("_at")))
     means = picked.join(sums, [*of, "_i"]).groupBy(*keys, "draw").agg((F.sum(F.element_at("_sums", F.col("_k"))) / F.sum("_k")).alias("_m"))
     drawn = F.when(F.col("draw") >= 0, F.col("_m"))

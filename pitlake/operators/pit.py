@@ -52,9 +52,13 @@ def known_min_future(days: DataFrame, events: DataFrame, on: str, event: str, kn
 
 
 def session_at(days: DataFrame, calendar: DataFrame, day: str) -> DataFrame:
-    """Rows with the calendar's last session at or before ``day``: ``entry`` and its position ``entry_idx``."""
+    """Rows with the calendar's last session at or before ``day``: ``entry`` and its position ``entry_idx``.
+
+    Only the distinct days, of which there are as many as the calendar is long, are aligned and sent to the rows.
+    """
     cal = calendar.select(F.col("d").alias("entry"), F.col("idx").alias("entry_idx"), F.lit(0).alias("_all"))
-    return asof(days.withColumn("_all", F.lit(0)), cal, ["_all"], day, "entry", ["entry", "entry_idx"]).drop("_all")
+    found = asof(days.select(day).distinct().withColumn("_all", F.lit(0)), cal, ["_all"], day, "entry", ["entry", "entry_idx"]).drop("_all")
+    return days.join(F.broadcast(found), day, "left")
 
 
 def session_offset(rows: DataFrame, calendar: DataFrame, k: Column | int, name: str) -> DataFrame:

@@ -55,7 +55,7 @@ query("ev_outcome", "oc", "SELECT instrument_id, as_of, horizon, system, round(a
 query("ev_archive", "pr", "SELECT horizon, system, count(*) AS inserted, count(*) FILTER (year(as_of) = 1995) AS skipped FROM pr GROUP BY 1, 2")(
     lambda t: (lambda p: p.join(p.where("year(as_of) = 1995").select("instrument_id", "as_of", "horizon", "system", F.lit(1).alias("old")), ["instrument_id", "as_of", "horizon", "system"], "left").groupBy("horizon", "system").agg(F.count("*").alias("inserted"), F.count("old").alias("skipped")))(predictions(t))
 )
-query("ev_pending", "pr oc", "SELECT instrument_id, as_of, horizon, system FROM pr ANTI JOIN oc USING (instrument_id, as_of, horizon, system)")(
+query("ev_pending", "pr fwd", "SELECT pr.instrument_id, pr.as_of, pr.horizon, pr.system FROM pr LEFT JOIN fwd f ON f.instrument_id = pr.instrument_id AND f.d = pr.as_of AND f.horizon = pr.horizon WHERE f.fwd IS NULL")(
     lambda t: predictions(t).join(evaluated(t).select("instrument_id", "as_of", "horizon", "system"), ["instrument_id", "as_of", "horizon", "system"], "left_anti").select("instrument_id", "as_of", "horizon", "system")
 )
 query("ev_maturity", "pr oc", "SELECT horizon, count(o.as_of) AS evaluated, count(*) - count(o.as_of) AS pending FROM pr LEFT JOIN oc o USING (instrument_id, as_of, horizon, system) GROUP BY 1")(
@@ -132,10 +132,27 @@ query("wf_promotion", "wr", f"SELECT c.metric, c.horizon, CASE WHEN v IS NULL TH
     .join(ev.accuracy(prepared(t).where("system = 'combined'"), ["horizon"]).unpivot(["horizon"], ["accuracy", "brier"], "metric", "v"), ["metric", "horizon"], "left")
     .select("metric", "horizon", F.when(F.col("v").isNull(), "not measurable").when(((F.col("comparator") == ">=") & (F.col("v") >= F.col("threshold"))) | ((F.col("comparator") == "<=") & (F.col("v") <= F.col("threshold"))), "pass").otherwise("fail").alias("verdict"))
 )
-DRAWS = 100
-CTE["bs0"] = (("wr",), "SELECT horizon, row_number() OVER (PARTITION BY horizon ORDER BY as_of, instrument_id) - 1 AS i, realized_excess AS x FROM wr WHERE system = 'combined'")
-CTE["bs1"] = (("bs0",), "SELECT horizon, count(*) AS n, avg(x) AS point FROM bs0 GROUP BY 1")
-CTE["bs2"] = (("bs1",), f"SELECT horizon, n, point, draw, b, (7 * 7919 + draw * 104729 + b * 1299709 + 12345) * 1103515245 % 2147483648 % n AS s FROM (SELECT *, unnest(range(CAST(ceil(n / 4.0) AS BIGINT))) AS b FROM bs1) CROSS JOIN range({DRAWS}) r(draw)")
-query("wf_block_bootstrap", "bs0 bs2", "SELECT horizon, round(any_value(point), 6) AS point, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS share_positive FROM (SELECT k.horizon, k.point, k.draw, avg(x) AS m FROM (SELECT *, (s + j) % n AS i FROM bs2 CROSS JOIN range(4) q(j) WHERE b * 4 + j < n) k JOIN bs0 USING (horizon, i) GROUP BY 1, 2, 3) GROUP BY 1")(
+DRAWS = 1000
+
+
+def mixed_sql(seed: str, *parts: str) -> str:
+    """The SQL of the mixing that the bootstrap does, in steps of one subquery column each."""
+    out = seed
+    for p in parts:
+        step = f"((({out}) * 48271 + ({p})::BIGINT * 69621 + 1) % {ev.MODULUS})"
+        out = f"(list_transform([{step}], lambda v: (v * v + 12345) % {ev.MODULUS})[1])"
+    return out
+
+
+CTE["bs0"] = (
+    ("wr",),
+    "SELECT horizon, instrument_id, row_number() OVER (PARTITION BY horizon, instrument_id ORDER BY as_of) - 1 AS i, count(*) OVER (PARTITION BY horizon, instrument_id) AS n, x FROM (SELECT instrument_id, as_of, horizon, max(hit) FILTER (system = 'combined') - max(hit) FILTER (system = 'baseline') AS x FROM wr GROUP BY 1, 2, 3) WHERE x IS NOT NULL",
+)
+CTE["bs1"] = (("bs0",), f"SELECT horizon, instrument_id, n, i AS place, draw, {mixed_sql('7::BIGINT', 'draw', 'instrument_id', 'i')} % n AS s FROM bs0 CROSS JOIN range({DRAWS}) r(draw) WHERE i % 4 = 0")
+CTE["bs2"] = (("bs0", "bs1"), "SELECT k.horizon, k.draw, avg(x) AS m FROM (SELECT *, (s + j) % n AS i FROM bs1 CROSS JOIN range(4) q(j) WHERE place + j < n) k JOIN bs0 b ON b.horizon = k.horizon AND b.instrument_id = k.instrument_id AND b.i = k.i GROUP BY 1, 2")
+query(
+    "wf_block_bootstrap", "bs0 bs2",
+    "SELECT horizon, round(any_value(point), 6) AS point, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(CASE WHEN m > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_positive FROM bs2 JOIN (SELECT horizon, avg(x) AS point FROM bs0 GROUP BY 1) USING (horizon) GROUP BY 1",
+)(
     lambda t: neat(ev.block_bootstrap(ev.paired(prepared(t), "hit", "combined", "baseline"), ["horizon"], "hit", 1000), "point", "low", "high", "share_positive")
 )

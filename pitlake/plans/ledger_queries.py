@@ -64,10 +64,6 @@ query("pf_weights", "held", "SELECT instrument_id, sector_id, round(value, 2) AS
 )
 CTE["panel0"] = (("px", "held"), "SELECT instrument_id, d, adj / lag(adj) OVER (PARTITION BY instrument_id ORDER BY d) - 1 AS r FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY d DESC) AS n FROM px WHERE instrument_id IN (SELECT instrument_id FROM held)) WHERE n <= 253")
 CTE["panel"] = (("panel0", "held"), "SELECT * FROM panel0 WHERE r IS NOT NULL AND d IN (SELECT d FROM panel0 WHERE r IS NOT NULL GROUP BY d HAVING count(*) = (SELECT count(*) FROM held))")
-CTE["few"] = (("held",), "SELECT * FROM held ORDER BY value DESC, instrument_id LIMIT 4")
-for _n in ("panel0", "panel"):
-    CTE[_n] = (tuple("few" if x == "held" else x for x in CTE[_n][0]), CTE[_n][1].replace("held", "few"))
-
 
 def panel(t: Tables) -> DataFrame:
     if "panel" not in t.__dict__:
@@ -80,9 +76,9 @@ def covariance(t: Tables) -> DataFrame:
 
 
 query("pf_return_panel", "panel", "SELECT instrument_id, d, round(r, 6) AS r FROM panel")(lambda t: panel(t).select("instrument_id", "d", F.round("r", 6).alias("r")))
-CTE["cov"] = (("panel",), "SELECT a.instrument_id AS i1, b.instrument_id AS i2, covar_samp(a.r, b.r) AS cov, corr(a.r, b.r) AS corr FROM panel a JOIN panel b USING (d) GROUP BY 1, 2")
+CTE["cov"] = (("panel", "held"), "SELECT h.instrument_id AS i1, k.instrument_id AS i2, cov, corr FROM held h CROSS JOIN held k LEFT JOIN (SELECT a.instrument_id AS i1, b.instrument_id AS i2, covar_samp(a.r, b.r) AS cov, corr(a.r, b.r) AS corr FROM panel a JOIN panel b USING (d) GROUP BY 1, 2 HAVING count(*) >= 60) c ON c.i1 = h.instrument_id AND c.i2 = k.instrument_id")
 query("pf_covariance", "cov", "SELECT i1, i2, round(cov, 6) AS cov, round(corr, 6) AS corr FROM cov")(lambda t: neat(covariance(t), "cov", "corr"))
-CTE["fw"] = (("few",), "SELECT instrument_id, value / sum(value) OVER () AS weight FROM few")
+CTE["fw"] = (("held",), "SELECT instrument_id, weight FROM held")
 CTE["sig"] = (("cov", "fw"), "SELECT i1, a.weight AS w, sum(b.weight * cov) AS sw, sum(CASE WHEN i1 = i2 THEN cov END) AS var FROM cov JOIN fw a ON a.instrument_id = i1 JOIN fw b ON b.instrument_id = i2 GROUP BY 1, 2")
 CTE["risk"] = (
     ("sig",),
@@ -93,21 +89,21 @@ for _key, _cols in (("pf_volatility", ("own_vol", "portfolio_vol")), ("pf_risk_c
 CTE["dd"] = (("px",), "SELECT instrument_id, d, adj / max(adj) OVER (PARTITION BY instrument_id ORDER BY d) - 1 AS dd FROM px")
 query("pf_drawdown", "dd", "SELECT instrument_id, round(arg_max(dd, d), 6) AS current, round(min(dd), 6) AS deepest FROM dd GROUP BY 1")(lambda t: neat(lg.drawdowns(t.px), "current", "deepest"))
 CTE["idx"] = (("panel", "fw"), "SELECT d, exp(sum(ln(1 + r)) OVER (ORDER BY d)) AS v FROM (SELECT d, sum(weight * r) AS r FROM panel JOIN fw USING (instrument_id) GROUP BY 1)")
-CTE["worst"] = (("idx",), "SELECT d AS trough, top_d AS peak, v / top - 1 AS dd FROM (SELECT d, v, max(v) OVER (ORDER BY d) AS top, arg_max(d, v) OVER (ORDER BY d) AS top_d FROM idx) ORDER BY v / top, d LIMIT 1")
+CTE["worst"] = (("idx",), "SELECT d AS trough, top_d AS peak, v / top - 1 AS dd FROM (SELECT d, v, max(v) OVER (ORDER BY d) AS top, arg_max(d, v) OVER (ORDER BY d) AS top_d FROM idx) WHERE (SELECT count(*) FROM idx) >= 60 ORDER BY v / top, d LIMIT 1")
 
 
 def worst_window(t: Tables) -> DataFrame:
     return lg.worst_window(panel(t), held(t))
 
 
-query("pf_worst_window", "panel worst", "SELECT instrument_id, peak, trough, round(dd, 6) AS dd, round(exp(sum(ln(1 + r))) - 1, 6) AS contribution FROM panel CROSS JOIN worst WHERE d > peak AND d <= trough GROUP BY 1, 2, 3, 4")(lambda t: neat(worst_window(t), "dd", "contribution"))
-query("pf_correlation_flags", "cov", "SELECT i1, i2, round(corr, 6) AS corr, CAST(n AS INTEGER) AS n, corr >= 0.75 AS flagged FROM (SELECT *, row_number() OVER (PARTITION BY i1 ORDER BY corr DESC, i2) AS n FROM cov WHERE i1 <> i2) WHERE n <= 3")(
+query("pf_worst_window", "held panel worst", "SELECT instrument_id, peak, trough, round(dd, 6) AS dd, round(contribution, 6) AS contribution FROM held LEFT JOIN (SELECT instrument_id, peak, trough, dd, exp(sum(ln(1 + r))) - 1 AS contribution FROM panel CROSS JOIN worst WHERE d > peak AND d <= trough GROUP BY 1, 2, 3, 4) USING (instrument_id)")(lambda t: neat(worst_window(t), "dd", "contribution"))
+query("pf_correlation_flags", "cov", "SELECT i1, i2, round(corr, 6) AS corr, CAST(n AS INTEGER) AS n, corr >= 0.75 AS flagged FROM (SELECT *, row_number() OVER (PARTITION BY i1 ORDER BY corr DESC, i2) AS n FROM cov WHERE i1 <> i2 AND corr IS NOT NULL) WHERE n <= 3 OR corr >= 0.75")(
     lambda t: covariance(t).where("i1 <> i2 and corr is not null").withColumn("n", F.row_number().over(Window.partitionBy("i1").orderBy(F.desc("corr"), "i2"))).where("n <= 3 or corr >= 0.75").select("i1", "i2", F.round("corr", 6).alias("corr"), "n", (F.col("corr") >= 0.75).alias("flagged"))
 )
-query("pf_concentration_flags", "held", "SELECT 'position' AS kind, instrument_id AS id, round(weight, 8) AS weight FROM held WHERE weight > 0.10 UNION ALL SELECT 'sector', sector_id, round(sum(weight), 8) FROM held GROUP BY 2 HAVING sum(weight) > 0.20")(
+query("pf_concentration_flags", "held", "SELECT 'position' AS kind, instrument_id AS id, round(weight, 8) AS weight FROM held WHERE weight > 0.15 UNION ALL SELECT 'sector', sector_id, round(sum(weight), 8) FROM held GROUP BY 2 HAVING sum(weight) > 0.35")(
     lambda t: (lambda h: h.where("weight > 0.15").select(F.lit("position").alias("kind"), F.col("instrument_id").alias("id"), F.round("weight", 8).alias("weight")).union(h.groupBy("sector_id").agg(F.sum("weight").alias("w")).where("w > 0.35").select(F.lit("sector"), "sector_id", F.round("w", 8))))(held(t))
 )
-query("pf_risk_notes", "risk fw dd", "SELECT instrument_id, 'diversifier' AS note FROM risk WHERE diversification > 0 UNION ALL SELECT instrument_id, 'risk over weight' FROM risk JOIN fw USING (instrument_id) WHERE risk_share > 1.2 * weight UNION ALL SELECT instrument_id, 'drawdown' FROM (SELECT instrument_id, min(dd) AS m FROM dd GROUP BY 1) JOIN fw USING (instrument_id) WHERE m < -0.25")(
+query("pf_risk_notes", "risk fw dd", "SELECT instrument_id, 'diversifier' AS note FROM risk WHERE diversification > 0 UNION ALL SELECT instrument_id, 'risk over weight' FROM risk JOIN fw USING (instrument_id) WHERE risk_share > 1.5 * weight UNION ALL SELECT instrument_id, 'drawdown' FROM (SELECT instrument_id, min(dd) AS m FROM dd GROUP BY 1) JOIN fw USING (instrument_id) WHERE m < -0.25")(
     lambda t: (lambda r, f, d: r.where("diversification > 0").select("instrument_id", F.lit("diversifier").alias("note")).union(r.join(f, "instrument_id").where("risk_share > 1.5 * weight").select("instrument_id", F.lit("risk over weight"))).union(d.join(f, "instrument_id").where("deepest < -0.25").select("instrument_id", F.lit("drawdown"))))(
         lg.risk(covariance(t), held(t)), held(t).select("instrument_id", "weight"), lg.drawdowns(t.px)
     )

@@ -29,7 +29,7 @@ query("src_earnings", "", "SELECT user_id, day, tod FROM (SELECT user_id, CAST(t
 query("src_universe", "inst", "SELECT instrument_id, symbol, r_name AS sector FROM inst LEFT JOIN region ON r_regionkey = sector_id")(
     lambda t: t.inst.join(F.broadcast(t.table("region").select(F.col("r_regionkey").cast("long").alias("sector_id"), F.col("r_name").alias("sector"))), "sector_id", "left").select("instrument_id", "symbol", "sector")
 )
-query("src_calendar", "cal", "SELECT event_id, c.d AS last_session FROM (SELECT event_id, CAST(ts - INTERVAL 9000 DAY - INTERVAL 17 HOUR AS DATE) AS cutoff FROM events WHERE event_id % 5 = 0) e ASOF LEFT JOIN cal c ON e.cutoff >= c.d")(
+query("src_calendar", "cal", "SELECT event_id, c.d AS last_session FROM (SELECT event_id, CAST(ts - INTERVAL 9000 DAY - INTERVAL 17 HOUR AS DATE) AS cutoff FROM events) e ASOF LEFT JOIN cal c ON e.cutoff >= c.d")(
     lambda t: pit.session_at(t.table("events").select("event_id", F.to_date(F.expr("ts - interval 9000 days - interval 17 hours")).alias("cutoff")), t.cal, "cutoff").select("event_id", F.col("entry").alias("last_session"))
 )
 query("src_macro_asof", "mo ms", "SELECT code, count(*) AS known, max(obs_date) AS last_obs FROM mo JOIN ms USING (code, frequency) WHERE obs_date + lag_days <= DATE '1996-06-30' GROUP BY 1")(
