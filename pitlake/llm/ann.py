@@ -90,11 +90,14 @@ def search(vectors: DataFrame, is_query: str, k: int = 10, sample_rows: int = SA
 
     Candidates are all other ids; ties go to the smaller id, rows that repeat an id count once. A radius that
     yields fewer than ``least_codes`` codes in a block grows until it does or the block has no more, so a query
-    with few candidates gets them all. Vectors of another length than most of the sample take no part.
+    with few candidates gets them all. Vectors of another length than most of the sample cannot be compared and take no
+    part; null, zero and non-finite ones neither. An empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
+    total = rows.count()
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(min(1 << 30, 2 * sample_rows * (1 << 30) // max(1, total))))  # about twice the sample, whatever the table
+    sample = drawn.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
     schema = "query_id long, vec_id long, score double"
     if sample.empty:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -120,6 +120,27 @@ def test_page_text(spark):
     assert {r.page_id: r.text for r in queries.op2_site_style_tree(spark, SF).collect()} == want
 
 
+def test_page_text_without_telling_marks(spark):
+    """The tree decides: a name that only resembles noise stays, unnamed menus, notices and short boxes go."""
+    attribute = "x" * 4500 + ">"
+    odd = f"""<article><h1>Title</h1><p class="share-price">Prices rose a lot</p><div class="legal-news">The court ruled</div><p data-x="{attribute}y">hello</p><div class="share">tweet</div></article>"""
+    got = html_extract.extract(spark.createDataFrame([(1, "http://a.example/", odd)], "page_id long, url string, html string")).first()
+    assert got.text == "Title Prices rose a lot The court ruled hello"
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    bare, want = [], {}
+    for r in pages:  # no article, nav, footer, class or id left
+        body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        bare.append((r.page_id, r.url, re.sub(r' (class|id)="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer|aside|header|form|main|section)\b[^>]*>", r"<\1div>", r.html))))
+        want[r.page_id] = set(re.sub(r"<[^>]*>", " ", body).replace("&amp;", "&").split())
+    found = {r.page_id: set(r.text.split()) for r in html_extract.extract(spark.createDataFrame(bare, "page_id long, url string, html string")).collect()}
+    share = [len(found[i] & w) / max(1, len(found[i] | w)) for i, w in want.items()]
+    assert np.mean([s > 0.9 for s in share]) > 0.75  # 0.82 here; where a page's text is short, its boxes are as long
+    many = [(i, "http://s.example/", f"<div><p>words of page {i} that differ</p><div><p>same box everywhere</p></div></div>") for i in range(20)]
+    for rows in (100_000, 0):
+        out = html_extract.extract(spark.createDataFrame(many, "page_id long, url string, html string"), broadcast_rows=rows).collect()
+        assert {r.text for r in out} == {f"words of page {i} that differ" for i in range(20)}
+
+
 def brute_base(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
