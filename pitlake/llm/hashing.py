@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words that a worker keeps with their hashes before it starts anew.
-CACHE = 200_000
+CACHE = 60_000
 C1, C2, C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 S = np.uint64(31)
 

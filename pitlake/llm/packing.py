@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pitlake.llm.common import columns, map_batches, materialize
 
 #: Words that a worker keeps with their ids before it starts anew.
-CACHE = 1_200_000
+CACHE = 400_000
 #: Documents that are split into words at a time.
 DOCS = 256
 #: Fixed value: signs that may close a word of letters (none of them begins a contraction or a special token).
