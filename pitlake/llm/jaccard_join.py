@@ -30,7 +30,7 @@ from pitlake.llm.common import columns, connected_components, join_bounded, map_
 from pitlake.llm.hashing import C1, mix, word_hashes, words_of
 
 #: Classes and n-grams that a block aims at, and queries that meet it in one task.
-GROUP_CLASSES, GROUP_NGRAMS, TASK_QUERIES = 512, 400_000, 2048
+GROUP_CLASSES, GROUP_NGRAMS, TASK_QUERIES = 512, 400_000, 512
 #: Counters of the sketch (one byte each when sent to the tasks), and the ranges in which they are summed.
 SKETCH_BITS, RANGE_BITS = 22, 6
 #: Doublings of its count from which an n-gram's rows are dealt to several tasks.
