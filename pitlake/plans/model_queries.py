@@ -1,6 +1,6 @@
 """Queries of the regime models: active regimes per date, their evidence as known then, scores, verdicts and sections.
 
-The grid is the first session of each quarter. Features without a source in the panel (forward P/E, policy rate, payrolls, retail
+The grid is the first session of each quarter, for the earnings model alone that of each month (its regimes last 14 days). Features without a source in the panel (forward P/E, policy rate, payrolls, retail
 sales, output, housing, sentiment) have no rows, so rules that need them are never active. Evidence of a regime at a date pools
 all instruments and earlier dates whose outcome was complete by then.
 """
@@ -69,12 +69,16 @@ def quarters(t: Tables) -> DataFrame:
     return t.cal.groupBy(F.trunc("d", "quarter").alias("q")).agg(F.min("d").alias("as_of")).select("as_of")
 
 
-def active(t: Tables, *models: str) -> DataFrame:
+def months(t: Tables) -> DataFrame:
+    return t.cal.groupBy(F.trunc("d", "month").alias("m")).agg(F.min("d").alias("as_of")).select("as_of")
+
+
+def active(t: Tables, *models: str, dates: DataFrame | None = None) -> DataFrame:
     """(instrument, as_of, model, family, label); market states have the same rows for every instrument."""
     rows = gr.rules(*models)
     table = t.spark.createDataFrame(rows, gr.SCHEMA)
     names = {r[5] for r in rows}
-    grid = quarters(t)
+    grid = quarters(t) if dates is None else dates
     keys = ["instrument_id", "as_of"]
     market = gr.state(market_features(t), grid, [], DECILES)
     if models == ("macro",):
@@ -129,10 +133,10 @@ CTE["mktf"] = (
 CTE["quarters"] = (("cal",), "SELECT min(d) AS as_of FROM cal GROUP BY date_trunc('quarter', d)")
 _lit = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
 CTE["rules"] = ((), "SELECT model, family, priority, label, k, feature, op, q::DOUBLE AS q, lim::DOUBLE AS lim FROM (VALUES " + ", ".join(f"({', '.join(_lit(x) for x in r)})" for r in gr.rules(*MODELS)) + ") t(model, family, priority, label, k, feature, op, q, lim)")
-_state = "SELECT {k}as_of, feature, arg_max(value, d) AS value, CASE WHEN count(value) >= 252 THEN quantile_cont(value, {q}) END AS q FROM {n} JOIN quarters ON d <= as_of WHERE value IS NOT NULL AND feature IN (SELECT feature FROM rules) GROUP BY ALL"
-CTE["ownst"] = (("ownf", "quarters", "rules"), _state.format(k="instrument_id, ", n="ownf", q=DECILES))
-CTE["sectst"] = (("sectf", "quarters", "rules"), _state.format(k="sector_id, ", n="sectf", q=DECILES))
-CTE["mktst"] = (("mktf", "quarters", "rules"), _state.format(k="", n="mktf", q=DECILES))
+_state = "SELECT {k}as_of, feature, arg_max(value, d) AS value, CASE WHEN count(value) >= 252 THEN quantile_cont(value, {q}) END AS q FROM {n} JOIN {g} ON d <= as_of WHERE value IS NOT NULL AND feature IN (SELECT feature FROM rules{w}) GROUP BY ALL"
+for _end, _grid, _where in (("", "quarters", ""), ("m", "months", " WHERE model = 'earnings'")):
+    for _name, _from, _keys in (("ownst", "ownf", "instrument_id, "), ("sectst", "sectf", "sector_id, "), ("mktst", "mktf", "")):
+        CTE[_name + _end] = ((_from, _grid, "rules"), _state.format(k=_keys, n=_from, q=DECILES, g=_grid, w=_where))
 _cond = "CASE op WHEN '>=' THEN value >= x WHEN '<=' THEN value <= x WHEN '>' THEN value > x WHEN '<' THEN value < x ELSE value = x END"
 
 
@@ -145,15 +149,19 @@ def _active(states: str, keys: str) -> str:
 
 
 CTE["mktact"] = (("mktst", "rules"), _active("SELECT * FROM mktst", "as_of"))
-CTE["ract0"] = (
-    ("ownst", "sectst", "mktst", "rules", "inst"),
-    _active("SELECT * FROM ownst UNION ALL SELECT instrument_id, as_of, feature, value, q FROM sectst JOIN inst USING (sector_id) SEMI JOIN ownst USING (instrument_id, as_of) UNION ALL SELECT instrument_id, as_of, feature, value, q FROM (SELECT DISTINCT instrument_id, as_of FROM ownst) JOIN mktst USING (as_of)", "instrument_id, as_of"),
-)
-CTE["ract"] = (("ract0", "inst"), "SELECT instrument_id, as_of, model, family, replace(label, '{etf}', 'sector ' || coalesce(CAST(sector_id AS VARCHAR), '?')) AS label FROM ract0 LEFT JOIN inst USING (instrument_id)")
+for _end in ("", "m"):
+    _own, _sect, _mkt = f"ownst{_end}", f"sectst{_end}", f"mktst{_end}"
+    CTE[f"ract0{_end}"] = (
+        (_own, _sect, _mkt, "rules", "inst"),
+        _active(f"SELECT * FROM {_own} UNION ALL SELECT instrument_id, as_of, feature, value, q FROM {_sect} JOIN inst USING (sector_id) SEMI JOIN {_own} USING (instrument_id, as_of) UNION ALL SELECT instrument_id, as_of, feature, value, q FROM (SELECT DISTINCT instrument_id, as_of FROM {_own}) JOIN {_mkt} USING (as_of)", "instrument_id, as_of"),
+    )
+    CTE[f"ract{_end}"] = ((f"ract0{_end}", "inst"), f"SELECT instrument_id, as_of, model, family, replace(label, '{{etf}}', 'sector ' || coalesce(CAST(sector_id AS VARCHAR), '?')) AS label FROM ract0{_end} LEFT JOIN inst USING (instrument_id)")
 
 for _m in MODELS:
     if _m == "macro":
         query("mod_macro", "mktact", "SELECT as_of, family, label FROM mktact WHERE model = 'macro'")(lambda t: active(t, "macro").select("as_of", "family", "label"))
+    elif _m == "earnings":
+        query("mod_earnings", "ractm", "SELECT instrument_id, as_of, family, label FROM ractm WHERE model = 'earnings'")(lambda t: active(t, "earnings", dates=months(t)).select("instrument_id", "as_of", "family", "label"))
     else:
         query(f"mod_{_m}", "ract", f"SELECT instrument_id, as_of, family, label FROM ract WHERE model = '{_m}'")(lambda t, m=_m: active(t, m).select("instrument_id", "as_of", "family", "label"))
 

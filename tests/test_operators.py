@@ -190,3 +190,39 @@ def test_bootstrap_of_the_paired_difference(spark):
 def test_calendar_covers_all_events(spark):
     got = __spark_entry__.queries()["src_calendar"](spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/events.parquet").count() > 0
+
+
+def test_regime_grammar(spark):
+    """The first rule whose conditions all hold wins; a missing value, or a quantile of under 252 rows, makes it inactive."""
+    from pitlake.operators import grammar as gr
+
+    assert {m: len(t.strip().splitlines()) for m, t in gr.TEXTS.items()} == {"sector": 52, "momentum": 23, "valuation": 22, "earnings": 21, "macro": 35, "relative": 22}
+    day = dt.date(2020, 1, 1)
+    rows = [(1, day + dt.timedelta(days=i), "x", float(i)) for i in range(300)] + [(2, day + dt.timedelta(days=i), "x", float(i)) for i in range(100)] + [(1, day, "y", 1.0)]
+    history = spark.createDataFrame(rows, "k int, d date, feature string, value double")
+    grid = spark.createDataFrame([(day + dt.timedelta(days=400),)], "as_of date")
+    states = gr.state(history, grid, ["k"], [0.2, 0.8])
+    table = spark.createDataFrame(
+        [
+            ("m", "f", 0, "both", 2, "x", ">=", 0.8, None), ("m", "f", 0, "both", 2, "gone", ">", None, 0.0),
+            ("m", "f", 1, "high", 1, "x", ">=", 0.8, None), ("m", "f", 2, "any", 1, "x", ">=", None, 0.0), ("m", "g", 3, "low", 1, "x", "<=", 0.2, None),
+        ],
+        gr.SCHEMA,
+    )
+    got = {(r.k, r.family): r.label for r in gr.active(states, table, ["k", "as_of"], [0.2, 0.8]).collect()}
+    assert got == {(1, "f"): "high", (2, "f"): "any"}
+
+
+def test_known_evidence_and_verdict(spark):
+    """Outcomes count from the day they are complete; verdicts follow label and sign."""
+    from pyspark.sql import functions as F
+
+    from pitlake.operators import grammar as gr
+
+    a, b = dt.date(2020, 1, 1), dt.date(2020, 2, 1)
+    rows = spark.createDataFrame([("m", a, 0.1), ("m", b, 0.3), ("m", b, 0.2), ("m", b, None)], "mark string, exit_day date, fwd double")
+    got = {r.exit_day: (r.n, round(r.s, 6)) for r in gr.known_evidence(rows, ["mark"]).collect()}
+    assert got == {a: (1, 0.1), b: (3, 0.6)}
+    cases = spark.createDataFrame([("cheap, weak growth", -0.1), ("expensive, strong margins", 0.1), ("trailing P/E ≥ p90", -0.1), ("multiple expansion", 0.1)], "label string, effect double")
+    words = [r[0] for r in cases.select(gr.verdict(F.col("label"), F.col("effect"))).collect()]
+    assert words == ["Cheap because fundamentals are deteriorating (value-trap history)", "Expensive but historically justified by quality", "Expensive and historically vulnerable", "Historically favorable setup"]
