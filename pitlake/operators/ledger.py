@@ -9,6 +9,8 @@ from pitlake.operators import pit
 
 BUYS, SELLS = ("buy", "transfer_in", "opening_balance"), ("sell", "transfer_out")
 LONG_DAYS = 365
+#: Places on the quantity axis stay exact; at 38 digits a difference would lose decimals.
+AXIS = "decimal(30,8)"
 #: Shared dates that covariances and the worst window need.
 MIN_OVERLAP = 60
 
@@ -18,48 +20,52 @@ def running(quantity: Column):
     return F.sum(quantity).over(w)
 
 
+def placed(tx: DataFrame) -> DataFrame:
+    """Transactions with the quantity bought and sold up to each, ``_b`` and ``_s``: one sort per instrument."""
+    bought, sold = F.when(F.col("txn_type").isin(*BUYS), F.col("quantity")).otherwise(0), F.when(F.col("txn_type").isin(*SELLS), F.col("quantity")).otherwise(0)
+    return tx.withColumns({"_b": running(bought).cast(AXIS), "_s": running(sold).cast(AXIS)})
+
+
+def _short() -> Column:
+    return F.col("txn_type").isin(*SELLS) & (F.col("_s") > F.col("_b"))
+
+
 def oversells(tx: DataFrame) -> DataFrame:
     """Disposals that exceed what is held at that moment, in order of date and id."""
-    bought, sold = F.when(F.col("txn_type").isin(*BUYS), F.col("quantity")).otherwise(0), F.when(F.col("txn_type").isin(*SELLS), F.col("quantity")).otherwise(0)
-    held = tx.withColumn("_b", running(bought)).withColumn("_s", running(sold))
-    return held.where(F.col("txn_type").isin(*SELLS) & (F.col("_s") > F.col("_b"))).select("instrument_id", "txn_id", "trade_date", (F.col("_s") - F.col("_b")).cast("double").alias("short"))
+    return placed(tx).where(_short()).select("instrument_id", "txn_id", "trade_date", (F.col("_s") - F.col("_b")).cast("double").alias("short"))
 
 
 def covered(tx: DataFrame) -> DataFrame:
-    """Transactions of instruments without an oversell."""
-    return tx.join(oversells(tx).select("instrument_id").distinct(), "instrument_id", "left_anti")
+    """Transactions of instruments without an oversell, with their places; no join, as the flag has the windows' key."""
+    return placed(tx).withColumn("_bad", F.bool_or(_short()).over(Window.partitionBy("instrument_id"))).where("not _bad").drop("_bad")
+
+
+def _basis() -> Column:
+    return F.bround(F.abs("total_amount").cast("double") / F.col("quantity").cast("double"), 6)
 
 
 def lots(tx: DataFrame) -> DataFrame:
     """Acquisitions with their place [c0, c1) in the instrument's bought quantity and their basis per share (6 places, half to even)."""
-    buys = tx.where(F.col("txn_type").isin(*BUYS))
-    basis = F.bround((F.abs("total_amount").cast("double") / F.col("quantity").cast("double")), 6)
-    c1 = running(F.col("quantity"))
-    return buys.select("instrument_id", F.col("txn_id").alias("lot_id"), F.col("trade_date").alias("acquired"), F.col("quantity").cast("double").alias("quantity"), basis.alias("basis"), (c1 - F.col("quantity")).cast("double").alias("c0"), c1.cast("double").alias("c1"))
+    rows = tx if "_b" in tx.columns else placed(tx)
+    return rows.where(F.col("txn_type").isin(*BUYS)).select("instrument_id", F.col("txn_id").alias("lot_id"), F.col("trade_date").alias("acquired"), F.col("quantity").cast("double").alias("quantity"), _basis().alias("basis"), (F.col("_b") - F.col("quantity")).cast(AXIS).alias("c0"), F.col("_b").alias("c1"))
 
 
 def closures(tx: DataFrame) -> DataFrame:
     """Disposals matched to lots, oldest first, for instruments without an oversell.
 
-    Buys and sells both tile the quantity axis, so cutting it at all ends of both gives pieces that belong to one
-    lot and one disposal: a sort per instrument instead of a join of all lots with all disposals.
+    Buys and sells both tile the quantity axis, so cutting it at the starts of both gives pieces that belong to one
+    lot and one disposal: two sorts per instrument in one pass over the transactions, instead of a join of all lots
+    with all disposals. Transactions of no quantity match nothing.
     """
-    ok = covered(tx)
-    own = lots(ok)
-    s1 = running(F.col("quantity"))
-    sells = ok.where(F.col("txn_type").isin(*SELLS)).select(
-        "instrument_id", F.col("txn_id").alias("sell_id"), "trade_date", F.col("quantity").cast("double").alias("sold"), F.col("total_amount").cast("double").alias("amount"), (s1 - F.col("quantity")).cast("double").alias("s0"), s1.cast("double").alias("s1")
-    )
-    lot, sell = F.struct("lot_id", "acquired", "basis", "c1"), F.struct("sell_id", "trade_date", "sold", "amount", "s1")
-    no_lot, no_sell = F.lit(None).cast(own.select(lot.alias("x")).schema["x"].dataType), F.lit(None).cast(sells.select(sell.alias("x")).schema["x"].dataType)
-    cuts = own.select("instrument_id", F.col("c0").alias("p"), lot.alias("lot"), no_sell.alias("sell")).unionByName(sells.select("instrument_id", F.col("s0").alias("p"), no_lot.alias("lot"), sell.alias("sell")))
-    ends = own.groupBy("instrument_id").agg(F.max("c1").alias("p")).union(sells.groupBy("instrument_id").agg(F.max("s1").alias("p")))
-    cuts = cuts.unionByName(ends.select("instrument_id", "p", no_lot.alias("lot"), no_sell.alias("sell")))
-    cuts = cuts.groupBy("instrument_id", "p").agg(F.max("lot").alias("lot"), F.max("sell").alias("sell"))
-    w = Window.partitionBy("instrument_id").orderBy("p")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    pieces = cuts.select("instrument_id", "p", F.lead("p").over(w).alias("next"), F.last("lot", True).over(upto).alias("lot"), F.last("sell", True).over(upto).alias("sell"))
-    matched = pieces.where("lot is not null and sell is not null and next is not null and p < lot.c1 and p < sell.s1").withColumn("quantity", F.col("next") - F.col("p"))
+    buy, sell = F.col("txn_type").isin(*BUYS), F.col("txn_type").isin(*SELLS)
+    cuts = covered(tx).where((buy | sell) & (F.col("quantity") > 0)).select(
+        "instrument_id", (F.when(buy, F.col("_b")).otherwise(F.col("_s")) - F.col("quantity")).cast(AXIS).alias("p"),
+        F.when(buy, F.struct(F.col("txn_id").alias("lot_id"), F.col("trade_date").alias("acquired"), _basis().alias("basis"), F.col("_b").alias("c1"))).alias("lot"),
+        F.when(sell, F.struct(F.col("txn_id").alias("sell_id"), "trade_date", F.col("quantity").cast("double").alias("sold"), F.col("total_amount").cast("double").alias("amount"), F.col("_s").alias("s1"))).alias("sell"),
+    )
+    w = Window.partitionBy("instrument_id").orderBy("p")  # its frame takes in all cuts at one place
+    pieces = cuts.select("instrument_id", "p", F.lead("p").over(w).alias("next"), F.last("lot", True).over(w).alias("lot"), F.last("sell", True).over(w).alias("sell")).where("lot is not null and sell is not null")
+    matched = pieces.withColumn("quantity", (F.least("next", "lot.c1", "sell.s1") - F.col("p")).cast("double")).where("quantity > 0")
     proceeds, cost = F.col("sell.amount") * F.col("quantity") / F.col("sell.sold"), F.col("lot.basis") * F.col("quantity")
     days = F.datediff("sell.trade_date", "lot.acquired")
     return matched.select("instrument_id", "lot.lot_id", "sell.sell_id", F.col("sell.trade_date").alias("closed"), "quantity", proceeds.alias("proceeds"), cost.alias("cost"), (proceeds - cost).alias("gain"), days.alias("days"), (days > LONG_DAYS).alias("long_term"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitlake.operators import ledger as lg
 from pitlake.plans.registry import CTE, Tables, query
 from pitlake.plans.research_queries import neat
+from pitlake.sources import sinks
 
 RUN = "OVER (PARTITION BY instrument_id ORDER BY trade_date, txn_id ROWS UNBOUNDED PRECEDING)"
 IS_BUY, IS_SELL = "txn_type IN ('buy', 'transfer_in', 'opening_balance')", "txn_type IN ('sell', 'transfer_out')"
@@ -22,7 +23,7 @@ CTE["sells"] = (("okt",), f"SELECT instrument_id, txn_id AS sell_id, trade_date,
 CTE["clo"] = (("lots", "sells"), "SELECT l.instrument_id, lot_id, sell_id, trade_date AS closed, least(c1, s1) - greatest(c0, s0) AS quantity, amount * (least(c1, s1) - greatest(c0, s0)) / sold AS proceeds, basis * (least(c1, s1) - greatest(c0, s0)) AS cost, acquired FROM lots l JOIN sells s ON l.instrument_id = s.instrument_id AND c0 < s1 AND s0 < c1")
 
 query("led_oversell", "over", "SELECT * FROM over")(lambda t: lg.oversells(t.tx))
-query("led_fifo_lots", "tx", f"SELECT instrument_id, lot_id, acquired, quantity, basis, c0, c1 FROM ({LOTS.format('tx')})")(lambda t: lg.lots(t.tx))
+query("led_fifo_lots", "tx", f"SELECT instrument_id, lot_id, acquired, quantity, basis, c0, c1 FROM ({LOTS.format('tx')})")(lambda t: lg.lots(t.tx).withColumns({c: F.col(c).cast("double") for c in ("c0", "c1")}))
 query("led_fifo_closures", "clo", "SELECT instrument_id, lot_id, sell_id, closed, round(quantity, 6) AS quantity, round(proceeds, 7) AS proceeds, round(cost, 7) AS cost, round(proceeds - cost, 7) AS gain, CAST(closed - acquired AS INTEGER) AS days, closed - acquired > 365 AS long_term FROM clo")(
     lambda t: (lambda c: c.select("instrument_id", "lot_id", "sell_id", "closed", F.round("quantity", 6).alias("quantity"), *[F.round(x, 7).alias(x) for x in ("proceeds", "cost", "gain")], "days", "long_term"))(lg.closures(t.tx))
 )
@@ -108,6 +109,12 @@ query("pf_risk_notes", "risk fw dd", "SELECT instrument_id, 'diversifier' AS not
         lg.risk(covariance(t), held(t)), held(t).select("instrument_id", "weight"), lg.drawdowns(t.px)
     )
 )
-query("led_rebuild_idempotent", "snap", "SELECT count(*) AS rows, 0 AS changed FROM snap")(
-    lambda t: (lambda s: s.groupBy().agg(F.count("*").alias("rows"), F.count_if(~(F.col("value") == F.col("again"))).cast("int").alias("changed")))(snapshots(t).join(snapshots(t).select("instrument_id", "d", F.col("value").alias("again")), ["instrument_id", "d"]))
-)
+
+
+@query("led_rebuild_idempotent", "snap", "SELECT 'unchanged' AS status, count(*) AS n FROM snap")
+def rebuilt(t: Tables) -> DataFrame:
+    """Snapshots written, built again and compared by the guarded upsert: a rebuild changes nothing."""
+    rows = snapshots(t).select("instrument_id", "d", *[F.round(c, 6).alias(c) for c in ("quantity", "weight")], *[F.round(c, 2).alias(c) for c in ("basis", "value")])
+    path = sinks.scratch(t.spark, "snapshots")
+    rows.write.parquet(path)
+    return sinks.upsert_status(rows, t.spark.read.parquet(path), ["instrument_id", "d"], ["quantity", "weight", "basis", "value"]).groupBy("status").agg(F.count("*").alias("n"))
