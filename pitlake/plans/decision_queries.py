@@ -37,7 +37,7 @@ def prior(t: Tables) -> DataFrame:
     return dc.prior_correlations(t.spark.createDataFrame([("momentum", "trend")], "s1 string, s2 string"), t.spark.createDataFrame([(m,) for m in MODELS], "model string"))
 
 
-query("eng_prior_correlation", "prior", "SELECT * FROM prior")(prior)
+query("eng_prior_correlation", "prior", "SELECT * FROM prior")(lambda t: dc.prior_correlations(t.spark.createDataFrame([("momentum", "trend")], "s1 string, s2 string"), evidence(t).select("model").distinct()))
 CTE["mp"] = (("me",), "SELECT *, 1 / (se * se) AS w FROM me WHERE part = 'participating'")
 CTE["mc"] = (
     ("mp", "prior"),

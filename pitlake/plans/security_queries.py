@@ -128,9 +128,6 @@ query("bridge_ingest", "br_in br_old", "SELECT i.instrument_id, i.security_id, i
 query("bridge_resolve", "br_old px", "SELECT px.instrument_id, count(o.security_id) AS mapped, count(*) - count(o.security_id) AS uncovered FROM px LEFT JOIN br_old o ON o.instrument_id = px.instrument_id AND px.d BETWEEN o.valid_from AND o.valid_to GROUP BY 1")(
     lambda t: (lambda o: t.px.select("instrument_id", "d").join(F.broadcast(o.withColumnRenamed("instrument_id", "_i")), (F.col("instrument_id") == F.col("_i")) & F.col("d").between(F.col("valid_from"), F.col("valid_to")), "left").groupBy("instrument_id").agg(F.count("security_id").alias("mapped"), (F.count("*") - F.count("security_id")).alias("uncovered")))(mappings(t)[1])
 )
-query("par_computation", "px", "SELECT instrument_id, count(*) FILTER (CAST(adj AS REAL) IS DISTINCT FROM adj AND abs(CAST(adj AS REAL) - adj) > 1e-5) AS outside, count(*) AS n FROM px GROUP BY 1")(
-    lambda t: t.px.groupBy("instrument_id").agg(F.count_if(F.abs(F.col("adj").cast("float").cast("double") - F.col("adj")) > 1e-5).alias("outside"), F.count("*").alias("n"))
-)
 query("par_divergence", "px", "SELECT instrument_id, d, CASE WHEN abs(adj - close) / close > 0.06 THEN 'material' WHEN abs(adj - close) / close > 0.04 THEN 'minor' ELSE 'none' END AS class FROM px")(
     lambda t: t.px.select("instrument_id", "d", F.when(F.abs(F.col("adj") - F.col("close")) / F.col("close") > 0.06, "material").when(F.abs(F.col("adj") - F.col("close")) / F.col("close") > 0.04, "minor").otherwise("none").alias("class"))
 )

@@ -47,8 +47,8 @@ def hashed(t: Tables) -> DataFrame:
     return t.tx.where("txn_id > 0").withColumn("id", F.substring(F.sha2(fields, 256), 1, 24))
 
 
-query("src_ledger_csv", "csv_in", "SELECT id, count(*) AS copies FROM csv_in WHERE id NOT IN (SELECT id FROM csv_in WHERE year(trade_date) = 1993) GROUP BY 1")(
-    lambda t: (lambda h: h.join(h.where("year(trade_date) = 1993").select("id").distinct(), "id", "left_anti").groupBy("id").agg(F.count("*").alias("copies")))(hashed(t))
+query("src_ledger_csv", "csv_in", "SELECT id, count(*) AS copies FROM csv_in WHERE id NOT IN (SELECT id FROM csv_in WHERE year(trade_date) = 1997) GROUP BY 1")(
+    lambda t: (lambda h: h.join(h.where("year(trade_date) = 1997").select("id").distinct(), "id", "left_anti").groupBy("id").agg(F.count("*").alias("copies")))(hashed(t))
 )
 query("src_opening_balances", "tx", "SELECT instrument_id, CAST(quantity AS DOUBLE) AS quantity, round(CAST(-total_amount AS DOUBLE), 2) AS basis FROM tx WHERE txn_type = 'opening_balance'")(
     lambda t: t.tx.where("txn_type = 'opening_balance'").select("instrument_id", F.col("quantity").cast("double").alias("quantity"), F.round((-F.col("total_amount")).cast("double"), 2).alias("basis"))

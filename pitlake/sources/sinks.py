@@ -50,3 +50,9 @@ def write_once(incoming: DataFrame, archive: DataFrame, keys: list[str]) -> Data
     old = content_hash(archive, keys).select(*keys, F.col("digest").alias("_d"), F.col("rows").alias("_r"))
     status = F.when(F.col("_d").isNull(), "new").when((F.col("_d") == F.col("digest")) & (F.col("_r") == F.col("rows")), "unchanged").otherwise("conflict")
     return content_hash(incoming, keys).join(old, keys, "left").select(*keys, "rows", status.alias("status"))
+
+
+def export_csv(df: DataFrame, path: str, numbers: list[str], decimals: int = 8) -> None:
+    """CSV files with a header; ``numbers`` are written with a fixed count of decimals, nulls as empty fields."""
+    fixed = {c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{decimals}f", F.col(c))) for c in numbers}
+    df.withColumns(fixed).write.option("header", True).csv(path)

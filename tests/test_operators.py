@@ -2,6 +2,7 @@
 
 import datetime as dt
 import functools
+import math
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from pitlake.operators import analogues, evaluate, regimes
+from pitlake.operators import analogues, evaluate, integrity, regimes, systems
 from pitlake.operators import features as ft
 from pitlake.operators import ledger, pit, quality, research
 from pitlake.sources import sinks
@@ -226,3 +227,66 @@ def test_known_evidence_and_verdict(spark):
     cases = spark.createDataFrame([("cheap, weak growth", -0.1), ("expensive, strong margins", 0.1), ("trailing P/E ≥ p90", -0.1), ("multiple expansion", 0.1)], "label string, effect double")
     words = [r[0] for r in cases.select(gr.verdict(F.col("label"), F.col("effect"))).collect()]
     assert words == ["Cheap because fundamentals are deteriorating (value-trap history)", "Expensive but historically justified by quality", "Expensive and historically vulnerable", "Historically favorable setup"]
+
+
+def test_fifo_against_a_queue(spark):
+    """Random buys and sells, several at one place of the quantity axis and with eight decimals, against a queue."""
+    from decimal import Decimal
+
+    rnd, rows, expected = random.Random(5), [], []
+    for inst in range(4):
+        queue, held, day = [], Decimal(0), dt.date(2000, 1, 1)
+        for n in range(60):
+            day += dt.timedelta(days=rnd.randrange(3))
+            q = Decimal(rnd.choice([1, 2, 5])) + Decimal(rnd.randrange(3)) / Decimal(10**8)
+            if held >= q and rnd.random() < 0.5:
+                rows.append((inst, n, "sell", day, q, Decimal(10) * q))
+                held, left = held - q, q
+                while left:
+                    lot, has = queue[0]
+                    take = min(has, left)
+                    expected.append((inst, lot, n, float(take)))
+                    left, queue[0] = left - take, (lot, has - take)
+                    if not queue[0][1]:
+                        queue.pop(0)
+            else:
+                rows.append((inst, n, "buy", day, q, -Decimal(7) * q))
+                queue.append((n, q))
+                held += q
+    rows += [(9, 0, "sell", dt.date(2000, 1, 1), Decimal(1), Decimal(1)), (9, 1, "buy", dt.date(2000, 1, 2), Decimal(5), Decimal(-1))]  # oversold: left out
+    tx = spark.createDataFrame(rows, "instrument_id long, txn_id long, txn_type string, trade_date date, quantity decimal(20,8), total_amount decimal(20,6)")
+    got = [tuple(r) for r in ledger.closures(tx).select("instrument_id", "lot_id", "sell_id", "quantity").collect()]
+    assert sorted(got) == sorted(expected)
+    assert [r.txn_id for r in ledger.oversells(tx).collect()] == [0]
+
+
+def test_systems_against_pairs_of_models(spark):
+    """The variance by sums equals the double sum over pairs of models."""
+    models = {"a": (0.02, 0.01), "b": (-0.01, 0.02), "c": (0.03, 0.015)}
+    rows = [(1, dt.date(2000, 1, 1), m, e, s, 0.5) for m, (e, s) in models.items()]
+    df = spark.createDataFrame(rows, "instrument_id long, as_of date, model string, effect double, se double, rho double")
+    got = systems.combine(df, systems.CELL, "a", ("b",)).first()
+    w = {m: 1 / s**2 for m, (_, s) in models.items()}
+    effect = sum(w[m] * models[m][0] for m in w) / sum(w.values())
+    rho = lambda x, y: 1 if x == y else 0.5 if {x, y} == {"a", "b"} else 0.2
+    v = sum(w[x] * w[y] * rho(x, y) * models[x][1] * models[y][1] for x in w for y in w)
+    z = effect / (v**0.5 / sum(w.values()))
+    assert abs(got.effect - effect) < 1e-12
+    assert abs(got.score - 50 * (1 + math.erf(min(z, 4) / 2**0.5))) < 1e-3
+    assert abs(got.confidence - 3 / 5 * (w["a"] + w["c"]) / sum(w.values())) < 1e-12
+    assert {s for s, _, _ in systems.memberships(list("abc"), "a", (0.25, 0.5), 0.5)} == {"baseline", "shadow", "alone", "combined", "rho_25"}
+
+
+def test_headers_of_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n3,4\n")
+    (tmp_path / "b.csv").write_text("x,z\n" + "1,2\n" * 50)
+    found = {r.file.rsplit("/", 1)[1]: (r.rows, r.missing) for r in integrity.header_check(spark.read.text(str(tmp_path)), ("x", "y")).collect()}
+    assert found == {"a.csv": (2, []), "b.csv": (50, ["y"])}
+
+
+def test_parity_and_empty_tables(spark):
+    a = spark.createDataFrame([(1, 1.0), (2, None), (3, 1.0), (4, 1.0)], "k int, value double")
+    b = spark.createDataFrame([(1, 1.0), (2, None), (3, 1.1), (5, 1.0)], "k int, value double")
+    got = {r.k: (r.both_null, r.outside) for r in integrity.parity(a, b, ["k"], 1e-6).collect()}
+    assert got == {1: (False, False), 2: (True, False), 3: (False, True), 4: (False, True), 5: (False, True)}
+    assert integrity.parity(a.limit(0), b.limit(0), ["k"], 0.0).isEmpty()
