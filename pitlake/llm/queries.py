@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.llm import ann, chat, decontam, html_extract, jaccard_join, lm, oracles, packing, pii, toxicity
+from pitlake.llm import ann, chat, decontam, divergence, html_extract, jaccard_join, line_dedup, lm, negatives, oracles, packing, pii, toxicity
 from pitlake.llm.common import columns, map_batches, read_table
 from pitlake.llm.token_counts import prefix_token_counts
 
@@ -94,5 +94,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(as_text, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_site_style_tree, op3_ngram_jaccard_join, op4_pii_spans, op5_toxicity_lexicon, op6_multi_index_hashing, op7_chat_format, op8_lm_scoring, op9_token_counts, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {"op3_ngram_jaccard_join": oracles.JACCARD, "op7_chat_format": oracles.CHAT, "op10_decontamination": oracles.DECONTAMINATION}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of each language ranked by divergence from each other, and the terms that set them apart."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, after the labels of every seventh are set wrong."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", label), "vec_id % 100 = 0", positives=5, negatives=10, low=30, high=90)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that it shares with two others and a larger id keeps."""
+    return line_dedup.kept_digests(read_table(spark, sf_dir, "documents"), least_chars=20, least_docs=3)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_site_style_tree, op3_ngram_jaccard_join, op4_pii_spans, op5_toxicity_lexicon, op6_multi_index_hashing, op7_chat_format, op8_lm_scoring, op9_token_counts, op10_decontamination, op11_source_divergence, op12_hard_negatives, op13_line_dedup)}
+ORACLE_SQL: dict[str, str] = {"op3_ngram_jaccard_join": oracles.JACCARD, "op7_chat_format": oracles.CHAT, "op10_decontamination": oracles.DECONTAMINATION, "op11_source_divergence": oracles.DIVERGENCE, "op12_hard_negatives": oracles.NEGATIVES, "op13_line_dedup": oracles.LINES}
