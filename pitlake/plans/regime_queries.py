@@ -121,9 +121,6 @@ def _pivoted(t: Tables) -> DataFrame:
 query("ev_model_analytics", "wr", "SELECT system, round(avg(abs(expected)), 8) AS mean_effect, round(avg(hit), 6) AS hit_rate, round(avg(abs_error), 6) AS mae, round(avg(abs(actual)), 6) AS naive_mae FROM wr GROUP BY 1")(
     lambda t: prepared(t).groupBy("system").agg(F.round(F.avg(F.abs("expected")), 8).alias("mean_effect"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate"), F.round(F.avg("abs_error"), 6).alias("mae"), F.round(F.avg(F.abs("actual")), 6).alias("naive_mae"))
 )
-query("dq_native_prices", "bars terms", "SELECT rule, count(*) AS n FROM (SELECT 'negative' AS rule FROM bars WHERE adj < 0 UNION ALL SELECT 'after_terminal' FROM bars JOIN terms USING (security_id) WHERE d > ended) GROUP BY 1")(
-    lambda t: bars(t).where("adj < 0").select(F.lit("negative").alias("rule")).union(bars(t).join(F.broadcast(terminals(t)), "security_id").where("d > ended").select(F.lit("after_terminal"))).groupBy("rule").agg(F.count("*").alias("n"))
-)
 query("int_world_guard", "wr", "SELECT instrument_id, count(DISTINCT system) AS systems, count(DISTINCT horizon) AS horizons, count(*) FILTER (bench IS NULL) AS unstamped FROM wr GROUP BY 1")(
     lambda t: prepared(t).groupBy("instrument_id").agg(F.countDistinct("system").alias("systems"), F.countDistinct("horizon").alias("horizons"), F.count_if(F.col("bench").isNull()).alias("unstamped"))
 )

@@ -48,7 +48,8 @@ def with_tables(sql: str, *names: str) -> str:
 
     for n in names:
         add(n)
-    return f"WITH {', '.join(f'{n} AS ({CTE[n][1]})' for n in order)} {sql}" if order else sql
+    own = sql.removeprefix("WITH ")
+    return f"WITH {', '.join(f'{n} AS ({CTE[n][1]})' for n in order)}{', ' if own != sql else ' '}{own}" if order else sql
 
 
 def query(key: str, needs: str = "", sql: str | None = None):

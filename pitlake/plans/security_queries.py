@@ -100,18 +100,9 @@ query("sec_classification_asof", "idents", "SELECT identifier, security_id FROM
 query("sec_lifecycle_asof", "master", "SELECT security_id, 'listed' AS event, listed AS d FROM master WHERE listed <= DATE '1996-06-30' UNION ALL SELECT security_id, 'delisted', delisted FROM master WHERE delisted <= DATE '1996-06-30'")(
     lambda t: master(t).select("security_id", F.col("listed").alias("listed"), "delisted").unpivot(["security_id"], ["listed", "delisted"], "event", "d").where("d <= date'1996-06-30'")
 )
-query("dq_security_master", "master", "SELECT security_id, 'delisted_before_listed' AS rule FROM master WHERE delisted < listed UNION ALL SELECT security_id, 'no_first_date' FROM master WHERE listed IS NULL")(
-    lambda t: master(t).where("delisted < listed").select("security_id", F.lit("delisted_before_listed").alias("rule")).union(master(t).where("listed is null").select("security_id", F.lit("no_first_date")))
-)
 query("dq_universe", "uni master", "SELECT security_id, as_of FROM uni JOIN master USING (security_id) WHERE status IN ('included', 'type', 'history') AND (delisted <= as_of + 30)")(
     lambda t: universe(t).where("status in ('included', 'type', 'history')").join(master(t), "security_id").where("delisted <= date_add(as_of, 30)").select("security_id", "as_of")
 )
-query("dq_forward", "outs terms", "SELECT rule, count(*) AS n FROM (SELECT 'exit_before_entry' AS rule FROM outs WHERE entry < as_of UNION ALL SELECT 'delisting_treated_as_normal' FROM outs JOIN terms USING (security_id) WHERE status IN ('complete', 'truncated') AND ended > entry AND ended <= entry + horizon + 30) GROUP BY 1")(
-    lambda t: (lambda o: o.where("entry < as_of").select(F.lit("exit_before_entry").alias("rule")).union(o.join(terminals(t), "security_id").where("status in ('complete', 'truncated') and ended > entry and ended <= date_add(entry, horizon + 30)").select(F.lit("delisting_treated_as_normal"))).groupBy("rule").agg(F.count("*").alias("n")))(outcomes(t))
-)
-query("dq_native_returns", "bars terms", "SELECT b.security_id, count(*) AS after_terminal FROM bars b JOIN terms t ON t.security_id = b.security_id AND b.d > t.ended GROUP BY 1")(
-    lambda t: bars(t).join(terminals(t), "security_id").where("d > ended").groupBy("security_id").agg(F.count("*").alias("after_terminal"))
-)
 CTE["br_in"] = (("inst",), "SELECT instrument_id, instrument_id * 10 + CASE WHEN instrument_id % 3 = 0 THEN 1 ELSE 0 END AS security_id, DATE '1995-01-01' AS valid_from, DATE '1996-01-01' AS valid_to, instrument_id % 7 = 0 AS manual FROM inst")
 CTE["br_old"] = (("inst",), "SELECT instrument_id, instrument_id * 10 AS security_id, DATE '1995-06-01' AS valid_from, DATE '1999-01-01' AS valid_to FROM inst WHERE instrument_id % 2 = 0")
 

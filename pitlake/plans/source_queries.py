@@ -57,9 +57,6 @@ CTE["tx_bad"] = (("tx",), "SELECT instrument_id AS i, txn_id, CASE WHEN txn_id %
 query("src_txn_validate", "tx_bad", "SELECT i, txn_id, concat_ws(',', CASE WHEN instrument_id IS NULL THEN 'symbol' END, CASE WHEN quantity <= 0 THEN 'quantity' END, CASE WHEN total_amount = 0 THEN 'amount' END) AS problems FROM tx_bad WHERE instrument_id IS NULL OR quantity <= 0 OR total_amount = 0")(
     lambda t: t.tx.where("txn_id > 0").select(F.col("instrument_id").alias("i"), "txn_id", F.filter(F.array(F.when(F.col("txn_id") % 19 == 0, "symbol"), F.when((F.col("txn_id") % 17 == 0) & (F.col("quantity") > 0), "quantity"), F.when(F.col("txn_id") % 13 == 0, "amount")), lambda x: x.isNotNull()).alias("p")).where("size(p) > 0").select("i", "txn_id", F.array_join("p", ",").alias("problems"))
 )
-query("src_native_outcomes", "inst", "SELECT CASE WHEN p.p_partkey % 30 < 25 THEN 'resolved' ELSE 'quarantined' END AS status, count(*) AS n FROM part p GROUP BY 1")(
-    lambda t: t.table("part").select((F.col("p_partkey") % 30).alias("vendor_id")).join(F.broadcast(t.inst.select(F.col("instrument_id").alias("vendor_id"), F.lit(1).alias("known"))), "vendor_id", "left").groupBy(F.when(F.col("known").isNotNull(), "resolved").otherwise("quarantined").alias("status")).agg(F.count("*").alias("n"))
-)
 query("sink_insert_absent", "px", "SELECT instrument_id, count(*) AS inserted FROM px WHERE d > DATE '1998-06-01' GROUP BY 1")(
     lambda t: sinks.insert_absent(t.px.union(t.px.where("d > date'1998-09-01'")), t.px.where("d <= date'1998-06-01'"), ["instrument_id", "d"]).groupBy("instrument_id").agg(F.count("*").alias("inserted"))
 )

@@ -56,3 +56,10 @@ def export_csv(df: DataFrame, path: str, numbers: list[str], decimals: int = 8)
     """CSV files with a header; ``numbers`` are written with a fixed count of decimals, nulls as empty fields."""
     fixed = {c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{decimals}f", F.col(c))) for c in numbers}
     df.withColumns(fixed).write.option("header", True).csv(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a scratch path and read back: what follows reads it instead of planning it anew."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
