@@ -13,15 +13,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitlake.functions import stats
+from pitlake.operators import evidence as evd
 from pitlake.operators import features as ft
 from pitlake.operators import grammar as gr
 from pitlake.operators import pit
 from pitlake.plans.feature_queries import BY, PRICE, REL, SECT, filled, on_days, relative, rolled, with_sector
 from pitlake.plans.registry import CTE, Tables, query
+from pitlake.sources import sinks
+from pitlake.sources.versioned import VersionedTable
 
 MODELS = tuple(gr.TEXTS)
 DECILES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
-HORIZON, LEAST = 21, 5
+HORIZON = 21
 
 # Features by what they belong to: instrument, sector benchmark, market -------------------------------------------
 
@@ -78,7 +81,7 @@ def active(t: Tables, *models: str, dates: DataFrame | None = None) -> DataFrame
     rows = gr.rules(*models)
     table = t.spark.createDataFrame(rows, gr.SCHEMA)
     names = {r[5] for r in rows}
-    grid = quarters(t) if dates is None else dates
+    grid = [r["as_of"] for r in (quarters(t) if dates is None else dates).collect()]  # at most one a session
     keys = ["instrument_id", "as_of"]
     market = gr.state(market_features(t), grid, [], DECILES)
     if models == ("macro",):
@@ -159,72 +162,163 @@ for _end in ("", "m"):
 
 for _m in MODELS:
     if _m == "macro":
-        query("mod_macro", "mktact", "SELECT as_of, family, label FROM mktact WHERE model = 'macro'")(lambda t: active(t, "macro").select("as_of", "family", "label"))
+        query("mod_macro", "mktact", "SELECT as_of, family, label FROM mktact WHERE model = 'macro'", stored=True)(lambda t: active(t, "macro").select("as_of", "family", "label"))
     elif _m == "earnings":
-        query("mod_earnings", "ractm", "SELECT instrument_id, as_of, family, label FROM ractm WHERE model = 'earnings'")(lambda t: active(t, "earnings", dates=months(t)).select("instrument_id", "as_of", "family", "label"))
+        query("mod_earnings", "ractm", "SELECT instrument_id, as_of, family, label FROM ractm WHERE model = 'earnings'", stored=True)(lambda t: active(t, "earnings", dates=months(t)).select("instrument_id", "as_of", "family", "label"))
     else:
-        query(f"mod_{_m}", "ract", f"SELECT instrument_id, as_of, family, label FROM ract WHERE model = '{_m}'")(lambda t, m=_m: active(t, m).select("instrument_id", "as_of", "family", "label"))
+        query(f"mod_{_m}", "ract", f"SELECT instrument_id, as_of, family, label FROM ract WHERE model = '{_m}'", stored=True)(lambda t, m=_m: active(t, m).select("instrument_id", "as_of", "family", "label"))
 
 # Evidence as known at the date, scores, verdicts -----------------------------------------------------------------
 
 MARKS = ["model", "family", "label"]
-CTE["fx"] = (("px",), f"SELECT instrument_id, d, lead(adj, {HORIZON}) OVER ({BY}) / adj - 1 AS fwd, lead(d, {HORIZON}) OVER ({BY}) AS exit_day FROM px")
-CTE["gridfx"] = (("fx", "quarters"), "SELECT f.instrument_id, as_of, fwd, exit_day FROM (SELECT DISTINCT instrument_id FROM fx) i CROSS JOIN quarters ASOF JOIN fx f ON f.instrument_id = i.instrument_id AND quarters.as_of >= f.d")
-_run = "SELECT {k}exit_day, " + ", ".join(f"sum({c}) OVER ({{p}} ORDER BY exit_day) AS {c}" for c in ("n", "s", "ss")) + " FROM (SELECT {k}exit_day, count(*) AS n, sum(fwd) AS s, sum(fwd * fwd) AS ss FROM {f} WHERE fwd IS NOT NULL GROUP BY ALL)"
-CTE["run"] = (("ract", "gridfx"), _run.format(k="model, family, label, ", p="PARTITION BY model, family, label", f="ract JOIN gridfx USING (instrument_id, as_of)"))
-CTE["base"] = (("gridfx",), _run.format(k="", p="", f="gridfx"))
-CTE["rev0"] = (
-    ("ract", "run", "base"),
-    "SELECT a.*, r.n, r.s / r.n AS mean, sqrt((r.ss - r.s * r.s / r.n) / (r.n - 1) / r.n) AS se, b.s / b.n AS base FROM ract a ASOF JOIN run r ON a.model = r.model AND a.family = r.family AND a.label = r.label AND a.as_of >= r.exit_day ASOF JOIN base b ON a.as_of >= b.exit_day WHERE r.n >= 5 AND r.ss - r.s * r.s / r.n > 1e-12",
+#: The six horizons in sessions.
+HORIZONS = (5, 10, 21, 63, 126, 252)
+_marks, _keys = "model, family, label", "model, family, label, horizon, as_of"
+CTE["fx6"] = (("px",), " UNION ALL ".join(f"SELECT instrument_id, d, {h} AS horizon, lead(adj, {h}) OVER ({BY}) / adj - 1 AS fwd, lead(d, {h}) OVER ({BY}) AS exit_day FROM px" for h in HORIZONS))
+CTE["lastd"] = (("px", "quarters"), "SELECT i.instrument_id, as_of, p.d FROM (SELECT DISTINCT instrument_id FROM px) i CROSS JOIN quarters ASOF JOIN (SELECT instrument_id, d FROM px) p ON p.instrument_id = i.instrument_id AND quarters.as_of >= p.d")
+CTE["gridfx6"] = (("lastd", "fx6"), "SELECT instrument_id, as_of, horizon, fwd, exit_day FROM lastd JOIN fx6 USING (instrument_id, d)")
+CTE["gridfx"] = (("gridfx6",), f"SELECT instrument_id, as_of, fwd, exit_day FROM gridfx6 WHERE horizon = {HORIZON}")
+CTE["base"] = (("gridfx",), "SELECT exit_day, sum(n) OVER (ORDER BY exit_day) AS n, sum(s) OVER (ORDER BY exit_day) AS s FROM (SELECT exit_day, count(*) AS n, sum(fwd) AS s FROM gridfx WHERE fwd IS NOT NULL GROUP BY 1)")
+CTE["out6"] = (("gridfx6", "quarters"), "SELECT g.*, q.as_of AS known FROM (SELECT * FROM gridfx6 WHERE fwd IS NOT NULL) g ASOF JOIN quarters q ON g.exit_day <= q.as_of")
+CTE["ev6"] = (("ract", "out6"), f"SELECT {_marks}, horizon, as_of AS u, fwd AS x, known, pow(2, (as_of - DATE '{evd.ORIGIN}') / 365.25 / {evd.HALF_LIFE}) AS e FROM ract JOIN out6 USING (instrument_id, as_of)")
+CTE["mo6"] = (
+    ("ev6",),
+    f"SELECT {_marks}, horizon, known, " + ", ".join(f"sum({c}) OVER w AS {c}" for c in ("n", "w", "w2", "wx", "wxx", "wh")) + f", min(u0) OVER w AS first_event, max(u1) OVER w AS last_event FROM (SELECT {_marks}, horizon, known, count(*) AS n, sum(e) AS w, sum(e * e) AS w2, sum(e * x) AS wx, sum(e * x * x) AS wxx, sum(CASE WHEN x > 0 THEN e ELSE 0.0::DOUBLE END) AS wh, min(u) AS u0, max(u) AS u1 FROM ev6 GROUP BY ALL)"
+    f" WINDOW w AS (PARTITION BY {_marks}, horizon ORDER BY known)",
 )
-CTE["rev"] = (("rev0",), "SELECT instrument_id, as_of, model, family, label, n, mean - base AS effect, se FROM rev0")
+CTE["asked"] = (("ract",), f"SELECT DISTINCT {_marks}, as_of FROM ract")
+CTE["cnt6"] = (("asked", "ev6"), f"SELECT {_keys}, u, count(*)::DOUBLE AS c FROM asked JOIN ev6 USING ({_marks}) WHERE known <= as_of GROUP BY ALL")
+CTE["sm6"] = (("cnt6", "quarters"), f"SELECT {', '.join('c.' + k for k in _keys.split(', '))}, v.as_of AS spot, sum(c.c * greatest(0, 1 - abs(v.as_of - c.u) / (1.4::DOUBLE * c.horizon))) AS s FROM cnt6 c JOIN quarters v ON abs(v.as_of - c.u) < 1.4 * c.horizon GROUP BY ALL")
+CTE["gr6"] = (("cnt6", "sm6"), f"SELECT {_keys}, sum(c * s) AS gram FROM cnt6 JOIN sm6 USING ({_keys}) WHERE spot = u GROUP BY ALL")
+CTE["base6"] = (("out6", "quarters"), "SELECT q.as_of, horizon, sum(fwd) / count(*) AS base FROM quarters q JOIN out6 o ON o.known <= q.as_of GROUP BY 1, 2")
+CTE["stu6"] = (
+    ("gr6", "mo6", "base6"),
+    f"SELECT {_keys}, n, size * n / gram AS n_eff, gram / n AS inflation, mean, wh / w AS hit_rate, base, mean - base AS effect, sqrt(spread / (size - 1) * gram / n) AS se, first_event, last_event, gram FROM (SELECT g.*, m.* EXCLUDE ({_marks}, horizon), b.base, w * w / w2 AS size, wx / w AS mean, wxx / w - (wx / w) * (wx / w) AS spread"
+    f" FROM gr6 g ASOF JOIN mo6 m ON g.model = m.model AND g.family = m.family AND g.label = m.label AND g.horizon = m.horizon AND g.as_of >= m.known JOIN base6 b ON b.horizon = g.horizon AND b.as_of = g.as_of) WHERE n >= {evd.LEAST} AND size > 1 + 1e-9 AND spread > {evd.SPREAD}",
+)
+CTE["rev6"] = (("ract", "stu6"), f"SELECT instrument_id, s.* FROM ract JOIN stu6 s USING ({_marks}, as_of)")
+_same = lambda a, b, cols: " AND ".join(f"{a}.{x} = {b}.{y}" for x, y in cols)
+CTE["pair6"] = (("rev6",), "SELECT DISTINCT a.model, a.horizon, a.as_of, a.family AS fa, a.label AS la, b.family AS fb, b.label AS lb, a.gram AS ga, b.gram AS gb FROM rev6 a JOIN rev6 b USING (instrument_id, as_of, model, horizon) WHERE (a.family, a.label) < (b.family, b.label)")
+CTE["rho6"] = (
+    ("pair6", "cnt6", "sm6"),
+    "SELECT *, crossed / sqrt(ga * gb) AS rho FROM (SELECT p.*, coalesce(sum(c.c * s.s), 0) AS crossed FROM pair6 p JOIN cnt6 c ON c.model = p.model AND c.family = p.fa AND c.label = p.la AND c.horizon = p.horizon AND c.as_of = p.as_of LEFT JOIN sm6 s ON s.model = p.model AND s.family = p.fb AND s.label = p.lb AND s.horizon = p.horizon AND s.as_of = p.as_of AND s.spot = c.u GROUP BY ALL)",
+)
+_best = lambda sign, name: f"(SELECT instrument_id, as_of, model, horizon, string_agg(label, '; ' ORDER BY place) AS {name} FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id, as_of, model, horizon ORDER BY round(abs(effect) / se, 6) DESC, label) AS place FROM rev6 WHERE effect {sign} 0) WHERE place <= 3 GROUP BY 1, 2, 3, 4)"
+_cell = "instrument_id, as_of, model, horizon"
+CTE["magg"] = (
+    ("rev6", "rho6", "ract"),
+    f"SELECT *, 100 * ({stats.norm_cdf_sql('z')}) AS score, least(1, greatest(0, n_eff / (n_eff + {evd.PRIOR_EVENTS}) * agreement)) AS confidence, abs(z_raw) > {evd.Z_CLIP} AS saturated FROM (SELECT *, greatest(-{evd.Z_CLIP}, least({evd.Z_CLIP}, z_raw)) AS z FROM"
+    f" (SELECT {_cell}, studies, effect, expected, hit_rate, n_eff, events, active, coalesce(correlation, 0) AS correlation, effect * w / sqrt(w + 2 * coalesce(crossed, 0)) AS z_raw, CASE WHEN effect >= 0 THEN up ELSE w - up END / w AS agreement, supporting, negative FROM (SELECT {_cell}, count(*) AS studies, sum(1 / (se * se)) AS w, sum(effect / (se * se)) / sum(1 / (se * se)) AS effect, sum(mean / (se * se)) / sum(1 / (se * se)) AS expected, sum(hit_rate / (se * se)) / sum(1 / (se * se)) AS hit_rate, max(n_eff) AS n_eff, sum(CASE WHEN effect >= 0 THEN 1 / (se * se) ELSE 0.0::DOUBLE END) AS up, max(n) AS events FROM rev6 GROUP BY ALL)"
+    f" LEFT JOIN (SELECT {_cell}, sum(rho / (a.se * b.se)) AS crossed, avg(rho) AS correlation FROM rev6 a JOIN rev6 b USING ({_cell}) JOIN rho6 r ON r.model = a.model AND r.horizon = a.horizon AND r.as_of = a.as_of AND r.fa = a.family AND r.la = a.label AND r.fb = b.family AND r.lb = b.label GROUP BY ALL) USING ({_cell})"
+    f" LEFT JOIN {_best('>', 'supporting')} USING ({_cell}) LEFT JOIN {_best('<', 'negative')} USING ({_cell}) JOIN (SELECT instrument_id, as_of, model, count(*) AS active FROM ract GROUP BY ALL) USING (instrument_id, as_of, model)))",
+)
+CTE["rev"] = (("rev6",), f"SELECT instrument_id, as_of, {_marks}, n, effect, se FROM rev6 WHERE horizon = {HORIZON}")
+CTE["msc"] = (("magg",), f"SELECT instrument_id, as_of, model, studies AS regimes, events AS n, effect, score FROM magg WHERE horizon = {HORIZON}")
+
+
+def outcomes(t: Tables) -> DataFrame:
+    """Forward return of each instrument at each date of the grid from its latest session, per horizon, and the day it is complete."""
+    if not hasattr(t, "_outcomes"):
+        own = Window.partitionBy("instrument_id").orderBy("d")
+        each = [F.struct(F.lit(h).alias("horizon"), (F.lead("adj", h).over(own) / F.col("adj") - 1).alias("fwd"), F.lead("d", h).over(own).alias("exit_day")) for h in HORIZONS]
+        cells = t.inst.select("instrument_id").crossJoin(F.broadcast(quarters(t)))
+        found = pit.asof(cells, t.px.select("instrument_id", "d", F.array(*each).alias("o")), ["instrument_id"], "as_of", "d", ["o"])
+        t._outcomes = sinks.written(found.select("instrument_id", "as_of", F.inline("o")), "outcomes")
+    return t._outcomes
 
 
 def grid_outcomes(t: Tables) -> DataFrame:
-    """Forward return of each instrument at each date of the grid from its latest session, and the day it is complete."""
-    own = Window.partitionBy("instrument_id").orderBy("d")
-    fx = t.px.select("instrument_id", "d", (F.lead("adj", HORIZON).over(own) / F.col("adj") - 1).alias("fwd"), F.lead("d", HORIZON).over(own).alias("exit_day"))
+    """The outcomes of the main horizon; cells before an instrument's first session are there without one."""
     cells = t.inst.select("instrument_id").crossJoin(F.broadcast(quarters(t)))
-    return pit.asof(cells, fx, ["instrument_id"], "as_of", "d", ["fwd", "exit_day"])
+    return cells.join(outcomes(t).where(F.col("horizon") == HORIZON).drop("horizon"), ["instrument_id", "as_of"], "left")
+
+
+def known_active(t: Tables, *models: str) -> DataFrame:
+    """:func:`active`, written once per set of models."""
+    cache = t.__dict__.setdefault("_active", {})
+    if models not in cache:
+        cache[models] = sinks.written(active(t, *models), "active")
+    return cache[models]
+
+
+def studies(t: Tables, *models: str) -> DataFrame:
+    """Evidence of all horizons, written once: every later step reads it."""
+    cache = t.__dict__.setdefault("_studies", {})
+    if models not in cache:
+        found, dates = known_active(t, *models), quarters(t)
+        rows = sinks.written(evd.events(found, outcomes(t), dates), "events")
+        cache[models] = sinks.written(evd.collect(found, evd.running_moments(rows, MARKS), evd.counted_dates(rows, found, MARKS), evd.running_base(outcomes(t), dates), MARKS), "studies")
+    return cache[models]
 
 
 def evidence(t: Tables, *models: str) -> DataFrame:
-    found = active(t, *models)
-    cells = grid_outcomes(t)
-    run = gr.known_evidence(found.join(cells, ["instrument_id", "as_of"]), MARKS)
-    base = gr.known_evidence(cells.withColumn("all", F.lit(1)), ["all"])
-    pack = lambda df, keys, name: df.select(*keys, "exit_day", F.struct("n", "s", "ss").alias(name))
-    known = pit.asof(found, pack(run, MARKS, "r"), MARKS, "as_of", "exit_day", ["r"])
-    known = known.join(F.broadcast(pit.asof(quarters(t).withColumn("all", F.lit(1)), pack(base, ["all"], "b"), ["all"], "as_of", "exit_day", ["b"]).select("as_of", "b")), "as_of")
-    spread = F.col("r.ss") - F.col("r.s") * F.col("r.s") / F.col("r.n")
-    rows = known.where((F.col("r.n") >= LEAST) & (spread > 1e-12))
-    return rows.select("instrument_id", "as_of", *MARKS, F.col("r.n").alias("n"), (F.col("r.s") / F.col("r.n") - F.col("b.s") / F.col("b.n")).alias("effect"), F.sqrt(spread / (F.col("r.n") - 1) / F.col("r.n")).alias("se"))
+    return studies(t, *models).where(F.col("horizon") == HORIZON).select("instrument_id", "as_of", *MARKS, "n", "effect", "se")
 
 
-CTE["msc"] = (("rev",), f"SELECT instrument_id, as_of, model, regimes, n, effect, 100 * ({stats.norm_cdf_sql('z')}) AS score FROM (SELECT instrument_id, as_of, model, count(*) AS regimes, max(n) AS n, sum(effect / (se * se)) / sum(1 / (se * se)) AS effect, greatest(-4, least(4, sum(effect / (se * se)) / sqrt(sum(1 / (se * se))))) AS z FROM rev GROUP BY 1, 2, 3)")
+def aggregated(t: Tables, *models: str) -> DataFrame:
+    """Scores per instrument, date, model and horizon with their diagnostics."""
+    cache = t.__dict__.setdefault("_aggregated", {})
+    if models not in cache:
+        rows = studies(t, *models)
+        count = known_active(t, *models).groupBy("instrument_id", "as_of", "model").agg(F.count("*").alias("active"))
+        cache[models] = sinks.written(evd.aggregate(rows, evd.correlations(rows, MARKS), count, MARKS), "aggregated")
+    return cache[models]
 
 
 def scores(t: Tables, *models: str) -> DataFrame:
-    """Per instrument, date and model: its regimes' evidence weighted by inverse variance, and the score of that."""
-    w = 1 / (F.col("se") * F.col("se"))
-    out = evidence(t, *models).groupBy("instrument_id", "as_of", "model").agg(F.count("*").alias("regimes"), F.max("n").alias("n"), F.sum(F.col("effect") * w).alias("ew"), F.sum(w).alias("w"))
-    z = F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.col("ew") / F.sqrt("w")))
-    return out.select("instrument_id", "as_of", "model", "regimes", "n", (F.col("ew") / F.col("w")).alias("effect"), stats.score_from_z(z).alias("score"))
+    return aggregated(t, *models).where(F.col("horizon") == HORIZON).select("instrument_id", "as_of", "model", F.col("studies").alias("regimes"), F.col("events").alias("n"), "effect", "score")
 
 
-query("wf_capture", "msc", "SELECT instrument_id, as_of, model, regimes, n, round(effect, 6) AS effect, round(score, 4) AS score FROM msc")(
-    lambda t: scores(t, *MODELS).select("instrument_id", "as_of", "model", "regimes", "n", F.round("effect", 6).alias("effect"), F.round("score", 4).alias("score"))
+STUDY = ("n_eff", "inflation", "mean", "hit_rate", "base", "effect", "se")
+query("mod_collect_evidence", "rev6", f"SELECT instrument_id, {_keys}, n, {', '.join(f'round({c}, 6) AS {c}' for c in STUDY)}, first_event, last_event FROM rev6", stored=True)(
+    lambda t: studies(t, *MODELS).select("instrument_id", *MARKS, "horizon", "as_of", "n", *[F.round(c, 6).alias(c) for c in STUDY], "first_event", "last_event")
+)
+AGGREGATE = ("effect", "expected", "hit_rate", "n_eff", "correlation", "agreement", "z_raw", "z", "score", "confidence")
+query("mod_aggregate_horizon", "magg", f"SELECT {_cell}, studies, events, active, {', '.join(f'round({c}, 5) AS {c}' for c in AGGREGATE)}, saturated, supporting, negative FROM magg", stored=True)(
+    lambda t: aggregated(t, *MODELS).select(*evd.CELL, "studies", "events", "active", *[F.round(c, 5).alias(c) for c in AGGREGATE], "saturated", "supporting", "negative")
 )
+CAPTURED = "instrument_id long, as_of date, model string, horizon int, marker string, reason string, score double, confidence double, expected double, effect double, batch int"
+FIRST_RUN = "1995-01-01"
+CTE["capcell"] = (("inst", "quarters", "lastd"), f"SELECT i.instrument_id, q.as_of, m.model, h.horizon, l.d FROM inst i CROSS JOIN quarters q CROSS JOIN (VALUES {', '.join(f'({m!r})' for m in MODELS)}) m(model) CROSS JOIN (VALUES {', '.join(f'({h})' for h in HORIZONS)}) h(horizon) LEFT JOIN lastd l ON l.instrument_id = i.instrument_id AND l.as_of = q.as_of")
+
+
+@query(
+    "wf_capture",
+    "magg capcell ract",
+    f"SELECT {_cell}, CASE WHEN d IS NULL THEN 'omitted' WHEN score IS NULL THEN 'neutral' WHEN NOT isfinite(score) THEN 'model_error' ELSE 'evidence' END AS marker, CASE WHEN d IS NULL THEN 'no session' WHEN score IS NOT NULL THEN NULL WHEN k.active IS NULL THEN 'no active regime' ELSE 'thin evidence' END AS reason, round(score, 4) AS score, round(confidence, 5) AS confidence, round(expected, 6) AS expected, round(effect, 6) AS effect, CASE WHEN as_of < DATE '{FIRST_RUN}' THEN 0 ELSE 1 END AS batch"
+    " FROM capcell LEFT JOIN magg USING (instrument_id, as_of, model, horizon) LEFT JOIN (SELECT instrument_id, as_of, model, count(*) AS active FROM ract GROUP BY ALL) k USING (instrument_id, as_of, model)",
+    stored=True,
+)
+def capture(t: Tables) -> DataFrame:
+    """Every model at every cell and horizon, in two runs into one table: the second meets the whole grid and adds only cells
+    that the first has not stored. A cell has evidence, is neutral (with the reason), was omitted for want of data, or failed.
+    """
+    table = VersionedTable(t.spark, sinks.scratch(t.spark, "capture"), CAPTURED, F.year("as_of"))
+    cells = outcomes(t).select("instrument_id", "as_of", F.lit(True).alias("seen")).distinct()
+    lists = lambda names, kind: F.explode(F.array(*[F.lit(n).cast(kind) for n in names]))
+    grid = t.inst.select("instrument_id").crossJoin(F.broadcast(quarters(t))).join(cells, ["instrument_id", "as_of"], "left").withColumn("model", lists(MODELS, "string")).withColumn("horizon", lists(HORIZONS, "int"))
+    active_count = known_active(t, *MODELS).groupBy("instrument_id", "as_of", "model").agg(F.count("*").alias("k"))
+    rows = grid.join(aggregated(t, *MODELS).select(*evd.CELL, "score", "confidence", "expected", "effect"), evd.CELL, "left").join(active_count, ["instrument_id", "as_of", "model"], "left")
+    finite = ~F.isnan("score") & (F.abs("score") < float("inf"))
+    marker = F.when(F.col("seen").isNull(), "omitted").when(F.col("score").isNull(), "neutral").when(~finite, "model_error").otherwise("evidence")
+    reason = F.when(F.col("seen").isNull(), "no session").when(F.col("score").isNotNull(), F.lit(None)).when(F.col("k").isNull(), "no active regime").otherwise("thin evidence")
+    whole = rows.select(*evd.CELL, marker.alias("marker"), reason.alias("reason"), "score", "confidence", "expected", "effect")
+    for batch, part in enumerate((whole.where(F.col("as_of") < F.lit(FIRST_RUN).cast("date")), whole)):
+        fresh = part.join(table.read().select("instrument_id", "as_of").distinct(), ["instrument_id", "as_of"], "left_anti").withColumn("batch", F.lit(batch))
+        table.merge(fresh, lambda stored, new: stored.unionByName(new), "capture", batch)
+    return table.read().select(*evd.CELL, "marker", "reason", F.round("score", 4).alias("score"), *[F.round(c, n).alias(c) for c, n in (("confidence", 5), ("expected", 6), ("effect", 6))], "batch")
+
+
 _side = f"CASE WHEN regexp_matches(label, '{gr.EXPENSIVE}') THEN 'expensive' WHEN regexp_matches(label, '{gr.CHEAP}') THEN 'cheap' ELSE 'neither' END"
 _fits = " ".join(f"WHEN side = '{s}' AND sign = '{g}' AND regexp_matches(label, '{'|'.join(c)}') THEN '{w}'" for s, g, c, w in gr.VERDICTS)
-query("mod_valuation_verdict", "rev", f"SELECT instrument_id, as_of, label, CASE {_fits} END AS verdict FROM (SELECT *, {_side} AS side, CASE WHEN effect > 0 THEN 'good' ELSE 'bad' END AS sign FROM (SELECT * FROM rev WHERE model = 'valuation' QUALIFY row_number() OVER (PARTITION BY instrument_id, as_of ORDER BY round(abs(effect) / se, 6) DESC, family) = 1))")(
+query("mod_valuation_verdict", "rev", f"SELECT instrument_id, as_of, label, CASE {_fits} END AS verdict FROM (SELECT *, {_side} AS side, CASE WHEN effect > 0 THEN 'good' ELSE 'bad' END AS sign FROM (SELECT * FROM rev WHERE model = 'valuation' QUALIFY row_number() OVER (PARTITION BY instrument_id, as_of ORDER BY round(abs(effect) / se, 6) DESC, family) = 1))", stored=True)(
     lambda t: evidence(t, "valuation").withColumn("rank", F.row_number().over(Window.partitionBy("instrument_id", "as_of").orderBy(F.round(F.abs("effect") / F.col("se"), 6).desc(), "family"))).where("rank = 1")
     .select("instrument_id", "as_of", "label", gr.verdict(F.col("label"), F.col("effect")).alias("verdict"))
 )
 #: The models that speak in each section.
 SECTIONS = (("company", "valuation"), ("company", "earnings"), ("technical", "momentum"), ("technical", "relative"), ("macro", "macro"), ("market", "macro"), ("sector", "sector"), ("catalysts", "earnings"))
 _mean = "round(avg(score), 6)"
-query("eng_section_verdict", "msc ownst", f"SELECT instrument_id, as_of, section, CASE WHEN {_mean} IS NULL THEN 'no active evidence' WHEN {_mean} >= 60 THEN 'supportive' WHEN {_mean} <= 40 THEN 'unfavorable' ELSE 'mixed' END AS verdict FROM (SELECT DISTINCT instrument_id, as_of FROM gridfx WHERE instrument_id IS NOT NULL) CROSS JOIN (VALUES {', '.join(str(s) for s in SECTIONS)}) v(section, model) LEFT JOIN msc USING (instrument_id, as_of, model) GROUP BY 1, 2, 3")(
+query("eng_section_verdict", "msc ownst gridfx", f"SELECT instrument_id, as_of, section, CASE WHEN {_mean} IS NULL THEN 'no active evidence' WHEN {_mean} >= 60 THEN 'supportive' WHEN {_mean} <= 40 THEN 'unfavorable' ELSE 'mixed' END AS verdict FROM (SELECT DISTINCT instrument_id, as_of FROM gridfx WHERE instrument_id IS NOT NULL) CROSS JOIN (VALUES {', '.join(str(s) for s in SECTIONS)}) v(section, model) LEFT JOIN msc USING (instrument_id, as_of, model) GROUP BY 1, 2, 3", stored=True)(
     lambda t: sections(t)
 )
 

@@ -37,23 +37,6 @@ def active(t: Tables) -> DataFrame:
 
 query("mod_rates", "act", "SELECT d, family, label FROM act")(active)
 query("mod_select_active", "act", "SELECT family, label, count(*) AS days, min(d) AS first, max(d) AS last FROM act GROUP BY 1, 2")(lambda t: active(t).groupBy("family", "label").agg(F.count("*").alias("days"), F.min("d").alias("first"), F.max("d").alias("last")))
-CTE["bf"] = (("bm",), " UNION ALL ".join(f"SELECT d, {h} AS horizon, lead(adj, {h}) OVER (ORDER BY d) / adj - 1 AS fwd FROM bm" for h in rs.HORIZONS))
-CTE["mev"] = (
-    ("act", "bf"),
-    "SELECT family, label, horizon, count(*) AS n, avg(fwd) - any_value(base) AS effect, stddev_samp(fwd) / sqrt(count(*)) AS se FROM act JOIN bf USING (d) JOIN (SELECT horizon, avg(fwd) AS base FROM bf WHERE fwd IS NOT NULL GROUP BY 1) USING (horizon) WHERE fwd IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND stddev_samp(fwd) > 0",
-)
-
-
-def collected(t: Tables) -> DataFrame:
-    fwd = rs.forward_returns(t.bm.withColumn("instrument_id", F.lit(0))).drop("instrument_id")
-    return regimes.collect_evidence(active(t), fwd)
-
-
-query("mod_collect_evidence", "mev", "SELECT family, label, horizon, n, round(effect, 6) AS effect, round(se, 6) AS se FROM mev")(lambda t: neat(collected(t), "effect", "se"))
-query("mod_aggregate_horizon", "mev", "SELECT horizon, count(*) AS regimes, round(sum(effect / (se * se)) / sum(1 / (se * se)), 6) AS effect, max(n) AS largest FROM mev GROUP BY 1")(
-    lambda t: collected(t).groupBy("horizon").agg(F.count("*").alias("regimes"), F.round(F.sum(F.col("effect") / F.col("se") ** 2) / F.sum(1 / F.col("se") ** 2), 6).alias("effect"), F.max("n").alias("largest"))
-)
-
 # Ladder: fewer conditions until enough days match --------------------------------------------------------------
 
 CTE["rung1"] = (

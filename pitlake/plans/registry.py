@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitlake.sources import panel
+from pitlake.sources import panel, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,6 +36,16 @@ class Tables:
     tx = cached_property(lambda t: panel.ledger(t.spark, t.sf_dir))
 
 
+def _written(name: str) -> cached_property:
+    return cached_property(lambda t: sinks.written(getattr(Tables, name).func(t), name))
+
+
+class Stored(Tables):
+    """The same tables, each written to scratch when first asked for and read from there: for queries that use them often."""
+
+    px, bm, sx, inst, cal, mo, fu, ea = map(_written, ("px", "bm", "sx", "inst", "cal", "mo", "fu", "ea"))
+
+
 def with_tables(sql: str, *names: str) -> str:
     """SQL with the named common tables and all that they need in front."""
     order: list[str] = []
@@ -52,11 +62,14 @@ def with_tables(sql: str, *names: str) -> str:
     return f"WITH {', '.join(f'{n} AS ({CTE[n][1]})' for n in order)}{', ' if own != sql else ' '}{own}" if order else sql
 
 
-def query(key: str, needs: str = "", sql: str | None = None):
-    """Register ``f(tables)`` under ``key``; ``needs`` names the common tables of ``sql``, which is None where SQL can't say it."""
+def query(key: str, needs: str = "", sql: str | None = None, stored: bool = False):
+    """Register ``f(tables)`` under ``key``; ``needs`` names the common tables of ``sql``, which is None where SQL can't say it.
+
+    With ``stored``, the function gets tables that are written once and read as often as it needs them.
+    """
 
     def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[key] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        QUERIES[key] = lambda spark, sf_dir: f((Stored if stored else Tables)(spark, sf_dir))
         if sql is not None:
             ORACLE_SQL[key] = with_tables(sql, *needs.split())
         return f

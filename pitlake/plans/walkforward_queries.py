@@ -57,7 +57,7 @@ def members(t: Tables) -> DataFrame:
 
 
 CTE["sys"] = (("cap", "members"), combined_sql("SELECT * FROM cap JOIN members USING (model)", "system, instrument_id, as_of"))
-query("wf_systems", "sys", "SELECT system, instrument_id, as_of, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in NUMBERS) + " FROM sys")(
+query("wf_systems", "sys", "SELECT system, instrument_id, as_of, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in NUMBERS) + " FROM sys", stored=True)(
     lambda t: neat(systems.combine(pooled(evidence(t, *MODELS), [*systems.CELL, "model"]).join(members(t), "model"), ["system", *systems.CELL], EXPERIMENT, PARTNERS), *NUMBERS)
 )
 CTE["kbase"] = (("quarters", "base"), "SELECT as_of, b.s / b.n AS base FROM quarters ASOF JOIN base b ON as_of >= b.exit_day")
@@ -96,6 +96,7 @@ query(
     "wf_ablation", "abl",
     f"SELECT variant, n, round(experiment, 6) AS experiment, round(brier, 6) AS brier, round(combined, 6) AS combined, round(baseline, 6) AS baseline, round(coalesce(combined, 0) - coalesce(baseline, 0), 6) AS incremental"
     f" FROM (SELECT variant, count(*) FILTER (system = 'alone') AS n, {_hit.format(s='alone')} AS experiment, avg({_y} * {_y}) FILTER (system = 'alone') AS brier, {_hit.format(s='combined')} AS combined, {_hit.format(s='baseline')} AS baseline FROM abl GROUP BY 1)",
+    stored=True,
 )(lambda t: neat(systems.ablation(scored_variants(t)), "experiment", "brier", "combined", "baseline", "incremental"))
 
 # Quality of matches against accuracy -------------------------------------------------------------------------------
