@@ -67,7 +67,15 @@ def hits(automaton: ahocorasick.Automaton | None, folded: str) -> list[tuple[int
             spared.append((start, end))
         else:
             best[start] = max(best.get(start, 0.0), weight)
-    return [(s, w) for s, w in sorted(best.items()) if not any(a <= s < b for a, b in spared)]
+    out, at, reach = [], 0, -1
+    spared.sort()
+    for s, w in sorted(best.items()):
+        while at < len(spared) and spared[at][0] <= s:
+            reach = max(reach, spared[at][1])
+            at += 1
+        if s >= reach:
+            out.append((s, w))
+    return out
 
 
 def features(automaton: ahocorasick.Automaton | None, text: str | None) -> tuple[float, float, float]:
@@ -138,8 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, leas
             for text, y in zip(b["text"], b["toxic"], strict=True):
                 folded = fold(text)
                 for start, _ in hits(automaton, folded):
-                    before, after = folded[:start].rsplit(" ", 1)[-1], folded[start + 1 :].split(" ", 2)
-                    for phrase in {f"{before} {after[0]}", f"{after[0]} {after[1]}" if len(after) > 1 else ""}:
+                    end = folded.find(" ", start + 1)
+                    before, word, after = folded[folded.rfind(" ", 0, start) + 1 : start], folded[start + 1 : end], folded[end + 1 : folded.find(" ", end + 1)]
+                    for phrase in {f"{before} {word}", f"{word} {after}"}:
                         if len(phrase.split()) == 2:
                             (bad if y > 0 else good)[phrase] += 1
         keys = list(bad | good)

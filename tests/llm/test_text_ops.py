@@ -3,6 +3,7 @@
 import hashlib
 import json
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -256,3 +257,58 @@ def test_decontaminate_takes_spans_out(spark):
     got = {r.doc_id: r for r in decontam.decontaminate(docs, bench, window=4).collect()}
     assert set(got) == {1, 2, 4}
     assert (got[1].text, got[1].n_chars, got[2].text, got[4].text) == ("x. ! y z q r", 12, "clean", None)
+
+
+def test_secrets_of_any_length_go_whole(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(4000)
+    redactor, rng = pii.fit(docs), np.random.default_rng(4)
+    for n in (12, 20, 60, 129, 210, 1000, 5000):
+        for alphabet in ("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", "0123456789abcdef"):
+            value = "A1b2"[: 2 + 2 * (n % 2)] + "".join(rng.choice(list(alphabet), n))
+            value = value.lower() if alphabet[0] == "0" else value.upper()
+            for cue in ("password=", "token: ", ""):
+                if not cue and not 20 <= n <= 1000:
+                    continue  # very long runs without a cue are proposed, and mostly chosen
+                text = f"as noted {cue}{value} was set"
+                spans = redactor.choose(text)[1]
+                assert any(kind == "secret" and text[a:b].endswith(value) for kind, a, b in spans), (cue, n)
+    assert pii.LOOSE["secret"].search("x " + "a1" * 4000 + " y").span() == (2, 8002)
+    assert pii.LOOSE["email"].search("l" * 500 + " [at] " + "d" * 100 + ".org").span() == (0, 610)
+
+
+def test_many_spans_take_linear_time(spark):
+    taken = pii.Taken([("ip", 10, 20), ("card", 15, 25), ("ip", 40, 50)])
+    taken.add(30, 35)
+    brute = [(10, 25), (40, 50), (30, 35)]
+    for a in range(60):
+        for b in range(a + 1, 60):
+            assert taken.meets(a, b) == any(a < e and s < b for s, e in brute)
+    began = time.time()
+    pii.Redactor(None, {}).choose("token=abcdefgh1234 " * 20_000)
+    pii.examples("mail a.b@c.de or token=abcdefgh1234 " * 1000)
+    automaton = toxicity.Lexicon({" idiot ": 3.0}, ["no idiot"], [0, 1, 0, 0]).automaton()
+    assert toxicity.hits(automaton, toxicity.fold("no idiot " * 40_000)) == []
+    assert time.time() - began < 20
+
+
+def test_toxicity_score_equals_a_dictionary_scan(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    lexicon = toxicity.fit(docs, labels)
+    assert lexicon.weights and lexicon.coefficients[1:] != [0, 0, 0]
+
+    def brute(text):
+        folded = toxicity.fold(text)
+        spared = [(m.start(), m.start() + len(p) + 1) for p in lexicon.exceptions for m in re.finditer(f"(?= {re.escape(p)} )", folded)]
+        total = 0.0
+        for m in re.finditer(r"(?<= )[^ ]+(?= )", folded):
+            at, word = m.start() - 1, m[0]
+            own = [w for t, w in lexicon.weights.items() if (t.endswith(" ") and t == f" {word} ") or (not t.endswith(" ") and f" {word}".startswith(t))]
+            if own and not any(a <= at < b for a, b in spared):
+                total += max(own)
+        words = max(1, folded.count(" ") - 1)
+        z = lexicon.coefficients[0] + np.dot(lexicon.coefficients[1:], [np.log1p(total), total / words**0.5, total / words])
+        return 1 / (1 + np.exp(-z))
+
+    texts = {r.doc_id: r.text for r in docs.where("doc_id < 400").collect()}
+    for r in toxicity.score(docs.where("doc_id < 400"), lexicon).collect():
+        assert r.score == pytest.approx(brute(texts[r.doc_id]), abs=1e-9)
