@@ -184,14 +184,14 @@ CTE["vterm"] = (("vres",), "SELECT *, CASE WHEN rule = 'unknown' AND value IS NU
 @query(
     "src_native_outcomes",
     "vterm vres bm",
-    "SELECT feed, vendor_id, d, security_id, coalesce(problem, 'stored') AS state, round(value, 4) AS value, bar FROM vres WHERE feed <> 'terminal' OR problem IS NOT NULL UNION ALL SELECT feed, vendor_id, d, security_id, state, value, NULL FROM vterm"
+    "SELECT feed, vendor_id, d, security_id, coalesce(problem, 'stored') AS state, value, bar FROM vres WHERE feed <> 'terminal' OR problem IS NOT NULL UNION ALL SELECT feed, vendor_id, d, security_id, state, value, NULL FROM vterm"
     " UNION ALL SELECT 'benchmark', 'market', d, NULL, 'stored', round(adj / lag(adj) OVER (ORDER BY d) - 1, 6), NULL FROM bm",
 )
 def native_outcomes(t: Tables) -> DataFrame:
     """Rows of all four feeds: stored, unresolved (terminals without a known outcome), or the reason of quarantine."""
     rows, null = resolved_rows(t), F.lit(None).cast("long").alias("bar")
     state = F.coalesce("problem", F.lit("stored")).alias("state")
-    of = lambda feed, df, value, state, bar: df.select(F.lit(feed).alias("feed"), "vendor_id", "d", "security_id", state, F.round(value, 4).alias("value"), bar)
+    of = lambda feed, df, value, state, bar: df.select(F.lit(feed).alias("feed"), "vendor_id", "d", "security_id", state, F.col(value).alias("value"), bar)
     market = t.bm.select(F.lit("benchmark").alias("feed"), F.lit("market").alias("vendor_id"), "d", F.lit(None).cast("long").alias("security_id"), F.lit("stored").alias("state"), F.round(F.col("adj") / F.lag("adj").over(Window.orderBy("d")) - 1, 6).alias("value"), null)
     out = of("price", rows["price"], "close", state, F.col("bar")).union(of("market_snapshot", rows["market_snapshot"], "market_cap", state, null))
     out = out.union(of("terminal", rows["terminal"].where("problem is not null"), "terminal_return", F.col("problem").alias("state"), null)).union(of("terminal", stored_terminals(t), "terminal_return", F.col("state"), null))
