@@ -1,4 +1,4 @@
-"""Queries of analogue search and of conditions on an instrument's own quantiles."""
+"""Queries of conditions on an instrument's own quantiles."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitlake.functions import stats
-from pitlake.operators import analogues as an
 from pitlake.operators import features as ft
 from pitlake.operators import research as rs
 from pitlake.plans.registry import CTE, Tables, query
@@ -16,55 +15,6 @@ from pitlake.plans.research_queries import NUMBERS as SUMMED
 COLUMNS = ["ret_21d", "price_to_ma50", "vol_21d", "ret_5d"]
 AS_OF = "1997-06-30"
 CTE["vec"] = (("pf",), f"SELECT instrument_id, d, {', '.join(COLUMNS)} FROM pf WHERE d <= DATE '{AS_OF}'")
-CTE["zm"] = (("vec",), "SELECT instrument_id, " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in COLUMNS) + " FROM vec GROUP BY 1")
-CTE["z"] = (("vec", "zm"), "SELECT instrument_id, d, " + ", ".join(f"CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} END AS {c}" for c in COLUMNS) + " FROM vec JOIN zm USING (instrument_id)")
-CTE["zp"] = (("z",), "SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY d) AS pos, count(*) OVER (PARTITION BY instrument_id) AS n FROM z")
-CTE["cand"] = (("zp",), "SELECT a.*, b.d AS as_of, b.pos AS target_pos, " + ", ".join(f"b.{c} AS t_{c}" for c in COLUMNS) + " FROM zp a JOIN zp b ON a.instrument_id = b.instrument_id AND b.pos = b.n WHERE a.pos > 60 AND a.pos <= b.pos - 10")
-
-
-def sql_cosine(columns: list[str]) -> str:
-    total = lambda x: " + ".join(f"CASE WHEN {c} IS NOT NULL AND t_{c} IS NOT NULL THEN {x.format(c=c)} ELSE 0.0 END" for c in columns)
-    norm = f"(sqrt({total('{c} * {c}')}) * sqrt({total('t_{c} * t_{c}')}))"
-    return f"CASE WHEN {norm} > 0 THEN ({total('{c} * t_{c}')}) / {norm} ELSE 0.0 END"
-
-
-COVER = "(" + " + ".join(f"CASE WHEN {c} IS NOT NULL AND t_{c} IS NOT NULL THEN 1.0 ELSE 0.0 END" for c in COLUMNS) + ") / 4"
-CTE["sims"] = (("cand",), f"SELECT instrument_id, as_of, d, pos, round({sql_cosine(COLUMNS[:2])}, 9) AS stage1, round({sql_cosine(COLUMNS)}, 9) AS similarity, {COVER} AS coverage FROM cand")
-CTE["top"] = (("sims",), "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY similarity DESC, d) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY stage1 DESC, d) AS r FROM sims WHERE coverage >= 0.6) WHERE r <= 100) WHERE rank <= 40")
-
-
-def z(t: Tables) -> DataFrame:
-    return an.zscores(ft.price_features(t.px).select("instrument_id", "d", *COLUMNS), COLUMNS, F.lit(AS_OF).cast("date"))
-
-
-def top(t: Tables, keep: tuple[int, int] = (100, 40)) -> DataFrame:
-    return an.staged(an.candidates(z(t)), COLUMNS[:2], COLUMNS, keep)
-
-
-query("ana_zscore", "z", "SELECT instrument_id, d, " + ", ".join(f"round({c}, 6) AS {c}" for c in COLUMNS) + " FROM z")(lambda t: neat(z(t), *COLUMNS))
-query("ana_vectors", "vec", "SELECT instrument_id, d, " + " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in COLUMNS) + " AS dims FROM vec")(
-    lambda t: ft.price_features(t.px).where(F.col("d") <= F.lit(AS_OF).cast("date")).select("instrument_id", "d", F.size(F.filter(F.array(*COLUMNS), lambda x: x.isNotNull())).alias("dims"))
-)
-query("ana_candidates", "cand", "SELECT instrument_id, count(*) AS n, min(d) AS first, max(d) AS last FROM cand GROUP BY 1")(lambda t: an.candidates(z(t)).groupBy("instrument_id").agg(F.count("*").alias("n"), F.min("d").alias("first"), F.max("d").alias("last")))
-query("ana_masked_cosine", "sims", "SELECT instrument_id, d, round(similarity, 6) AS similarity, coverage::DOUBLE AS coverage FROM sims WHERE coverage >= 0.6")(
-    lambda t: (lambda c: an.candidates(z(t)).select("instrument_id", "d", F.round(F.round(c[0], 9), 6).alias("similarity"), c[1].alias("coverage")).where("coverage >= 0.6"))(an.cosine(COLUMNS, [f"t_{c}" for c in COLUMNS]))
-)
-query("ana_staged_topk", "top", "SELECT instrument_id, d, CAST(rank AS INTEGER) AS rank FROM top")(lambda t: top(t).select("instrument_id", "d", "rank"))
-query("ana_dedup_gap")(lambda t: an.dedup_gap(top(t)).select("instrument_id", "d", "rank"))
-query("ana_outcomes", "top fwd", "SELECT instrument_id, horizon, count(*) AS n, round(avg(fwd), 6) AS mean, round(median(fwd), 6) AS median, round(sum(similarity * fwd) / sum(similarity), 6) AS weighted_mean, round(avg(CASE WHEN fwd > 0 THEN 1.0 ELSE 0.0 END), 6) AS p_up, round(quantile_cont(fwd, 0.25), 6) AS q25, round(quantile_cont(fwd, 0.75), 6) AS q75 FROM top JOIN fwd USING (instrument_id, d) WHERE fwd IS NOT NULL GROUP BY 1, 2")(
-    lambda t: neat(an.outcomes(top(t), rs.forward_returns(t.px)), "mean", "median", "weighted_mean", "p_up", "q25", "q75")
-)
-query("ana_sufficiency", "cand sims top", "SELECT c.instrument_id, CASE WHEN c.n < 10 THEN 'candidates' WHEN coalesce(s.n, 0) < 10 THEN 'coverage' WHEN coalesce(p.n, 0) < 10 THEN 'matches' ELSE 'sufficient' END AS verdict FROM (SELECT instrument_id, count(*) AS n FROM cand GROUP BY 1) c LEFT JOIN (SELECT instrument_id, count(*) AS n FROM sims WHERE coverage >= 0.6 GROUP BY 1) s USING (instrument_id) LEFT JOIN (SELECT instrument_id, count(*) AS n FROM top GROUP BY 1) p USING (instrument_id)")(
-    lambda t: (lambda c, cover: c.groupBy("instrument_id").agg(F.count("*").alias("n"), F.count_if(cover >= an.COVERAGE).alias("covered")).join(top(t).groupBy("instrument_id").agg(F.count("*").alias("kept")), "instrument_id", "left")
-    .select("instrument_id", F.when(F.col("n") < 10, "candidates").when(F.col("covered") < 10, "coverage").when(F.coalesce("kept", F.lit(0)) < 10, "matches").otherwise("sufficient").alias("verdict")))(an.candidates(z(t)), an.cosine(COLUMNS, [f"t_{c}" for c in COLUMNS])[1])
-)
-query("ana_score", "top fwd", f"SELECT instrument_id, horizon, round(100 * ({stats.norm_cdf_sql('zz')}), 6) AS score FROM (SELECT instrument_id, horizon, greatest(-4, least(4, avg(fwd) / (greatest(1e-6, (quantile_cont(fwd, 0.75) - quantile_cont(fwd, 0.25)) / 1.349) / sqrt(count(*))))) AS zz FROM top JOIN fwd USING (instrument_id, d) WHERE fwd IS NOT NULL GROUP BY 1, 2)")(
-    lambda t: an.outcomes(top(t), rs.forward_returns(t.px)).withColumn("zz", F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.col("mean") / (F.greatest(F.lit(1e-6), (F.col("q75") - F.col("q25")) / 1.349) / F.sqrt("n"))))).select("instrument_id", "horizon", F.round(stats.score_from_z("zz"), 6).alias("score"))
-)
-query("ana_variants", "sims", "SELECT v.k AS keep, instrument_id, round(avg(similarity), 6) AS mean_similarity FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY similarity DESC, d) AS rank FROM sims WHERE coverage >= 0.6) JOIN (VALUES (10), (20), (40)) v(k) ON rank <= v.k GROUP BY 1, 2")(
-    lambda t: top(t, (1_000_000, 40)).join(F.broadcast(t.spark.createDataFrame([(10,), (20,), (40,)], "keep int")), F.col("rank") <= F.col("keep")).groupBy("keep", "instrument_id").agg(F.round(F.avg("similarity"), 6).alias("mean_similarity"))
-)
-
 # Conditions on own quantiles ----------------------------------------------------------------------------------
 
 CONDITIONS = (("hot", "ret_21d", ">=", 0.8), ("hot", "price_to_ma50", ">=", 0.6), ("quiet", "vol_21d", "<=", 0.3))

@@ -15,11 +15,11 @@ from pitlake.operators import features as ft
 from pitlake.operators import pit, systems
 from pitlake.operators import research as rs
 from pitlake.operators.decision import OTHERS, OVERLAPPING
-from pitlake.plans.analogue_queries import top
 from pitlake.plans.feature_queries import SECT, on_days, rolled, until, with_sector
-from pitlake.plans.model_queries import MODELS, evidence, grid_outcomes, quarters
+from pitlake.plans.model_queries import MODELS, evidence, grid_outcomes, outcomes, quarters
 from pitlake.plans.registry import CTE, Tables, query
 from pitlake.plans.research_queries import neat
+from pitlake.plans.search_queries import followed, kept
 
 EXPERIMENT, PARTNERS = "relative", ("sector", "momentum")
 #: Correlations that are tried for the experiment.
@@ -101,23 +101,22 @@ query(
 
 # Quality of matches against accuracy -------------------------------------------------------------------------------
 
-CTE["qual"] = (("top",), "SELECT instrument_id, as_of, round(sum(s) / sum(c), 9) AS similarity, max(c) / sum(c) AS concentration FROM (SELECT instrument_id, as_of, year(d), count(*) AS c, sum(similarity) AS s FROM top GROUP BY 1, 2, 3) GROUP BY 1, 2")
+CTE["qual"] = (("akeep",), "SELECT instrument_id, as_of, round(sum(s) / sum(c), 9) AS similarity, max(c) / sum(c) AS concentration FROM (SELECT instrument_id, as_of, year(d), count(*) AS c, sum(similarity) AS s FROM akeep GROUP BY 1, 2, 3) GROUP BY 1, 2")
 CTE["qhit"] = (
-    ("qual", "top", "fwd"),
-    "SELECT q.*, m.horizon, CASE WHEN (m.mean > 0) = (f.fwd > 0) THEN 1.0::DOUBLE ELSE 0.0 END AS hit FROM qual q JOIN (SELECT instrument_id, horizon, sum(similarity * fwd) / sum(similarity) AS mean FROM top JOIN fwd USING (instrument_id, d) WHERE fwd IS NOT NULL GROUP BY 1, 2) m USING (instrument_id)"
-    " JOIN fwd f ON f.instrument_id = q.instrument_id AND f.d = q.as_of AND f.horizon = m.horizon WHERE f.fwd IS NOT NULL",
+    ("qual", "aout", "gridfx6"),
+    "SELECT q.*, o.horizon, CASE WHEN (o.weighted_mean > 0) = (f.fwd > 0) THEN 1.0::DOUBLE ELSE 0.0 END AS hit FROM qual q JOIN aout o USING (instrument_id, as_of) JOIN gridfx6 f ON f.instrument_id = q.instrument_id AND f.as_of = q.as_of AND f.horizon = o.horizon WHERE f.fwd IS NOT NULL",
 )
 
 
 def quality_hits(t: Tables) -> DataFrame:
-    matches, fwd = top(t), rs.forward_returns(t.px).where("fwd is not null")
-    mean = matches.join(fwd, ["instrument_id", "d"]).groupBy("instrument_id", "horizon").agg((F.sum(F.col("similarity") * F.col("fwd")) / F.sum("similarity")).alias("mean"))
-    quality = systems.match_quality(matches).withColumn("similarity", F.round("similarity", 9))
-    actual = fwd.select("instrument_id", F.col("d").alias("as_of"), "horizon", "fwd")
-    return quality.join(mean, "instrument_id").join(actual, ["instrument_id", "as_of", "horizon"]).withColumn("hit", ((F.col("mean") > 0) == (F.col("fwd") > 0)).cast("double"))
+    """Per cell and horizon whether the analogues' mean had the sign of what came, with the quality of the matches."""
+    quality = systems.match_quality(kept(t)).withColumn("similarity", F.round("similarity", 9))
+    told = followed(t).select("instrument_id", "as_of", "horizon", "weighted_mean")
+    actual = outcomes(t).where("fwd is not null").select("instrument_id", "as_of", "horizon", "fwd")
+    return quality.join(told, ["instrument_id", "as_of"]).join(actual, ["instrument_id", "as_of", "horizon"]).withColumn("hit", ((F.col("weighted_mean") > 0) == (F.col("fwd") > 0)).cast("double"))
 
 
-query("wf_quality_split", "qhit", "SELECT horizon, count(*) AS n, round(avg(hit) FILTER (similarity >= m), 6) AS high, round(avg(hit) FILTER (similarity < m), 6) AS low, round(any_value(m), 6) AS median_similarity, round(avg(concentration), 6) AS concentration FROM qhit JOIN (SELECT horizon, median(similarity) AS m FROM qhit GROUP BY 1) USING (horizon) GROUP BY 1")(
+query("wf_quality_split", "qhit", "SELECT horizon, count(*) AS n, round(avg(hit) FILTER (similarity >= m), 6) AS high, round(avg(hit) FILTER (similarity < m), 6) AS low, round(any_value(m), 6) AS median_similarity, round(avg(concentration), 6) AS concentration FROM qhit JOIN (SELECT horizon, median(similarity) AS m FROM qhit GROUP BY 1) USING (horizon) GROUP BY 1", stored=True)(
     lambda t: neat((lambda h: h.join(F.broadcast(h.groupBy("horizon").agg(F.median("similarity").alias("m"))), "horizon").groupBy("horizon").agg(
         F.count("*").alias("n"), F.avg(F.when(F.col("similarity") >= F.col("m"), F.col("hit"))).alias("high"), F.avg(F.when(F.col("similarity") < F.col("m"), F.col("hit"))).alias("low"), F.first("m").alias("median_similarity"), F.avg("concentration").alias("concentration")
     ))(quality_hits(t)), "high", "low", "median_similarity", "concentration")
