@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pitlake.operators import features as ft
 from pitlake.operators import pit, regimes
 from pitlake.operators import research as rs
-from pitlake.plans.analogue_queries import conditioned, narrow, thresholds
 from pitlake.plans.evaluate_queries import KEY, prepared
 from pitlake.plans.registry import CTE, Tables, query
 from pitlake.plans.research_queries import neat
@@ -37,29 +36,6 @@ def active(t: Tables) -> DataFrame:
 
 query("mod_rates", "act", "SELECT d, family, label FROM act")(active)
 query("mod_select_active", "act", "SELECT family, label, count(*) AS days, min(d) AS first, max(d) AS last FROM act GROUP BY 1, 2")(lambda t: active(t).groupBy("family", "label").agg(F.count("*").alias("days"), F.min("d").alias("first"), F.max("d").alias("last")))
-# Ladder: fewer conditions until enough days match --------------------------------------------------------------
-
-CTE["rung1"] = (
-    ("vec", "thr"),
-    "SELECT study, instrument_id, d, bool_and(CASE op WHEN '>=' THEN value >= lim ELSE value <= lim END) AS match FROM (SELECT instrument_id, d, feature, value FROM vec UNPIVOT (value FOR feature IN (ret_21d, price_to_ma50, vol_21d))) JOIN (SELECT * FROM thr WHERE study = 'hot' AND feature = 'ret_21d') USING (instrument_id, feature) WHERE lim IS NOT NULL GROUP BY 1, 2, 3",
-)
-
-
-def first_condition(t: Tables) -> DataFrame:
-    rows = narrow(t).join(F.broadcast(thresholds(t).where("study = 'hot' and feature = 'ret_21d' and `limit` is not null")), ["instrument_id", "feature"])
-    return rows.select("study", "instrument_id", "d", rs.holds(F.col("value"), F.col("op"), F.col("limit")).alias("match"))
-
-
-RUNGS = "SELECT instrument_id, 0 AS rung, count(*) FILTER (match) AS n FROM celig WHERE study = 'hot' GROUP BY 1 UNION ALL SELECT instrument_id, 1, count(*) FILTER (match) FROM rung1 GROUP BY 1"
-query("cpe_ladder", "celig rung1", f"SELECT instrument_id, min(rung) FILTER (n >= 40) AS rung, arg_min(n, rung) FILTER (n >= 40) AS n FROM ({RUNGS}) GROUP BY 1")(
-    lambda t: conditioned(t).where("study = 'hot'").groupBy("instrument_id").agg(F.count_if("match").alias("n")).withColumn("rung", F.lit(0)).unionByName(first_condition(t).groupBy("instrument_id").agg(F.count_if("match").alias("n")).withColumn("rung", F.lit(1)))
-    .groupBy("instrument_id").agg(F.min(F.when(F.col("n") >= 40, F.col("rung"))).alias("rung"), F.min_by(F.when(F.col("n") >= 40, F.col("n")), F.when(F.col("n") >= 40, F.col("rung"))).alias("n"))
-)
-query("cpe_leave_one_out", "celig rung1 fwd", "SELECT horizon, round(avg(fwd) FILTER (k = 'all') - avg(fwd) FILTER (k = 'one'), 6) AS change FROM (SELECT 'all' AS k, horizon, fwd FROM celig JOIN fwd USING (instrument_id, d) WHERE study = 'hot' AND match AND fwd IS NOT NULL UNION ALL SELECT 'one', horizon, fwd FROM rung1 JOIN fwd USING (instrument_id, d) WHERE match AND fwd IS NOT NULL) GROUP BY 1")(
-    lambda t: (lambda f: conditioned(t).where("study = 'hot' and match").select("instrument_id", "d", F.lit("all").alias("k")).union(first_condition(t).where("match").select("instrument_id", "d", F.lit("one"))).join(f, ["instrument_id", "d"]).groupBy("horizon").agg(F.round(F.avg(F.when(F.col("k") == "all", F.col("fwd"))) - F.avg(F.when(F.col("k") == "one", F.col("fwd"))), 6).alias("change")))(rs.forward_returns(t.px).where("fwd is not null"))
-)
-query("cpe_templates", "cond thr", "SELECT study, feature, op, count(lim) AS resolved, count(*) - count(lim) AS open FROM thr GROUP BY 1, 2, 3")(lambda t: thresholds(t).groupBy("study", "feature", "op").agg(F.count("limit").alias("resolved"), (F.count("*") - F.count("limit")).alias("open")))
-
 # Evaluation by regime and model stability ----------------------------------------------------------------------
 
 CTE["dayreg"] = (("bm", "cal", "mo"), "SELECT d, CASE WHEN adj > ma THEN 'bull' WHEN adj <= ma THEN 'bear' END AS trend, CASE WHEN v >= 15 THEN 'high' WHEN v < 15 THEN 'low' END AS vol FROM (SELECT d, adj, CASE WHEN count(adj) OVER (ORDER BY d ROWS 199 PRECEDING) = 200 THEN avg(adj) OVER (ORDER BY d ROWS 199 PRECEDING) END AS ma FROM bm) b JOIN (SELECT cal.d, a.value AS v FROM cal ASOF LEFT JOIN (SELECT * FROM mo WHERE code = 'VIX') a ON cal.d >= a.obs_date) USING (d)")
