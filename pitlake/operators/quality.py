@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pitlake.operators.features import own_days
 
@@ -32,21 +37,32 @@ def price_rules(raw: DataFrame) -> DataFrame:
 def return_jumps(clean: DataFrame, splits: DataFrame, limit: float = MAX_RETURN) -> DataFrame:
     """Rows whose return on the last *accepted* close is over the limit on a date without a split.
 
-    A rejected row does not become the previous close, so the rule is a fold over each instrument's rows in
-    order; the array is as long as one instrument's history.
+    A rejected row does not become the previous close, so the rule is a fold in order of the days. The rows of an
+    instrument are sorted in one partition and streamed; the fold carries one number, whatever the history's length.
     """
+    schema = "instrument_id long, d date, close double, previous double"
+    out = to_arrow_schema(T._parse_datatype_string(schema))
     marked = clean.join(splits.select("instrument_id", "d", F.lit(True).alias("split")), ["instrument_id", "d"], "left")
-    rows = marked.groupBy("instrument_id").agg(F.sort_array(F.collect_list(F.struct("d", "close", F.coalesce("split", F.lit(False)).alias("split")))).alias("rows"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<d:date,close:double,previous:double>>").alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        jump = F.coalesce(acc["last"].isNotNull() & ~row["split"] & (F.abs(row["close"] / acc["last"] - 1) > limit), F.lit(False))
-        return F.struct(
-            F.when(jump, acc["last"]).otherwise(row["close"]).alias("last"),
-            F.when(jump, F.array_append(acc["out"], F.struct(row["d"].alias("d"), row["close"].alias("close"), acc["last"].alias("previous")))).otherwise(acc["out"]).alias("out"),
-        )
-
-    return rows.select("instrument_id", F.inline(F.aggregate("rows", start, step).getField("out")))
+    rows = marked.select(F.col("instrument_id").cast("long").alias("instrument_id"), "d", F.col("close").cast("double").alias("close"), F.coalesce("split", F.lit(False)).alias("split"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        instrument, last = None, None
+        for b in batches:
+            at, previous = [], []
+            for n, (i, close, split) in enumerate(zip(*(b.column(c).to_pylist() for c in ("instrument_id", "close", "split")), strict=True)):
+                if i != instrument:
+                    instrument, last = i, None
+                if close is None:
+                    continue
+                if last and not split and abs(close / last - 1) > limit:
+                    at.append(n)
+                    previous.append(last)
+                else:
+                    last = close
+            part = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("instrument_id"), part.column("d"), part.column("close"), pa.array(previous, pa.float64())], schema=out)
+
+    return rows.repartition("instrument_id").sortWithinPartitions("instrument_id", "d").mapInArrow(run, schema)
 
 
 def stale_runs(px: DataFrame, least: int = STALE_RUN) -> DataFrame:

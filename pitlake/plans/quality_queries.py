@@ -60,7 +60,12 @@ def splits(t: Tables) -> DataFrame:
 
 CTE["splits"] = (("px",), SPLITS)
 CTE["clean"] = (("sorted_out", "splits"), "SELECT s.instrument_id, s.d, s.close, p.d IS NOT NULL AS split, row_number() OVER (PARTITION BY s.instrument_id ORDER BY s.d) AS n FROM sorted_out s LEFT JOIN splits p USING (instrument_id, d) WHERE rule IS NULL")
-query("dq_return_jump")(lambda t: q.return_jumps(sorted_out(t).where("rule is null"), splits(t)).select("instrument_id", "d", F.round("close", 9).alias("close"), F.round("previous", 9).alias("previous")))
+query(
+    "dq_return_jump", "clean",
+    "WITH RECURSIVE f AS (SELECT instrument_id, 0::BIGINT AS n, NULL::DATE AS d, NULL::DOUBLE AS close, NULL::DOUBLE AS last, NULL::DOUBLE AS previous FROM (SELECT DISTINCT instrument_id FROM clean) UNION ALL"
+    " SELECT c.instrument_id, c.n, c.d, c.close, CASE WHEN f.last IS NOT NULL AND NOT c.split AND abs(c.close / f.last - 1) > 0.4 THEN f.last ELSE c.close END, CASE WHEN f.last IS NOT NULL AND NOT c.split AND abs(c.close / f.last - 1) > 0.4 THEN f.last END FROM f JOIN clean c ON c.instrument_id = f.instrument_id AND c.n = f.n + 1)"
+    " SELECT instrument_id, d, round(close, 9) AS close, round(previous, 9) AS previous FROM f WHERE previous IS NOT NULL",
+)(lambda t: q.return_jumps(sorted_out(t).where("rule is null"), splits(t)).select("instrument_id", "d", F.round("close", 9).alias("close"), F.round("previous", 9).alias("previous")))
 CTE["coarse"] = (("px",), "SELECT instrument_id, d, floor(close / 400) AS close FROM px")
 query(
     "dq_stale_closes", "coarse",

@@ -58,8 +58,8 @@ def with_tables(sql: str, *names: str) -> str:
 
     for n in names:
         add(n)
-    own = sql.removeprefix("WITH ")
-    return f"WITH {', '.join(f'{n} AS ({CTE[n][1]})' for n in order)}{', ' if own != sql else ' '}{own}" if order else sql
+    own, first = sql.removeprefix("WITH ").removeprefix("RECURSIVE "), "WITH RECURSIVE" if sql.startswith("WITH RECURSIVE") else "WITH"
+    return f"{first} {', '.join(f'{n} AS ({CTE[n][1]})' for n in order)}{', ' if own != sql else ' '}{own}" if order else sql
 
 
 def query(key: str, needs: str = "", sql: str | None = None, stored: bool = False):

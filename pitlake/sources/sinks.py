@@ -34,9 +34,19 @@ def upsert_status(incoming: DataFrame, stored: DataFrame, keys: list[str], value
     return both.select(*keys, status.alias("status"), *[F.when(F.col("_in").isNull(), F.col(f"s.{v}")).otherwise(F.col(f"i.{v}")).alias(v) for v in values])
 
 
-def write_years(df: DataFrame, path: str, date: str) -> None:
-    """Partitioned by year; only years that the rows touch are replaced."""
-    df.withColumn("year", F.year(date)).repartition("year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+#: Rows of a task that writes.
+FILE_ROWS = 2_000_000
+
+
+def write_years(df: DataFrame, path: str, date: str, rows: int = FILE_ROWS) -> None:
+    """Partitioned by year; only years that the rows touch are replaced.
+
+    The rows are counted and dealt by ranges of date and a hash of the row, so a task writes about ``rows`` of them, however
+    many a year or a day has; a range may hold the end of one year and the start of the next.
+    """
+    parts = max(1, -(-df.count() // rows))
+    dealt = df.withColumn("year", F.year(date)).repartitionByRange(parts, "year", date, F.xxhash64(*df.columns))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
 
 def content_hash(df: DataFrame, keys: list[str]) -> DataFrame:
