@@ -1,19 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Words and word pairs of the training texts are counted by Spark. A count c is quantised to 1 + floor(log2 c)
-levels, and an n-gram enters the filter once for each level; it is read by probing level after level until one
-is missing. The filter consists of one sub-filter for each hash range, which is as large as the levels counted
-there need, so every n-gram of the corpus enters. Documents are packed into batches; the distinct hashes of a
-batch meet the sub-filter of their range in one task, and the levels found there go back to the batch.
-
-The exact unigram base needs the exact count of each word. Frequent words, a bounded number, are broadcast; the
-others of a document are joined.
+One job counts the words and word pairs of the training texts per hash range and writes the filter: a count c is quantised
+to 1 + floor(log2 c) levels, and an n-gram enters its range's sub-filter once for each level. A sub-filter is as large as
+the levels counted there need, so every n-gram of the corpus enters. Another job reads only the filter: levels are probed
+one after the other until one is missing. A filter of bounded bytes is broadcast to the workers; a larger one stays dealt
+by ranges, the distinct hashes of a batch of documents go to their range's sub-filter, and the levels found come back.
+
+The exact unigram base needs the exact count of each word. Frequent words, a bounded number, are broadcast; the others of a
+document are joined.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from typing import NamedTuple
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,13 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pitlake.llm.common import columns, map_batches, materialize
+from pitlake.llm.common import columns, map_batches, materialize, release
 from pitlake.llm.hashing import C1, C3, mix, nth, word_hashes, words_of
 
 #: Probes per level, share of bits that may be set, weight of pairs.
 PROBES, LOAD, PAIR_WEIGHT = 3, 0.35, 0.2
 #: Words with exact counts that are broadcast at most (12 bytes each).
 HEAD_WORDS = 500_000
+#: Bytes of the filter up to which it is broadcast; each Python worker then holds it once.
+FILTER_BYTES = 96 << 20
 #: Characters of the texts that are packed into one batch, beside one text that may be longer.
 BATCH = 4 << 20
 END = np.uint64(0x9D39247E33776D41)
@@ -55,32 +56,25 @@ def _pairs(tokens: np.ndarray) -> np.ndarray:
     return mix(mix(np.concatenate(([END], tokens[:-1])) * C1) + tokens * C3)
 
 
-def _positions(hashes: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
+def _positions(hashes: np.ndarray, level: int, bits: np.ndarray) -> list[np.ndarray]:
     a = mix(hashes + nth(level))
     step = mix(a ^ C1) | np.uint64(1)
-    return [(a + np.uint64(i) * step) % np.uint64(bits) for i in range(PROBES)]
+    return [(a + np.uint64(i) * step) % bits for i in range(PROBES)]
 
 
-def _levels(counts: np.ndarray, least: int) -> np.ndarray:
-    return 1 + np.floor(np.log2(counts / least) + 1e-9).astype(np.int64)
+def _levels(counts: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(np.log2(counts) + 1e-9).astype(np.int64)
 
 
-def _sub_filter(hashes: np.ndarray, counts: np.ndarray, bits: int) -> tuple[int, bytes]:
-    """The smallest count that is admitted, and the packed bits."""
-    least = 1
-    while (counts >= least).any() and PROBES * _levels(counts[counts >= least], least).sum() > LOAD * bits:
-        least += 1
-    hashes, counts = hashes[counts >= least], counts[counts >= least]
-    levels, found = _levels(counts, least), np.zeros(bits, dtype=bool)
+def sub_filter(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Packed bits of a sub-filter that admits all of ``counts``: as many as its levels need at the load."""
+    levels = _levels(counts)
+    bits = 8 * (int(PROBES * levels.sum() / LOAD) // 8 + 8)
+    found = np.zeros(bits, dtype=bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        for at in _positions(hashes[levels >= level], level, bits):
+        for at in _positions(hashes[levels >= level], level, np.uint64(bits)):
             found[at.astype(np.int64)] = True
-    return least, np.packbits(found, bitorder="little").tobytes()
-
-
-def _bits(counts: np.ndarray) -> int:
-    """Bits of a sub-filter that admits all of ``counts``."""
-    return 8 * (int(PROBES * _levels(counts, 1).sum() / LOAD) // 8 + 8)
+    return np.packbits(found, bitorder="little").tobytes()
 
 
 def pack(docs: DataFrame) -> DataFrame:
@@ -103,80 +97,92 @@ def _unpack(sizes: list[int], packed: bytes) -> list[str]:
     return [whole[e - n : e].decode("utf-8", "surrogatepass") for e, n in zip(ends, sizes, strict=True)]
 
 
-def count_ngrams(packed: DataFrame, buckets: int) -> DataFrame:
-    """Per kind (0 words, 1 pairs) and hash range one row with batch -1: number, total, the words' hashes and counts;
-    and one for each batch: the levels that the sub-filter has for the batch's n-grams, in order of their hashes."""
-    shift = np.uint64(64 - buckets.bit_length() + 1)
-    edges = np.arange(buckets, dtype=np.uint64) << shift
+def _ranges(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash ranges that sorted ``values`` meet, and where the values of each begin, with the end of the last."""
+    edges = np.arange(buckets, dtype=np.uint64) << _shift(buckets)
+    at = np.append(np.searchsorted(values, edges), len(values))
+    full = np.flatnonzero(np.diff(at))
+    return full, np.append(at[full], len(values))
+
+
+def _shift(buckets: int) -> np.uint64:
+    return np.uint64(64 - buckets.bit_length() + 1)
+
+
+def _batches(batches: Iterator[dict]) -> Iterator[tuple]:
+    return ((b["batch"][i], b["held_out"][i], *_tokens(_unpack(b["sizes"][i], b["texts"][i]))) for b in batches for i in range(len(b["batch"])))
+
+
+def learn(packed: DataFrame, buckets: int) -> DataFrame:
+    """``kind`` (0 words, 1 pairs), ``bucket, n, total, bits`` of each hash range of the training texts; for words also
+    their ``hashes`` and exact ``counts``, for the base alone.
+    """
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch, sizes, held_out, texts in ((b["batch"][i], b["sizes"][i], b["held_out"][i], b["texts"][i]) for b in batches for i in range(len(b["batch"]))):
-            tokens, n = _tokens(_unpack(sizes, texts))
+        for _, held_out, tokens, n in _batches(batches):
             train = np.repeat(~np.array(held_out, dtype=bool), n)
             for kind, values in ((0, tokens), (1, _pairs(tokens))):
-                hashes = np.unique(values)
-                learned, times = np.unique(values[train], return_counts=True)
-                counts = np.zeros(len(hashes), dtype="<u4")
-                counts[np.searchsorted(hashes, learned)] = times
-                at = np.append(np.searchsorted(hashes, edges), len(hashes))
-                full = np.flatnonzero(np.diff(at))
-                part = lambda x, kind_of, at=at, full=full: [x[at[i] : at[i + 1]].astype(kind_of).tobytes() for i in full]
-                yield {"kind": [kind] * len(full), "bucket": full, "batch": [batch] * len(full), "hashes": part(hashes, "<u8"), "counts": part(counts, "<u4")}
+                hashes, counts = np.unique(values[train], return_counts=True)
+                full, at = _ranges(hashes, buckets)
+                part = lambda x, kind_of, at=at: [x[i:j].astype(kind_of).tobytes() for i, j in zip(at, at[1:], strict=False)]
+                yield {"kind": [kind] * len(full), "bucket": full, "hashes": part(hashes, "<u8"), "counts": part(counts, "<u4")}
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        asked = np.frombuffer(b"".join(rows["hashes"]), "<u8")
+        hashes = np.frombuffer(b"".join(rows["hashes"]), "<u8")
         counts = np.frombuffer(b"".join(rows["counts"]), "<u4").astype(np.int64)
-        learned = np.flatnonzero(counts)
-        learned = learned[np.argsort(asked[learned], kind="stable")]
-        hashes, counts = asked[learned], counts[learned]
-        first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))[: len(hashes)])
-        hashes, counts = hashes[first], np.add.reduceat(counts, first) if len(first) else counts
-        size = _bits(counts)
-        least, bits = _sub_filter(hashes, counts, size)
-        levels = LogFrequencyFilter([SubFilter(0, least, bits)], size, 1).levels(asked).astype(np.uint8)
-        ends = np.cumsum([len(h) // 8 for h in rows["hashes"]])
-        words = (b"", b"") if key[0] else (hashes.tobytes(), counts.astype("<i8").tobytes())
-        none = [0] * len(rows)
-        return pd.DataFrame({
-            "kind": key[0], "bucket": key[1], "batch": [-1, *rows["batch"]], "n": [len(hashes), *none], "total": [int(counts.sum()), *none],
-            "levels": [b"", *(x.tobytes() for x in np.split(levels, ends[:-1]))], "hashes": [words[0], *[b""] * len(rows)], "counts": [words[1], *[b""] * len(rows)],
-        })
-
-    partial = map_batches(packed, count, "kind int, bucket int, batch long, hashes binary, counts binary")
-    return partial.groupBy("kind", "bucket").applyInPandas(merge, "kind int, bucket int, batch long, n long, total long, levels binary, hashes binary, counts binary")
-
-
-class SubFilter(NamedTuple):
-    bucket: int
-    least: int
-    bits: bytes
+        order = np.argsort(hashes, kind="stable")
+        hashes, counts = hashes[order], counts[order]
+        first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+        hashes, counts = hashes[first], np.add.reduceat(counts, first)
+        words = (None, None) if key[0] else (hashes.tobytes(), counts.astype("<i8").tobytes())
+        return pd.DataFrame({"kind": [key[0]], "bucket": [key[1]], "n": [len(hashes)], "total": [int(counts.sum())], "bits": [sub_filter(hashes, counts)], "hashes": [words[0]], "counts": [words[1]]})
+
+    partial = map_batches(packed, count, "kind int, bucket int, hashes binary, counts binary")
+    return partial.groupBy("kind", "bucket").applyInPandas(merge, "kind int, bucket int, n long, total long, bits binary, hashes binary, counts binary")
 
 
 class LogFrequencyFilter:
-    """All sub-filters of one kind; ``counts`` gives quantised counts, 0 for what isn't there (or rarely, by chance, more)."""
+    """Sub-filters of one kind, or some of them; ``levels`` is 0 for what isn't there (or rarely, by chance, more)."""
 
-    def __init__(self, rows: Iterable, bits: int, buckets: int):
-        self.bits, self.shift = bits // buckets, np.uint64(64 - buckets.bit_length() + 1)
-        self.least = np.zeros(buckets, dtype=np.int64)
-        self.data = np.zeros((buckets, self.bits // 8), dtype=np.uint8)
-        for r in rows:
-            self.least[r.bucket] = r.least
-            self.data[r.bucket] = np.frombuffer(r.bits, np.uint8)
+    def __init__(self, parts: Iterable[tuple[int, bytes]], buckets: int):
+        parts = sorted(parts)
+        self.shift, sizes = _shift(buckets), [len(b) for _, b in parts]
+        self.bits, self.start = np.zeros(buckets, np.uint64), np.zeros(buckets, np.int64)
+        at = [b for b, _ in parts]
+        self.bits[at], self.start[at] = np.array(sizes, np.uint64) * np.uint64(8), np.cumsum([0, *sizes])[:-1]
+        self.data = np.frombuffer(b"".join(b for _, b in parts), np.uint8)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         bucket = (hashes >> self.shift).astype(np.int64)
-        level, open_ = np.zeros(len(hashes), dtype=np.int64), np.arange(len(hashes))
+        level, open_ = np.zeros(len(hashes), dtype=np.int64), np.flatnonzero(self.bits[bucket])
         while len(open_):
-            probe, b = hashes[open_], bucket[open_]
+            b = bucket[open_]
             hit = np.ones(len(open_), dtype=bool)
-            for at in _positions(probe, int(level[open_[0]]) + 1, self.bits):
-                hit &= (self.data[b, (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            for at in _positions(hashes[open_], int(level[open_[0]]) + 1, self.bits[b]):
+                hit &= (self.data[self.start[b] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
             open_ = open_[hit]
             level[open_] += 1
         return level
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        return self.least[(hashes >> self.shift).astype(np.int64)] * _middle(self.levels(hashes))
+
+def levels_by_range(packed: DataFrame, learned: DataFrame, buckets: int) -> DataFrame:
+    """``batch, kind, bucket, levels``: what a filter that stays dealt has for each batch's n-grams, in order of their hashes."""
+
+    def ask(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch, _, tokens, _ in _batches(batches):
+            for kind, values in ((0, tokens), (1, _pairs(tokens))):
+                hashes = np.unique(values)
+                full, at = _ranges(hashes, buckets)
+                yield {"kind": [kind] * len(full), "bucket": full, "batch": [batch] * len(full), "hashes": [hashes[i:j].astype("<u8").tobytes() for i, j in zip(at, at[1:], strict=False)]}
+
+    def probe(key: tuple, asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        hashes = np.frombuffer(b"".join(asked["hashes"]), "<u8")
+        found = LogFrequencyFilter([(key[1], b) for b in part["bits"]], buckets).levels(hashes).astype(np.uint8)
+        ends = np.cumsum([len(h) // 8 for h in asked["hashes"]])
+        return pd.DataFrame({"batch": asked["batch"], "kind": key[0], "bucket": key[1], "levels": [x.tobytes() for x in np.split(found, ends[:-1])] if len(asked) else []})
+
+    asked = map_batches(packed, ask, "kind int, bucket int, batch long, hashes binary")
+    return asked.groupBy("kind", "bucket").cogroup(learned.select("kind", "bucket", "bits").groupBy("kind", "bucket")).applyInPandas(probe, "batch long, kind int, bucket int, levels binary")
 
 
 def _middle(level: np.ndarray) -> np.ndarray:
@@ -184,21 +190,22 @@ def _middle(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.exp2(level - 1.0) * np.where(level > 1, 1.4, 1.0), 0.0)
 
 
-def score(docs: DataFrame, held_out: Column, head_words: int = HEAD_WORDS, pair_weight: float = PAIR_WEIGHT) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, head_words: int = HEAD_WORDS, pair_weight: float = PAIR_WEIGHT, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs(doc_id, text)``.
 
     Rows where ``held_out`` is false or null are learned from. A null text is empty and has its end as only token;
-    null and repeated ids keep their rows. Without training rows all counts are 0.
+    null and repeated ids keep their rows. Without training rows all counts are 0. The filter is broadcast up to
+    ``filter_bytes``; scores are the same beyond. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     docs = columns(docs, doc_id="long", text="string").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     packed = materialize(pack(docs), "packed")
-    buckets = 1 << max(6, min(16, ((packed.agg(F.sum(F.size("sizes"))).first()[0] or 0) // 4000).bit_length()))
-    ngrams = materialize(count_ngrams(packed, buckets), "ngrams")
-    sums = ngrams.where("kind = 0 and batch < 0").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+    buckets = 1 << max(6, min(20, ((packed.agg(F.sum(F.size("sizes"))).first()[0] or 0) // 4000).bit_length()))
+    learned = materialize(learn(packed, buckets), "filter")
+    sums = learned.agg(F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("n"), F.sum(F.when(F.col("kind") == 0, F.col("total"))).alias("total"), F.sum(F.length("bits")).alias("bytes")).first()
     distinct, total = sums.n or 0, sums.total or 0
 
-    words = ngrams.where("kind = 0 and batch < 0").select("hashes", "counts")
+    words = learned.where("kind = 0").select("hashes", "counts")
     least = _head_threshold(words, head_words) if distinct > head_words else 1
     head = [(np.frombuffer(r.hashes, "<u8"), np.frombuffer(r.counts, "<i8")) for r in _packed(words, least).toLocalIterator()]  # at most head_words words
     known, counts = (np.concatenate([h[i] for h in head]) if head else np.empty(0, t) for i, t in ((0, "<u8"), (1, "<i8")))
@@ -207,9 +214,9 @@ def score(docs: DataFrame, held_out: Column, head_words: int = HEAD_WORDS, pair_
     schema = T._parse_datatype_string("doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>")
     out = to_arrow_schema(schema)
 
-    def run(key: tuple, own: pa.Table, found: pa.Table) -> pa.Table:
+    def measured(b: dict, levels_of: Callable[[int, np.ndarray], np.ndarray]) -> pa.RecordBatch:
+        """Scores of one batch; ``levels_of`` gives the filter's levels of sorted distinct hashes of a kind."""
         known, counts = shared.value
-        b = own.to_pylist()[0]
         tokens, sizes = _tokens(_unpack(b["sizes"], b["texts"]))
         doc = np.repeat(np.arange(len(sizes)), sizes)
         values, place = np.unique(tokens, return_inverse=True)
@@ -222,11 +229,10 @@ def score(docs: DataFrame, held_out: Column, head_words: int = HEAD_WORDS, pair_
         ends = np.searchsorted(pair_of[:, 0], np.arange(len(sizes) + 1, dtype=np.uint64))
         as_long = pair_of[:, 1].view(np.int64) if pair_of.flags.f_contiguous else np.ascontiguousarray(pair_of[:, 1]).view(np.int64)
 
-        pieces = sorted(zip(*(found[x].to_pylist() for x in ("kind", "bucket", "levels")), strict=True))
-        word_counts, pair_counts = (_middle(np.frombuffer(b"".join(x for k, _, x in pieces if k == kind), np.uint8).astype(np.int64)) for kind in (0, 1))
+        pairs, pair_place = np.unique(_pairs(tokens), return_inverse=True)
+        word_counts, pair_counts = _middle(levels_of(0, values)), _middle(levels_of(1, pairs))
         seen = word_counts[place]
         single = (seen + 1) / (total + distinct + 1)
-        pair_place = np.unique(_pairs(tokens), return_inverse=True)[1]
         before = np.concatenate((word_counts[[np.searchsorted(values, END)]], seen[:-1]))
         follow = np.minimum(1.0, pair_counts[pair_place] / np.maximum(before, 1.0))
         weight = np.where(before > 0, pair_weight, 0.0)
@@ -235,10 +241,30 @@ def score(docs: DataFrame, held_out: Column, head_words: int = HEAD_WORDS, pair_
             "score": np.bincount(doc, np.log10(weight * follow + (1 - weight) * single), len(sizes)),
             "rare": [as_long[i:j] for i, j in zip(ends, ends[1:], strict=False)], "times": [n[i:j] for i, j in zip(ends, ends[1:], strict=False)],
         }
-        return pa.Table.from_arrays([pa.array(columns_[f.name], type=f.type) for f in out], schema=out)
-
-    found = ngrams.where("batch >= 0").select("batch", "kind", "bucket", "levels")
-    scored = packed.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(run, schema)
+        return pa.RecordBatch.from_arrays([pa.array(columns_[f.name], type=f.type) for f in out], schema=out)
+
+    if (sums.bytes or 0) <= filter_bytes:
+        parts: tuple[list, list] = ([], [])
+        for r in learned.select("kind", "bucket", "bits").toLocalIterator():  # at most filter_bytes
+            parts[r.kind].append((r.bucket, bytes(r.bits)))
+        filters = spark.sparkContext.broadcast([LogFrequencyFilter(p, buckets) for p in parts])
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for i in range(whole.num_rows):
+                    yield measured(whole.slice(i, 1).to_pylist()[0], lambda kind, hashes: filters.value[kind].levels(hashes))
+            release()
+
+        scored = packed.mapInArrow(near, schema)
+    else:
+
+        def far(key: tuple, own: pa.Table, found: pa.Table) -> pa.Table:
+            pieces = sorted(zip(*(found[x].to_pylist() for x in ("kind", "bucket", "levels")), strict=True))
+            levels = [np.frombuffer(b"".join(x for k, _, x in pieces if k == kind), np.uint8).astype(np.int64) for kind in (0, 1)]
+            return pa.Table.from_batches([measured(own.to_pylist()[0], lambda kind, _: levels[kind])])
+
+        found = materialize(levels_by_range(packed, learned, buckets), "levels")
+        scored = packed.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(far, schema)
     scored = materialize(scored.withColumn("rid", F.monotonically_increasing_id()), "scored")
     rare = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("rid", F.col("r.rare").alias("hash"), F.col("r.times").alias("times"))
     tail = _words(words, lambda c: c < least)
