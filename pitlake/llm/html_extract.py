@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pitlake.llm.common import columns, is_small, map_batches, materialize
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|object|svg|math|canvas|audio|video|select|textarea|button|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|object|canvas|audio|video|select|textarea|button|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>",
     re.S | re.I,
 )
@@ -33,7 +33,10 @@ NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 #: Elements without content, inline elements, those that end an open paragraph's text, and what is never main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img"
+    " math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover mstyle semantics annotation svg g path text tspan".split()
+)
 CONTAINERS = frozenset("div section table tbody tr td ul ol dl center main article aside nav".split())
 NOISE_TAGS = frozenset("nav header footer aside form menu dialog".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -47,6 +50,8 @@ SHAPE_WORDS = frozenset("top bottom left right main page site list item items bo
 SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 #: Weights of markup, links, share of text, repetition and variety of styles, and the pages from which a host's repetition says anything.
 SIGN, LINKS, MASS, REPEATED, STYLES, PAGES = 1.5, 2.0, 1.0, 1.5, 0.5, 4
+#: Levels of the tree: what lies deeper belongs to the branch of its ancestor there, text and all.
+DEPTH = 64
 #: Share of what its largest sibling says that speaks neither for nor against a node.
 SMALL = 0.2
 
@@ -71,7 +76,8 @@ class Page:
         self.blocks: list[dict] = []
         self.children: dict[str, list[str]] = {}
         self.signs: dict[str, float] = {}
-        self.stack: list[tuple[str, str, bool, bool, dict]] = [("", "", False, False, {})]  # tag, path, hidden, in main text, children by name
+        self.stack: list[tuple[str, str, int, bool, bool, bool, dict]] = [("", "", 0, False, False, False, {})]  # tag, path, depth, hidden, in main text, in a link, children by name
+        self.places: dict[str, list[int]] = {}  # where each open tag stands in the stack
         self.text: list[str] = []
         self.linked = 0
         self.feed(text)
@@ -82,20 +88,23 @@ class Page:
             self.text.clear()
             self.linked = 0
             if words:
-                self.blocks.append({"path": self.outer()[1], "text": words, "links": min(linked, len(words))})
-
-    def outer(self) -> tuple:
-        return next(s for s in reversed(self.stack) if s[0] not in INLINE)
+                self.blocks.append({"path": self.stack[-1][1], "text": words, "links": min(linked, len(words))})
 
     def say(self, text: str) -> None:
-        if text and not self.stack[-1][2]:
+        if text and not self.stack[-1][3]:
             text = html.unescape(text)
             self.text.append(text)
-            if any(s[0] == "a" for s in reversed(self.stack)):
+            if self.stack[-1][5]:
                 self.linked += len(text.strip())
 
     def find(self, tag: str) -> int:
-        return next((i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i][0] == tag), 0)
+        """Place of the last open ``tag``, 0 if there is none."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def close(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.places[self.stack.pop()[0]].pop()
 
     def feed(self, page: str) -> None:
         at = 0
@@ -104,7 +113,7 @@ class Page:
             at = m.end()
             tag = m[3]
             if tag is None:
-                if m[0].startswith("<![CDATA[") and not self.stack[-1][2]:
+                if m[0].startswith("<![CDATA[") and not self.stack[-1][3]:
                     self.text.append(m[0][9:].removesuffix("]]>"))
             elif (tag := tag.lower()) in ("br", "hr"):
                 self.text.append(" ")
@@ -114,7 +123,7 @@ class Page:
                 if m[2]:
                     opened = self.find(tag)
                     if opened:
-                        del self.stack[opened:]
+                        self.close(opened)
                 else:
                     self.open(tag, m[4])
         self.say(page[at:])
@@ -124,9 +133,9 @@ class Page:
         if tag not in INLINE:
             for c in ("p",) if tag != "li" else ("p", "li"):
                 opened = self.find(c)
-                if opened and not any(s[0] in ("table", "ul", "ol", "article") for s in self.stack[opened + 1 :]):
-                    del self.stack[opened:]
-        _, path, hidden, main, named = self.stack[-1]
+                if opened and max(map(self.find, ("table", "ul", "ol", "article"))) < opened:
+                    self.close(opened)
+        _, path, depth, hidden, main, linked, named = self.stack[-1]
         name, words = tag, set()
         if attributes:
             words = {re.sub(r"[0-9]+", "0", w.lower()).replace("/", "|") for found in NAMED.findall(attributes) for w in SPLIT.split("".join(found)) if w}
@@ -136,16 +145,18 @@ class Page:
         if tag not in INLINE:
             nth = named[name] = named.get(name, -1) + 1
             whole = f"{name}~{nth}" if nth and tag in CONTAINERS else name
-            if not hidden:
+            if not hidden and depth < DEPTH:
                 kids = self.children.setdefault(path, [])
                 if not kids or kids[-1] != name:
                     kids.append(name)
-            path = f"{path}/{whole}"
-            sign = sign_of(tag, words, main)
-            self.signs[path] = sign
-            main = (main or tag in MAIN_TAGS) and sign >= 0
+            depth += 1
+            if depth <= DEPTH:
+                path = f"{path}/{whole}"
+                sign = self.signs[path] = sign_of(tag, words, main)
+                main = (main or tag in MAIN_TAGS) and sign >= 0
         if not attributes.endswith("/") or tag not in INLINE:
-            self.stack.append((tag, path, hidden, main, named if tag in INLINE else {}))
+            self.places.setdefault(tag, []).append(len(self.stack))
+            self.stack.append((tag, path, depth, hidden, main, linked or tag == "a", named if tag in INLINE else {}))
 
     def nodes(self) -> list[dict]:
         """Each node that has text under it: its characters, those in links, its share of the page, its sign."""

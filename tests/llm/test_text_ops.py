@@ -312,3 +312,17 @@ def test_toxicity_score_equals_a_dictionary_scan(spark):
     texts = {r.doc_id: r.text for r in docs.where("doc_id < 400").collect()}
     for r in toxicity.score(docs.where("doc_id < 400"), lexicon).collect():
         assert r.score == pytest.approx(brute(texts[r.doc_id]), abs=1e-9)
+
+
+def test_pages_of_open_and_nested_elements_take_linear_time(spark):
+    began = time.time()
+    page = html_extract.Page("<article>" + "<b>word <i>" * 40_000 + "</article>")
+    assert time.time() - began < 3 and page.blocks[0]["text"] == " ".join(["word"] * 40_000)
+    deep = html_extract.Page("<div class='content'>" * 20_000 + "deep words" + "</div>" * 20_000)
+    assert deep.blocks == [{"path": deep.blocks[0]["path"], "text": "deep words", "links": 0}]
+    assert sum(map(len, [*deep.children, *deep.signs])) < 1_000_000 and time.time() - began < 6
+    assert [b["text"] for b in html_extract.Page("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <svg><text>three</text></svg></p>").blocks] == ["so x=2 and three"]
+    rows = [(1, "http://a.example/x", "<div>" * 3000 + "<p>deep words</p>", "x"), (2, "http://a.example/y", None, "x"), (None, None, "<a href=x>one</a> <p>two", "x")]
+    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, path string")).collect()}
+    assert got[1] == ("deep words", 10) and got[2] == ("", 0) and "two" in got[None][0]
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
