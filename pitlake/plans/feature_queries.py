@@ -245,13 +245,13 @@ CUT = "DATE '1997-06-30'"
 CTE["obs"] = (
     ("px", "cal"),
     f"SELECT g.instrument_id, g.d, CASE WHEN g.d > {CUT} THEN 'after_cutoff' WHEN last_pos IS NULL THEN 'missing_calendar' WHEN p.pos IS NULL THEN 'unavailable' WHEN p.pos + 63 > last_pos THEN 'crosses_cutoff' ELSE 'eligible' END AS reason"
-    " FROM (SELECT instrument_id, d FROM (SELECT DISTINCT instrument_id FROM px) CROSS JOIN (SELECT d FROM cal WHERE idx % 10 = 1)) g LEFT JOIN (SELECT instrument_id, d, row_number() OVER (PARTITION BY instrument_id ORDER BY d) AS pos FROM px) p USING (instrument_id, d)"
+    " FROM (SELECT instrument_id, d FROM (SELECT DISTINCT instrument_id FROM px) CROSS JOIN (SELECT d FROM cal)) g LEFT JOIN (SELECT instrument_id, d, row_number() OVER (PARTITION BY instrument_id ORDER BY d) AS pos FROM px) p USING (instrument_id, d)"
     f" LEFT JOIN (SELECT instrument_id, count(*) AS last_pos FROM px WHERE d <= {CUT} GROUP BY 1) l ON l.instrument_id = g.instrument_id",
 )
 
 
 def observability(t: Tables) -> DataFrame:
-    grid = t.px.select("instrument_id").distinct().crossJoin(F.broadcast(t.cal.where("idx % 10 = 1").select("d")))
+    grid = t.px.select("instrument_id").distinct().crossJoin(F.broadcast(t.cal.select("d")))
     return pit.label_observability(grid, t.px, F.lit("1997-06-30").cast("date"), 63)
 
 

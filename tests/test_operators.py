@@ -3,6 +3,7 @@
 import datetime as dt
 import functools
 import math
+import os
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from pitlake import plans
 from pitlake.operators import analogues, evaluate, integrity, regimes, systems
 from pitlake.operators import features as ft
 from pitlake.operators import ledger, pit, quality, research
@@ -31,7 +33,8 @@ def panel(spark, closes, instrument=1):
 def test_entry_and_registration(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert len(__spark_entry__.queries()) > 190
+    assert len(plans.QUERIES) == len(plans.ORACLE_SQL) == 267
+    assert len(__spark_entry__.queries()) == 267 + 14 * os.path.isdir(os.path.join(os.path.dirname(plans.__file__), "..", "llm"))  # none vanishes for want of a library
 
 
 def test_rolling_needs_a_full_window(spark):
