@@ -19,8 +19,10 @@ from pitlake.llm.common import TEXT_ROWS, columns, map_batches, map_text, materi
 
 #: Bytes that separate words become a space, A-Z become lower case; all bytes from 0x80 on belong to words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-#: Words of all items that one automaton may hold; a larger benchmark is read in several passes.
-AUTOMATON_WORDS = 2_000_000
+#: Words of all items that one automaton may hold (about 0.7 KB each in a worker); a larger benchmark is read in several passes.
+AUTOMATON_WORDS = 200_000
+#: States looked up for a size that a worker remembers before it starts anew.
+LOCI = 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,6 +60,8 @@ class SuffixAutomaton:
             found = state
             while self.length[self.link[found]] >= size:
                 found = self.link[found]
+            if len(self.loci) >= LOCI:
+                self.loci.clear()
             self.loci[state, size] = found
         return found
 

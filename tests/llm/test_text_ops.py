@@ -251,6 +251,19 @@ def test_contamination_equals_brute_force(spark):
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
 
 
+def test_automaton_stays_bounded(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "LOCI", 50)
+    rng = np.random.default_rng(2)
+    items = [(i, decontam.words_of(" ".join(rng.choice(list("abcd"), 30)))) for i in range(20)]
+    automaton = decontam.SuffixAutomaton(items, 5)
+    held = {tuple(w[i : i + 5]) for _, w in items for i in range(len(w) - 4)}
+    for _ in range(20):
+        words = decontam.words_of(" ".join(rng.choice(list("abcd"), 60)))
+        hit = {p for i in range(56) if tuple(words[i : i + 5]) in held for p in range(i, i + 5)}
+        assert {p for a, b in automaton.scan(words)[0] for p in range(a, b)} == hit
+        assert len(automaton.loci) <= 50
+
+
 def test_decontaminate_takes_spans_out(spark):
     bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x. One, two three four! y z q r", 31, json.dumps({})), (2, "clean", 5, None), (3, "one two three four", 18, None), (4, None, None, None)], "doc_id long, text string, n_chars long, lang string")
