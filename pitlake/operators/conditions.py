@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from pitlake.operators import research as rs
+
 #: Name, family, mode, feature, whose series it is, upper and lower cut, band of a direction, window of a catalyst.
 TEMPLATES = (
     ("market_trend", "market", "flag", "regime_bull", "market", 0.5, 0.5, 0.0, 0.0),
@@ -38,6 +40,8 @@ LADDER = (("market", "sector", "company", "catalyst"), ("market", "sector", "com
 GROUPS = {"market": ("market",), "sector": ("sector",), "company": ("company", "valuation"), "catalyst": ("catalyst",)}
 #: Matches, calendar episodes and years at least, shares of one symbol and one year at most; sessions of the main horizon.
 SUPPORT, FOCUS = (40, 12, 3, 0.5, 0.6), 21
+#: A return that counts as large, episodes for a confidence of one half and for a score at all.
+BEYOND, PRIOR_EPISODES, LEAST_EPISODES = 0.05, 20.0, 5.0
 #: The quantiles of own buckets.
 CUTS = (0.2, 0.8)
 #: One bit of each template: those that can be evaluated.
@@ -92,12 +96,12 @@ def rungs(states: DataFrame) -> DataFrame:
     return rows.select("instrument_id", "as_of", "whole", F.inline(F.filter(F.array(*each), lambda x: x.isNotNull())))
 
 
-def apply_masks(pool: DataFrame, masks: DataFrame) -> DataFrame:
+def apply_masks(pool: DataFrame, masks: DataFrame, horizon: int = FOCUS) -> DataFrame:
     """Per scoring date, mask and instrument: events (first days of matches among the days that can be evaluated), and sums
     of complete outcomes over events and over all such days.
 
-    ``pool`` has one row per date and instrument with arrays ``days, known, hold, fwd``, as long as the calendar; ``masks``
-    are the distinct masks of a date, as many as its targets have rungs.
+    ``pool`` has one row per date and instrument with arrays ``days, known, hold`` and ``fwd<horizon>``, as long as the
+    calendar; ``masks`` are the distinct masks of a date, as many as its targets have rungs.
     """
     asked = masks.select("as_of", "mask").distinct().groupBy("as_of").agg(F.sort_array(F.collect_list("mask")).alias("masks"))
     schema = "as_of date, mask int, instrument_id long, n long, events array<int>, n_done long, s_done double, n_base long, s_base double"
@@ -122,7 +126,22 @@ def apply_masks(pool: DataFrame, masks: DataFrame) -> DataFrame:
                         rows[c].append(x)
             yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in out], schema=out)
 
-    return pool.join(F.broadcast(asked), "as_of").select("as_of", "instrument_id", "days", "known", "hold", "fwd", "masks").mapInArrow(run, schema)
+    return pool.join(F.broadcast(asked), "as_of").select("as_of", "instrument_id", "days", "known", "hold", F.col(f"fwd{horizon}").alias("fwd"), "masks").mapInArrow(run, schema)
+
+
+def described(rows: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key (with ``horizon``) what followed the events: distribution, effect against the base, its error on the
+    independent episodes, shares beyond 5 %, and the largest shares of one symbol and one year.
+    """
+    x = F.col("fwd")
+    share = lambda c: F.avg(c.cast("double"))
+    out = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_samp(x).alias("std"), share(x > 0).alias("p_up"), share(x > BEYOND).alias("p_above"), share(x < -BEYOND).alias("p_below"),
+        *[F.percentile(x, q / 100).alias(f"p{q}") for q in (10, 25, 75, 90)],
+    )
+    profile = rs.independence(rows, keys, F.col("horizon")).select(*keys, "episodes", "hhi_symbol", "hhi_year")
+    joined = out.join(profile, keys).join(base.select(*keys, "base"), keys, "left")
+    return joined.withColumns({"effect": F.col("mean") - F.col("base"), "se": F.col("std") / F.sqrt("episodes")})
 
 
 def effects(found: DataFrame) -> DataFrame:

@@ -1,16 +1,13 @@
-"""Queries of conditions on an instrument's own quantiles."""
+"""Two studies of conditions on own quantiles at one date, which the integrity queries look at."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitlake.functions import stats
 from pitlake.operators import features as ft
 from pitlake.operators import research as rs
-from pitlake.plans.registry import CTE, Tables, query
-from pitlake.plans.research_queries import SUMMARY, neat
-from pitlake.plans.research_queries import NUMBERS as SUMMED
+from pitlake.plans.registry import CTE, Tables
 
 COLUMNS = ["ret_21d", "price_to_ma50", "vol_21d", "ret_5d"]
 AS_OF = "1997-06-30"
@@ -31,7 +28,6 @@ def own_quantiles(t: Tables) -> DataFrame:
     return narrow(t).groupBy("instrument_id", "feature").agg(enough(0.8).alias("q80"), enough(0.6).alias("q60"), enough(0.3).alias("q30"))
 
 
-query("cpe_own_quantile", "own", "SELECT instrument_id, feature, round(q80, 6) AS q80, round(q60, 6) AS q60, round(q30, 6) AS q30 FROM own")(lambda t: neat(own_quantiles(t), "q80", "q60", "q30"))
 CTE["thr"] = (("own", "cond"), "SELECT study, instrument_id, feature, op, CASE q WHEN 0.8 THEN q80 WHEN 0.6 THEN q60 ELSE q30 END AS lim FROM cond JOIN own USING (feature)")
 
 
@@ -40,7 +36,6 @@ def thresholds(t: Tables) -> DataFrame:
     return own_quantiles(t).join(F.broadcast(cond), "feature").select("study", "instrument_id", "feature", "op", F.when(F.col("q") == 0.8, F.col("q80")).when(F.col("q") == 0.6, F.col("q60")).otherwise(F.col("q30")).alias("limit"))
 
 
-query("cpe_threshold", "thr", "SELECT study, instrument_id, feature, op, round(lim, 6) AS threshold FROM thr")(lambda t: thresholds(t).select("study", "instrument_id", "feature", "op", F.round("limit", 6).alias("threshold")))
 CTE["celig"] = (
     ("vec", "thr", "cond"),
     "SELECT study, instrument_id, d, bool_and(CASE op WHEN '>=' THEN value >= lim ELSE value <= lim END) AS match FROM (SELECT instrument_id, d, feature, value FROM vec UNPIVOT (value FOR feature IN (ret_21d, price_to_ma50, vol_21d))) JOIN thr USING (instrument_id, feature) JOIN (SELECT study, count(*) AS n FROM cond GROUP BY 1) USING (study) WHERE lim IS NOT NULL GROUP BY study, instrument_id, d, n HAVING count(*) = n",
@@ -56,22 +51,3 @@ def conditioned(t: Tables) -> DataFrame:
 
 
 CTE["cev"] = (("celig",), "SELECT study, instrument_id, d FROM (SELECT *, lag(match) OVER (PARTITION BY study, instrument_id ORDER BY d) AS b FROM celig) WHERE match AND NOT coalesce(b, false)")
-query("cpe_match", "cev", "SELECT * FROM cev")(lambda t: rs.events(conditioned(t)))
-CTE["cf"] = (("cev", "fwd"), "SELECT study, horizon, fwd FROM cev JOIN fwd USING (instrument_id, d) WHERE fwd IS NOT NULL")
-query("cpe_pooled_returns", "cf", f"SELECT study, horizon, {SUMMARY} FROM cf GROUP BY 1, 2")(lambda t: neat(rs.summary(rs.events(conditioned(t)).join(rs.forward_returns(t.px), ["instrument_id", "d"]), ["study", "horizon"]), *SUMMED))
-CTE["cb"] = (("celig", "fwd"), "SELECT study, horizon, avg(fwd) AS base FROM celig JOIN fwd USING (instrument_id, d) WHERE fwd IS NOT NULL GROUP BY 1, 2")
-CTE["ch"] = (("cf", "cb"), "SELECT study, horizon, count(*) AS n, avg(fwd) - any_value(base) AS effect, stddev_samp(fwd) / sqrt(count(*)) AS se, avg(CASE WHEN fwd > 0.05 THEN 1.0 ELSE 0.0 END) AS p_above, avg(CASE WHEN fwd < -0.05 THEN 1.0 ELSE 0.0 END) AS p_below FROM cf JOIN cb USING (study, horizon) GROUP BY 1, 2")
-
-
-def horizon_outcomes(t: Tables) -> DataFrame:
-    days, fwd = conditioned(t), rs.forward_returns(t.px).where("fwd is not null")
-    base = days.join(fwd, ["instrument_id", "d"]).groupBy("study", "horizon").agg(F.avg("fwd").alias("base"))
-    got = rs.events(days).join(fwd, ["instrument_id", "d"]).join(F.broadcast(base), ["study", "horizon"])
-    share = lambda c: F.avg(c.cast("double"))
-    return got.groupBy("study", "horizon").agg(F.count("*").alias("n"), (F.avg("fwd") - F.first("base")).alias("effect"), (F.stddev_samp("fwd") / F.sqrt(F.count("*"))).alias("se"), share(F.col("fwd") > 0.05).alias("p_above"), share(F.col("fwd") < -0.05).alias("p_below"))
-
-
-query("cpe_horizon_outcome", "ch", "SELECT study, horizon, n, round(effect, 6) AS effect, round(se, 6) AS se, round(p_above, 6) AS p_above, round(p_below, 6) AS p_below FROM ch")(lambda t: neat(horizon_outcomes(t), "effect", "se", "p_above", "p_below"))
-query("cpe_score", "ch", f"SELECT study, horizon, round(100 * ({stats.norm_cdf_sql('(effect / se)')}), 6) AS score, round(n / (n + 20.0), 6) AS confidence FROM ch")(
-    lambda t: horizon_outcomes(t).select("study", "horizon", F.round(stats.score_from_z(F.col("effect") / F.col("se")), 6).alias("score"), F.round(stats.confidence("n", 20.0), 6).alias("confidence"))
-)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitlake.functions import stats
 from pitlake.operators import conditions as cd
 from pitlake.operators import features as ft
 from pitlake.operators import grammar as gr
@@ -18,6 +21,7 @@ from pitlake.sources import sinks
 OWN = {r[3] for r in cd.TEMPLATES if r[4] == "own"}
 MARKET = ("regime_bull", "vix_pctile_252d", "cpi_yoy_accel")
 GAP = cd.FOCUS * rs.OVERLAP_DAYS
+HORIZONS = mq.HORIZONS
 
 
 def series(t: Tables) -> dict[str, DataFrame]:
@@ -68,7 +72,7 @@ def pool(t: Tables) -> DataFrame:
         buckets = [(k, r[3]) for k, r in enumerate(cd.TEMPLATES) if r[2] == "own"]
         values = every.where("mode = 'own'").groupBy("instrument_id", "d").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("values"))
         cuts = states(t).where(F.col("q").isNotNull() & F.col("feature").isin(*[f for _, f in buckets])).groupBy("instrument_id", "as_of").agg(F.map_from_entries(F.collect_list(F.struct("feature", "q"))).alias("cuts"))
-        fwd = sq.positions(t).select("instrument_id", "d", "pos", (F.lead("adj", cd.FOCUS).over(ft.own_days()) / F.col("adj") - 1).alias("x"))
+        fwd = sq.positions(t).select("instrument_id", "d", "pos", *[(F.lead("adj", h).over(ft.own_days()) / F.col("adj") - 1).alias(f"x{h}") for h in HORIZONS])
         rows = fwd.join(fixed, ["instrument_id", "d"], "left").join(values, ["instrument_id", "d"], "left")
         cells = sq.cells(t).select("instrument_id", "as_of", "target_pos").join(cuts, ["instrument_id", "as_of"], "left")
         rows = rows.join(F.broadcast(cells), "instrument_id").where("pos <= target_pos")
@@ -76,9 +80,9 @@ def pool(t: Tables) -> DataFrame:
         there = lambda f: v(f).isNotNull() & q(f, 0).isNotNull()
         known = sum((F.when(there(f), 4**k).otherwise(0) for k, f in buckets), F.coalesce("known", F.lit(0)))
         hold = sum((F.when(there(f), (F.when(v(f) >= q(f, 1), 1).otherwise(0) + F.when(v(f) <= q(f, 0), 2).otherwise(0)) * 4**k).otherwise(0) for k, f in buckets), F.coalesce("hold", F.lit(0)))
-        whole = rows.select("instrument_id", "as_of", F.unix_date("d").alias("day"), known.cast("int").alias("known"), hold.cast("int").alias("hold"), F.when(F.col("pos") + cd.FOCUS <= F.col("target_pos"), F.col("x")).alias("x"))
-        arrays = whole.groupBy("as_of", "instrument_id").agg(F.sort_array(F.collect_list(F.struct("day", "known", "hold", "x"))).alias("a"))
-        t._pool = sinks.written(arrays.select("as_of", "instrument_id", F.col("a.day").alias("days"), F.col("a.known").alias("known"), F.col("a.hold").alias("hold"), F.col("a.x").alias("fwd")), "pool")
+        whole = rows.select("instrument_id", "as_of", F.unix_date("d").alias("day"), known.cast("int").alias("known"), hold.cast("int").alias("hold"), *[F.when(F.col("pos") + h <= F.col("target_pos"), F.col(f"x{h}")).alias(f"x{h}") for h in HORIZONS])
+        arrays = whole.groupBy("as_of", "instrument_id").agg(F.sort_array(F.collect_list(F.struct("day", "known", "hold", *[f"x{h}" for h in HORIZONS]))).alias("a"))
+        t._pool = sinks.written(arrays.select("as_of", "instrument_id", F.col("a.day").alias("days"), F.col("a.known").alias("known"), F.col("a.hold").alias("hold"), *[F.col(f"a.x{h}").alias(f"fwd{h}") for h in HORIZONS]), "pool")
     return t._pool
 
 
@@ -87,7 +91,7 @@ def chosen(t: Tables) -> DataFrame:
     if not hasattr(t, "_chosen"):
         steps = cd.rungs(resolved(t))
         found = sinks.written(cd.apply_masks(pool(t), steps), "matches")
-        events = found.select("as_of", "mask", "instrument_id", F.explode("events").alias("day")).select("as_of", "mask", "instrument_id", F.date_from_unix_date("day").alias("d"))
+        events = t._events = found.select("as_of", "mask", "instrument_id", F.explode("events").alias("day")).select("as_of", "mask", "instrument_id", F.date_from_unix_date("day").alias("d"))
         profile = rs.independence(events, ["as_of", "mask"], cd.FOCUS)
         raw, episodes, years, symbol, year = cd.SUPPORT
         good = profile.where((F.col("raw") >= raw) & (F.col("episodes") >= episodes) & (F.col("years") >= years) & (F.col("hhi_symbol") <= symbol) & (F.col("hhi_year") <= year))
@@ -96,6 +100,37 @@ def chosen(t: Tables) -> DataFrame:
     return t._chosen
 
 
+def matches(t: Tables) -> DataFrame:
+    """The match sets that are used: per date and mask the candidates' events."""
+    asked = chosen(t).select("as_of", "mask").distinct()
+    return t._events.join(F.broadcast(asked), ["as_of", "mask"])
+
+
+def pooled(t: Tables) -> DataFrame:
+    """Events of the match sets with each complete outcome."""
+    each = [F.struct(F.lit(h).alias("horizon"), (F.lead("adj", h).over(ft.own_days()) / F.col("adj") - 1).alias("fwd")) for h in HORIZONS]
+    fwd = sq.positions(t).select("instrument_id", "d", "pos", F.array(*each).alias("o")).select("instrument_id", "d", "pos", F.inline("o"))
+    ends = sq.cells(t).select("instrument_id", "as_of", "target_pos")
+    return matches(t).join(fwd, ["instrument_id", "d"]).join(ends, ["instrument_id", "as_of"]).where("pos + horizon <= target_pos").select("as_of", "mask", "horizon", "instrument_id", "d", "fwd")
+
+
+def outcomes(t: Tables) -> DataFrame:
+    """What followed the match sets per date, mask and horizon, against all days that can be evaluated."""
+    if not hasattr(t, "_outcomes_of_sets"):
+        asked = chosen(t).select("as_of", "mask").distinct()
+        base = reduce(DataFrame.unionByName, [cd.apply_masks(pool(t), asked, h).groupBy("as_of", "mask").agg(F.sum("s_base").alias("s"), F.sum("n_base").alias("n")).select("as_of", "mask", F.lit(h).alias("horizon"), F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("base")) for h in HORIZONS])
+        t._outcomes_of_sets = sinks.written(cd.described(pooled(t), base, ["as_of", "mask", "horizon"]), "described")
+    return t._outcomes_of_sets
+
+
+def scored(t: Tables) -> DataFrame:
+    """Per cell and horizon the score of its match set; without spread or with few episodes there is none."""
+    rows = chosen(t).select("instrument_id", "as_of", "mask").join(outcomes(t), ["as_of", "mask"]).where((F.col("se") > 0) & F.col("effect").isNotNull() & (F.col("episodes") >= cd.LEAST_EPISODES))
+    z = F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.col("effect") / F.col("se")))
+    diverse = 1 - F.greatest("hhi_symbol", "hhi_year")
+    return rows.withColumns({"score": stats.score_from_z(z), "confidence": stats.confidence(F.col("episodes"), cd.PRIOR_EPISODES, diverse)})
+
+
 def leave_one_out(t: Tables) -> DataFrame:
     """For each condition of the chosen sets of two and more: the effect with it less that without it."""
     bits = resolved(t).where("side is not null").select("instrument_id", "as_of", "name", F.expr("shiftleft(1, 2 * bit + side)").alias("one"))
@@ -179,3 +214,49 @@ CTE["cloom"] = (("cpool", "cloo"), _matched("cloo"))
 query("cpe_leave_one_out", "cloo cloom", f"SELECT l.instrument_id, l.as_of, l.name, l.n_with, e.n AS n_without, round(l.whole_effect - e.effect, 6) + 0.0::DOUBLE AS change FROM cloo l JOIN ({_EFFECT.format(t='cloom')}) e USING (as_of, mask)", stored=True)(
     lambda t: leave_one_out(t).select("instrument_id", "as_of", "name", "n_with", "n_without", (F.round("change", 6) + 0.0).alias("change"))
 )
+
+
+# Match sets and what followed them ---------------------------------------------------------------------------------
+
+CTE["cuse"] = (("cmat", "cchosen"), "SELECT m.* FROM cmat m SEMI JOIN cchosen c ON c.as_of = m.as_of AND c.mask = m.mask")
+CTE["cfwd"] = (("apos",), " UNION ALL ".join(f"SELECT instrument_id, d, pos, {h} AS horizon, lead(adj, {h}) OVER (PARTITION BY instrument_id ORDER BY d) / adj - 1 AS fwd FROM apos" for h in HORIZONS))
+CTE["cdone"] = (("cuse", "cfwd", "acell"), "SELECT u.as_of, u.mask, u.instrument_id, u.d, u.event, f.horizon, f.fwd FROM cuse u JOIN cfwd f ON f.instrument_id = u.instrument_id AND f.d = u.d JOIN acell a ON a.instrument_id = u.instrument_id AND a.as_of = u.as_of AND f.pos + f.horizon <= a.target_pos")
+_key = "as_of, mask, horizon"
+_share = lambda k, n: f"(SELECT {_key}, sum(c * c)::DOUBLE / (sum(c) * sum(c)) AS {n} FROM (SELECT {_key}, {k} AS k, count(*) AS c FROM e GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)"
+_p = lambda c: f"avg(CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0 END)"
+CTE["cdesc"] = (
+    ("cdone",),
+    f"WITH e AS (SELECT * FROM cdone WHERE event), g AS (SELECT {_key}, d, CASE WHEN d - lag(d) OVER (PARTITION BY {_key} ORDER BY d) <= 1.4 * horizon THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT {_key}, d FROM e)), x AS (SELECT {_key}, sum(fresh)::BIGINT AS episodes FROM g GROUP BY 1, 2, 3),"
+    f" s AS (SELECT {_key}, count(*) AS n, avg(fwd) AS mean, median(fwd) AS median, stddev_samp(fwd) AS std, {_p('fwd > 0')} AS p_up, {_p(f'fwd > {cd.BEYOND}')} AS p_above, {_p(f'fwd < -{cd.BEYOND}')} AS p_below, {', '.join(f'quantile_cont(fwd, {q / 100}) AS p{q}' for q in (10, 25, 75, 90))} FROM e GROUP BY 1, 2, 3), b AS (SELECT {_key}, avg(fwd) AS base FROM cdone GROUP BY 1, 2, 3)"
+    f" SELECT *, mean - base AS effect, std / sqrt(episodes) AS se FROM s JOIN x USING ({_key}) JOIN {_share('instrument_id', 'hhi_symbol')} USING ({_key}) JOIN {_share('year(d)', 'hhi_year')} USING ({_key}) JOIN b USING ({_key})",
+)
+_own = [r[3] for r in cd.TEMPLATES if r[2] == "own"]
+query("cpe_own_quantile", "cstate acell", f"SELECT c.instrument_id, c.as_of, s.feature, round(s.q[1], 6) AS low, round(s.q[2], 6) AS high FROM cstate s JOIN acell c ON s.src = 'own' AND s.key = c.instrument_id AND s.as_of = c.as_of WHERE q IS NOT NULL AND feature IN ({_q(_own)})", stored=True)(
+    lambda t: states(t).where(F.col("q").isNotNull() & F.col("feature").isin(_own)).select("instrument_id", "as_of", "feature", F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
+)
+_conds = "SELECT DISTINCT as_of, name, mode, feature, side, CASE WHEN mode <> 'own' THEN threshold END AS fixed FROM cres WHERE side IS NOT NULL"
+query(
+    "cpe_threshold", "cres acell cstate",
+    f"SELECT k.as_of, k.name, CAST(k.side AS INTEGER) AS side, c.instrument_id, round(CASE WHEN k.mode = 'own' THEN CASE WHEN k.side = 0 THEN s.q[2] ELSE s.q[1] END ELSE k.fixed END, 6) AS threshold FROM ({_conds}) k JOIN acell c USING (as_of) LEFT JOIN cstate s ON s.src = 'own' AND s.key = c.instrument_id AND s.as_of = k.as_of AND s.feature = k.feature",
+    stored=True,
+)(lambda t: thresholds(t).withColumn("threshold", F.round("threshold", 6)))
+
+
+def thresholds(t: Tables) -> DataFrame:
+    """Every condition that some target has at a date, with its limit for every candidate; null where a candidate's history is thin."""
+    conds = resolved(t).where("side is not null").select("as_of", "name", "mode", "feature", "side", F.when(F.col("mode") != "own", F.col("threshold")).alias("fixed")).distinct()
+    rows = conds.join(sq.cells(t).select("instrument_id", "as_of"), "as_of").join(states(t).select("instrument_id", "as_of", "feature", "q"), ["instrument_id", "as_of", "feature"], "left")
+    own = F.when(F.col("side") == 0, F.col("q")[1]).otherwise(F.col("q")[0])
+    return rows.select("as_of", "name", "side", "instrument_id", F.when(F.col("mode") == "own", own).otherwise(F.col("fixed")).alias("threshold"))
+
+
+query("cpe_match", "cuse", "SELECT as_of, CAST(mask AS INTEGER) AS mask, instrument_id, d FROM cuse WHERE event", stored=True)(matches)
+DESCRIBED = ("mean", "median", "std", "p_up", "p10", "p25", "p75", "p90")
+query("cpe_pooled_returns", "cdesc", f"SELECT as_of, CAST(mask AS INTEGER) AS mask, horizon, n, {', '.join(f'round({c}, 6) AS {c}' for c in DESCRIBED)} FROM cdesc", stored=True)(lambda t: outcomes(t).select("as_of", "mask", "horizon", "n", *[F.round(c, 6).alias(c) for c in DESCRIBED]))
+OUTCOME = ("base", "effect", "se", "p_above", "p_below", "hhi_symbol", "hhi_year")
+query("cpe_horizon_outcome", "cdesc", f"SELECT as_of, CAST(mask AS INTEGER) AS mask, horizon, n, episodes, {', '.join(f'round({c}, 6) AS {c}' for c in OUTCOME)} FROM cdesc", stored=True)(lambda t: outcomes(t).select("as_of", "mask", "horizon", "n", "episodes", *[F.round(c, 6).alias(c) for c in OUTCOME]))
+query(
+    "cpe_score", "cchosen cdesc",
+    f"SELECT instrument_id, as_of, horizon, round(100 * ({stats.norm_cdf_sql('z')}), 5) AS score, round(least(1, greatest(0, episodes / (episodes + {cd.PRIOR_EPISODES}) * (1 - greatest(hhi_symbol, hhi_year)))), 6) AS confidence, round(effect, 6) AS effect FROM (SELECT c.instrument_id, d.*, greatest(-4, least(4, d.effect / d.se)) AS z FROM cchosen c JOIN cdesc d USING (as_of, mask) WHERE d.se > 0 AND d.effect IS NOT NULL AND d.episodes >= {cd.LEAST_EPISODES})",
+    stored=True,
+)(lambda t: scored(t).select("instrument_id", "as_of", "horizon", F.round("score", 5).alias("score"), F.round("confidence", 6).alias("confidence"), F.round("effect", 6).alias("effect")))

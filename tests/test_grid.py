@@ -116,7 +116,7 @@ def test_masks_equal_rows_of_conditions(spark):
             match = {n: all(hold[n] >> b & 1 for b in bits) for n in able}
             events = [n for at, n in enumerate(able) if match[n] and not (at and match[able[at - 1]])]
             want[m, i] = (events, sum(fwd[n] for n in events if fwd[n] is not None), sum(fwd[n] is not None for n in able))
-    pool = spark.createDataFrame(rows, "as_of date, instrument_id long, days array<int>, known array<int>, hold array<int>, fwd array<double>")
+    pool = spark.createDataFrame(rows, "as_of date, instrument_id long, days array<int>, known array<int>, hold array<int>, fwd21 array<double>")
     asked = spark.createDataFrame([(as_of, m) for m in masks], "as_of date, mask int")
     got = {(r.mask, r.instrument_id): (r.events, r.s_done, r.n_base) for r in cd.apply_masks(pool, asked).collect()}
     assert set(got) == {k for k, v in want.items() if v[0] or k in got}
