@@ -62,6 +62,25 @@ def attribution(evidence: DataFrame, combined: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).withColumn("running", 50 + F.sum("contribution").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def diff_previous(rows: DataFrame, moved: float = 0.15, adjusted: float = 1.0) -> DataFrame:
+    """Each assessment against the instrument's previous one: eight changes, null or false where there is nothing to tell.
+
+    ``rows`` has ``trim, label, confidence, effect, adjustment, driver`` and the participating ``models`` as a sorted array.
+    """
+    w = Window.partitionBy("instrument_id").orderBy("as_of")
+    before = {c: F.lag(c).over(w) for c in ("as_of", "trim", "label", "confidence", "effect", "adjustment", "driver", "models")}
+    told = rows.withColumns({f"p_{c}": x for c, x in before.items()})
+    there, was = F.col("p_as_of").isNotNull(), lambda c: F.col(f"p_{c}")
+    arrow = lambda c: F.when(there & ~F.col(c).eqNullSafe(was(c)), F.concat(F.coalesce(was(c), F.lit("-")), F.lit(" -> "), F.coalesce(c, F.lit("-"))))
+    names = lambda a, b: F.when(there, F.nullif(F.array_join(F.array_except(a, b), ", "), F.lit("")))
+    return told.select(
+        *GROUP, F.col("p_as_of").alias("previous_as_of"), (F.col("trim") - was("trim")).alias("delta"), arrow("label").alias("label_change"), arrow("driver").alias("driver_change"),
+        names(F.col("models"), was("models")).alias("appeared"), names(was("models"), F.col("models")).alias("went_quiet"),
+        F.coalesce(F.abs(F.col("confidence") - was("confidence")) >= moved, F.lit(False)).alias("confidence_moved"), F.coalesce((F.col("effect") > 0) != (was("effect") > 0), F.lit(False)).alias("direction_flipped"),
+        F.coalesce(F.abs(F.col("adjustment") - was("adjustment")) > adjusted, F.lit(False)).alias("adjustment_moved"),
+    )
+
+
 def data_quality(n: Column, confidence: Column) -> Column:
     return F.when(n == 0, "no_evidence").when(n < 2, "sparse").when(confidence < 0.2, "conflicted").when(confidence >= 0.5, "strong").otherwise("moderate")
 

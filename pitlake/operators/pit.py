@@ -61,6 +61,20 @@ def session_at(days: DataFrame, calendar: DataFrame, day: str) -> DataFrame:
     return days.join(F.broadcast(found), day, "left")
 
 
+def completed_session(rows: DataFrame, calendar: DataFrame, now: str, close_minutes: int = 16 * 60, buffer_minutes: int = 60) -> DataFrame:
+    """Rows with the last session that is over at their time ``now``: its regular close and a buffer have passed."""
+    day = F.to_date(F.col(now) - F.expr(f"interval {close_minutes + buffer_minutes} minutes"))
+    return session_at(rows.withColumn("_done", day), calendar, "_done").drop("_done")
+
+
+def is_half_day(d: Column) -> Column:
+    """Early closes: the day after Thanksgiving, Christmas Eve, and the third of July, on days that are traded."""
+    weekday = F.weekday(d)  # Monday is 0
+    friday = (F.month(d) == 11) & (weekday == 4) & F.dayofmonth(d).between(23, 29)
+    eve = ((F.month(d) == 12) & (F.dayofmonth(d) == 24)) | ((F.month(d) == 7) & (F.dayofmonth(d) == 3))
+    return friday | (eve & (weekday < 4))
+
+
 def session_offset(rows: DataFrame, calendar: DataFrame, k: Column | int, name: str) -> DataFrame:
     """The session ``k`` places after ``entry_idx``; null past the calendar's end."""
     cal = calendar.select(F.col("idx").alias("_i"), F.col("d").alias(name))

@@ -94,9 +94,27 @@ query("eng_attribution_check", "contrib", "SELECT count(*) AS checked, count(*)
 query("eng_band_distance", "tr", f"SELECT instrument_id, as_of, round(trim - (SELECT max(b) FROM (VALUES {', '.join(f'({x}::DOUBLE)' for x, _ in ev.BANDS)}) v(b) WHERE b <= trim), 5) AS to_lower, round((SELECT min(b) FROM (VALUES {', '.join(f'({x}::DOUBLE)' for x, _ in ev.BANDS)}) v(b) WHERE b > trim) - trim, 5) AS to_upper FROM tr")(
     lambda t: dc.band_distance(trimmed(t)).select("instrument_id", "as_of", F.round("to_lower", 5).alias("to_lower"), F.round("to_upper", 5).alias("to_upper"))
 )
-query("eng_diff_previous", "lb", "SELECT instrument_id, as_of, round(trim - lag(trim) OVER w, 5) AS delta, coalesce(label <> lag(label) OVER w, false) AS label_changed, coalesce(abs(confidence - lag(confidence) OVER w) >= 0.15, false) AS confidence_moved FROM lb WINDOW w AS (PARTITION BY instrument_id ORDER BY as_of)")(
-    lambda t: (lambda w: labelled(t).select("instrument_id", "as_of", F.round(F.col("trim") - F.lag("trim").over(w), 5).alias("delta"), F.coalesce(F.col("label") != F.lag("label").over(w), F.lit(False)).alias("label_changed"), F.coalesce(F.abs(F.col("confidence") - F.lag("confidence").over(w)) >= 0.15, F.lit(False)).alias("confidence_moved")))(Window.partitionBy("instrument_id").orderBy("as_of"))
+_arrow = "CASE WHEN lag(as_of) OVER w IS NOT NULL AND {c} IS DISTINCT FROM lag({c}) OVER w THEN coalesce(lag({c}) OVER w, '-') || ' -> ' || coalesce({c}, '-') END"
+_less = "CASE WHEN lag(as_of) OVER w IS NOT NULL THEN nullif(array_to_string(list_sort(list_filter({a}, lambda m: NOT list_contains({b}, m))), ', '), '') END"
+CTE["asd"] = (
+    ("lb", "contrib", "mp"),
+    "SELECT lb.*, d.driver, m.models FROM lb LEFT JOIN (SELECT instrument_id, as_of, model AS driver FROM contrib WHERE rank = 1) d USING (instrument_id, as_of) LEFT JOIN (SELECT instrument_id, as_of, list_sort(list(model)) AS models FROM mp GROUP BY 1, 2) m USING (instrument_id, as_of)",
 )
+CTE["asdl"] = (("asd",), "SELECT *, lag(models) OVER (PARTITION BY instrument_id ORDER BY as_of) AS p_models FROM asd")
+query(
+    "eng_diff_previous", "asdl",
+    f"SELECT instrument_id, as_of, lag(as_of) OVER w AS previous_as_of, round(trim - lag(trim) OVER w, 5) AS delta, {_arrow.format(c='label')} AS label_change, {_arrow.format(c='driver')} AS driver_change, {_less.format(a='models', b='p_models')} AS appeared, {_less.format(a='p_models', b='models')} AS went_quiet,"
+    " coalesce(abs(confidence - lag(confidence) OVER w) >= 0.15, false) AS confidence_moved, coalesce((effect > 0) <> (lag(effect) OVER w > 0), false) AS direction_flipped, coalesce(abs(adjustment - lag(adjustment) OVER w) > 1, false) AS adjustment_moved FROM asdl WINDOW w AS (PARTITION BY instrument_id ORDER BY as_of)",
+)(lambda t: dc.diff_previous(assessments(t)).withColumn("delta", F.round("delta", 5)))
+
+
+def assessments(t: Tables) -> DataFrame:
+    """Labelled scores with their largest driver and the models that took part."""
+    driver = attributed(t).where("rank = 1").select("instrument_id", "as_of", F.col("model").alias("driver"))
+    models = dc.participation(evidence(t)).where("part = 'participating'").groupBy("instrument_id", "as_of").agg(F.sort_array(F.collect_list("model")).alias("models"))
+    return labelled(t).join(driver, ["instrument_id", "as_of"], "left").join(models, ["instrument_id", "as_of"], "left")
+
+
 query("eng_unknowns", "me", "SELECT instrument_id, as_of, model, part FROM me WHERE part <> 'participating'")(lambda t: dc.participation(evidence(t)).where("part <> 'participating'").select("instrument_id", "as_of", "model", "part"))
 query("mod_neutral", "me", "SELECT model, part, count(*) AS n FROM me GROUP BY 1, 2")(lambda t: dc.participation(evidence(t)).groupBy("model", "part").agg(F.count("*").alias("n")))
 query("mod_normalize", "mp", "SELECT instrument_id, as_of, model, round(effect - se, 8) AS downside, round(effect + se, 8) AS upside, round(abs(effect / se) / 4, 6) AS strength FROM mp")(

@@ -29,8 +29,9 @@ query("src_earnings", "", "SELECT user_id, day, tod FROM (SELECT user_id, CAST(t
 query("src_universe", "inst", "SELECT instrument_id, symbol, r_name AS sector FROM inst LEFT JOIN region ON r_regionkey = sector_id")(
     lambda t: t.inst.join(F.broadcast(t.table("region").select(F.col("r_regionkey").cast("long").alias("sector_id"), F.col("r_name").alias("sector"))), "sector_id", "left").select("instrument_id", "symbol", "sector")
 )
-query("src_calendar", "cal", "SELECT event_id, c.d AS last_session FROM (SELECT event_id, CAST(ts - INTERVAL 9000 DAY - INTERVAL 17 HOUR AS DATE) AS cutoff FROM events) e ASOF LEFT JOIN cal c ON e.cutoff >= c.d")(
-    lambda t: pit.session_at(t.table("events").select("event_id", F.to_date(F.expr("ts - interval 9000 days - interval 17 hours")).alias("cutoff")), t.cal, "cutoff").select("event_id", F.col("entry").alias("last_session"))
+HALF = "(month(d) = 11 AND isodow(d) = 5 AND day(d) BETWEEN 23 AND 29) OR (month(d) = 12 AND day(d) = 24 AND isodow(d) < 5) OR (month(d) = 7 AND day(d) = 3 AND isodow(d) < 5)"
+query("src_calendar", "cal", f"SELECT event_id, c.d AS last_session, c.half_day FROM (SELECT event_id, ts - INTERVAL 9000 DAY AS now FROM events) e ASOF LEFT JOIN (SELECT d, {HALF} AS half_day, CAST(d AS TIMESTAMP) + INTERVAL 16 HOUR + INTERVAL 60 MINUTE AS complete FROM cal) c ON e.now >= c.complete")(
+    lambda t: pit.completed_session(t.table("events").select("event_id", F.expr("cast(ts as timestamp_ntz) - interval 9000 days").alias("now")), t.cal, "now").select("event_id", F.col("entry").alias("last_session"), pit.is_half_day(F.col("entry")).alias("half_day"))
 )
 query("src_macro_asof", "mo ms", "SELECT code, count(*) AS known, max(obs_date) AS last_obs FROM mo JOIN ms USING (code, frequency) WHERE obs_date + lag_days <= DATE '1996-06-30' GROUP BY 1")(
     lambda t: t.mo.join(F.broadcast(t.ms), ["code", "frequency"]).where(F.date_add("obs_date", F.col("lag_days")) <= F.lit("1996-06-30").cast("date")).groupBy("code").agg(F.count("*").alias("known"), F.max("obs_date").alias("last_obs"))
