@@ -40,17 +40,40 @@ query("src_earnings_current", "ea", "SELECT instrument_id, earnings_date, max(ob
     lambda t: t.ea.groupBy("instrument_id", "earnings_date").agg(F.max("observed_on").alias("observed_on"), F.round(F.max_by("eps_actual", "observed_on"), 5).alias("eps_actual"))
 )
 HASH = "substr(sha256(concat_ws('|', txn_type, CAST(trade_date AS VARCHAR), CAST(instrument_id AS VARCHAR), CAST(CAST(quantity AS BIGINT) AS VARCHAR), CAST(CAST(total_amount * 100 AS BIGINT) AS VARCHAR))), 1, 24)"
-CTE["csv_in"] = (("tx",), f"SELECT *, {HASH} AS id FROM tx WHERE txn_id > 0")
+FIELDS = "external_id string, txn_type string, trade_date date, instrument_id long, quantity decimal(20,8), total_amount decimal(20,6)"
+CTE["csv_in"] = (
+    ("tx",),
+    f"SELECT *, CASE WHEN txn_id % 5 = 0 THEN 'X' || instrument_id || '-' || txn_id ELSE 'sha256:' || {HASH} END AS id FROM tx WHERE txn_id > 0 UNION ALL SELECT *, CASE WHEN txn_id % 5 = 0 THEN 'X' || instrument_id || '-' || txn_id ELSE 'sha256:' || {HASH} END FROM tx WHERE txn_id > 0 AND txn_id % 50 = 3",
+)
+
+
+def ledger_file(t: Tables) -> str:
+    """The ledger as a broker exports it: CSV, an external id on some rows only, some rows twice."""
+    external = F.when(F.col("txn_id") % 5 == 0, F.concat(F.lit("X"), F.col("instrument_id").cast("string"), F.lit("-"), F.col("txn_id").cast("string")))
+    rows = t.tx.where("txn_id > 0").select(external.alias("external_id"), "txn_type", "trade_date", "instrument_id", "quantity", "total_amount", "txn_id")
+    path = sinks.scratch(t.spark, "ledger")
+    rows.unionByName(rows.where("txn_id % 50 = 3")).drop("txn_id").write.option("header", True).csv(path)
+    return path
 
 
-def hashed(t: Tables) -> DataFrame:
+def with_ids(rows: DataFrame) -> DataFrame:
+    """Transactions with their external id, or a digest of their contents where they have none."""
     fields = F.concat_ws("|", "txn_type", F.col("trade_date").cast("string"), F.col("instrument_id").cast("string"), F.col("quantity").cast("long").cast("string"), (F.col("total_amount") * 100).cast("long").cast("string"))
-    return t.tx.where("txn_id > 0").withColumn("id", F.substring(F.sha2(fields, 256), 1, 24))
+    digest = F.concat(F.lit("sha256:"), F.substring(F.sha2(fields, 256), 1, 24))
+    return rows.withColumn("id", F.when(F.coalesce(F.trim("external_id"), F.lit("")) != "", F.trim("external_id")).otherwise(digest))
+
+
+@query("src_ledger_csv", "csv_in", "SELECT id, count(*) AS copies, CASE WHEN bool_or(trade_date < DATE '1996-01-01') THEN 'existing' ELSE 'inserted' END AS status, max(trade_date) AS trade_date FROM csv_in GROUP BY 1")
+def ledger_import(t: Tables) -> DataFrame:
+    """A ledger file imported a second time, when the first import held its rows before 1996: per id the copies in the file
+    and whether the ledger had it already.
+    """
+    rows = with_ids(t.spark.read.schema(FIELDS).option("header", True).csv(ledger_file(t)))
+    had = rows.where("trade_date < date'1996-01-01'").select("id").distinct().withColumn("had", F.lit(True))
+    each = rows.groupBy("id").agg(F.count("*").alias("copies"), F.max("trade_date").alias("trade_date"))
+    return each.join(had, "id", "left").select("id", "copies", F.when(F.col("had"), "existing").otherwise("inserted").alias("status"), "trade_date")
 
 
-query("src_ledger_csv", "csv_in", "SELECT id, count(*) AS copies FROM csv_in WHERE id NOT IN (SELECT id FROM csv_in WHERE year(trade_date) = 1997) GROUP BY 1")(
-    lambda t: (lambda h: h.join(h.where("year(trade_date) = 1997").select("id").distinct(), "id", "left_anti").groupBy("id").agg(F.count("*").alias("copies")))(hashed(t))
-)
 query("src_opening_balances", "tx", "SELECT instrument_id, CAST(quantity AS DOUBLE) AS quantity, round(CAST(-total_amount AS DOUBLE), 2) AS basis FROM tx WHERE txn_type = 'opening_balance'")(
     lambda t: t.tx.where("txn_type = 'opening_balance'").select("instrument_id", F.col("quantity").cast("double").alias("quantity"), F.round((-F.col("total_amount")).cast("double"), 2).alias("basis"))
 )
