@@ -329,3 +329,32 @@ def sections(t: Tables) -> DataFrame:
     mean = F.round(F.avg("score"), 6)
     verdict = F.when(mean.isNull(), "no active evidence").when(mean >= 60, "supportive").when(mean <= 40, "unfavorable").otherwise("mixed")
     return cells.crossJoin(F.broadcast(table)).join(scores(t, *MODELS), ["instrument_id", "as_of", "model"], "left").groupBy("instrument_id", "as_of", "section").agg(verdict.alias("verdict"))
+
+
+# Notes between horizons ---------------------------------------------------------------------------------------------
+
+#: Points of a jump, and of a drop of confidence.
+JUMP, DROP = 20.0, 0.25
+CTE["adj"] = (
+    ("magg",),
+    f"SELECT instrument_id, as_of, model, horizon, lead(horizon) OVER w AS next_horizon, score, lead(score) OVER w AS s2, confidence, lead(confidence) OVER w AS c2, driver, lead(driver) OVER w AS d2 FROM (SELECT *, split_part(CASE WHEN effect > 0 THEN supporting WHEN effect < 0 THEN negative END, '; ', 1) AS driver FROM magg) WINDOW w AS (PARTITION BY instrument_id, as_of, model ORDER BY horizon)",
+)
+
+
+@query(
+    "eng_cross_horizon", "adj",
+    f"SELECT instrument_id, as_of, model, horizon, next_horizon, abs(s2 - score) >= {JUMP} AS jump, (score - 50) * (s2 - 50) < 0 AS reversal, confidence - c2 >= {DROP} AS confidence_drop, CASE WHEN driver IS DISTINCT FROM d2 THEN coalesce(driver, '-') || ' -> ' || coalesce(d2, '-') END AS driver_change FROM adj"
+    f" WHERE next_horizon IS NOT NULL AND (abs(s2 - score) >= {JUMP} OR (score - 50) * (s2 - 50) < 0 OR confidence - c2 >= {DROP} OR driver IS DISTINCT FROM d2)",
+    stored=True,
+)
+def cross_horizon(t: Tables) -> DataFrame:
+    """What changes from one horizon to the next in a model's scores of a cell: a jump, the side, confidence, or the largest driver."""
+    w = Window.partitionBy("instrument_id", "as_of", "model").orderBy("horizon")
+    best = F.when(F.col("effect") > 0, F.col("supporting")).when(F.col("effect") < 0, F.col("negative"))
+    rows = aggregated(t, *MODELS).withColumn("driver", F.split_part(best, F.lit("; "), F.lit(1)))
+    rows = rows.select("instrument_id", "as_of", "model", "horizon", F.lead("horizon").over(w).alias("next_horizon"), "score", F.lead("score").over(w).alias("s2"), "confidence", F.lead("confidence").over(w).alias("c2"), "driver", F.lead("driver").over(w).alias("d2"))
+    changed = F.when(~F.col("driver").eqNullSafe(F.col("d2")), F.concat(F.coalesce("driver", F.lit("-")), F.lit(" -> "), F.coalesce("d2", F.lit("-"))))
+    notes = rows.where("next_horizon is not null").select(
+        "instrument_id", "as_of", "model", "horizon", "next_horizon", (F.abs(F.col("s2") - F.col("score")) >= JUMP).alias("jump"), ((F.col("score") - 50) * (F.col("s2") - 50) < 0).alias("reversal"), (F.col("confidence") - F.col("c2") >= DROP).alias("confidence_drop"), changed.alias("driver_change")
+    )
+    return notes.where("jump or reversal or confidence_drop or driver_change is not null")

@@ -66,17 +66,6 @@ CTE["real"] = (("px",), "SELECT instrument_id, d, horizon, fwd, adverse FROM (SE
 query("wf_realized", "real", "SELECT instrument_id, d, horizon, fwd IS NOT NULL AS complete, round(fwd, 6) AS actual, CASE WHEN fwd IS NOT NULL THEN round(adverse, 6) END AS adverse FROM real")(
     lambda t: rs.forward_returns(t.px, (21,)).join(rs.path_excursions(t.px, 21).select("instrument_id", "d", "mae"), ["instrument_id", "d"], "left").select("instrument_id", "d", "horizon", F.col("fwd").isNotNull().alias("complete"), F.round("fwd", 6).alias("actual"), F.round("mae", 6).alias("adverse"))
 )
-query("eng_cross_horizon", "pr", "SELECT instrument_id, as_of, system, CASE WHEN abs(b - a) >= 20 THEN 'jump' WHEN (a - 50) * (b - 50) < 0 THEN 'reversal' END AS note FROM (SELECT instrument_id, as_of, system, max(score) FILTER (horizon = 21) AS a, max(score) FILTER (horizon = 63) - 5 AS b FROM pr GROUP BY 1, 2, 3) WHERE abs(b - a) >= 20 OR (a - 50) * (b - 50) < 0")(
-    lambda t: _pivoted(t).where("abs(b - a) >= 20 or (a - 50) * (b - 50) < 0").select("instrument_id", "as_of", "system", F.when(F.abs(F.col("b") - F.col("a")) >= 20, "jump").otherwise("reversal").alias("note"))
-)
-
-
-def _pivoted(t: Tables) -> DataFrame:
-    from pitlake.plans.evaluate_queries import predictions
-
-    return predictions(t).groupBy("instrument_id", "as_of", "system").pivot("horizon", [21, 63]).agg(F.max("score")).withColumnsRenamed({"21": "a", "63": "b"}).withColumn("b", F.col("b") - 5)
-
-
 query("ev_model_analytics", "wr", "SELECT system, round(avg(abs(expected)), 8) AS mean_effect, round(avg(hit), 6) AS hit_rate, round(avg(abs_error), 6) AS mae, round(avg(abs(actual)), 6) AS naive_mae FROM wr GROUP BY 1")(
     lambda t: prepared(t).groupBy("system").agg(F.round(F.avg(F.abs("expected")), 8).alias("mean_effect"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate"), F.round(F.avg("abs_error"), 6).alias("mae"), F.round(F.avg(F.abs("actual")), 6).alias("naive_mae"))
 )
