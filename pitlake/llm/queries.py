@@ -23,18 +23,22 @@ def crc_fold(folds: int) -> F.Column:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 4096 tokens."""
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), capacity=4096, end_id=1)
 
 
 def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return html_extract.extract(read_table(spark, sf_dir, "pages"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes and components of documents linked by three-word shingles at 90 %."""
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
 def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: counts and digest of the base spans, and all spans."""
     found = pii.find_in(read_table(spark, sf_dir, "documents"))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -46,6 +50,7 @@ def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels of four folds of five."""
     docs = read_table(spark, sf_dir, "documents")
     lexicon = toxicity.fit(docs, read_table(spark, sf_dir, "labels").where(crc_fold(5) != 0))
     scored = toxicity.score(docs, lexicon)
@@ -53,10 +58,12 @@ def op5_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest neighbours of every hundredth vector."""
     return ann.search(read_table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted and read back, with the probe conversation -7."""
     turns = columns(read_table(spark, sf_dir, "conversations"), conv_id="long", turn="long", role="string", text="string")
     probe = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], turns.schema)
@@ -79,6 +86,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from six folds of seven."""
     return lm.score(read_table(spark, sf_dir, "documents"), crc_fold(7) == 2)
 
 
@@ -89,6 +97,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that lie in windows of test items."""
     hit = decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
     as_text = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
     return hit.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(as_text, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
