@@ -15,6 +15,8 @@ from pitlake import plans
 from pitlake.operators import analogues, evaluate, integrity, regimes, systems
 from pitlake.operators import features as ft
 from pitlake.operators import ledger, pit, quality, research
+from pitlake.plans import evaluate_queries
+from pitlake.plans.registry import Tables
 from pitlake.sources import sinks
 
 SF = "/root/testdata/sf0.001"
@@ -191,6 +193,14 @@ def test_bootstrap_of_the_paired_difference(spark):
     assert (got.low, got.high) == pytest.approx(tuple(np.percentile(draws, [2.5, 97.5])), abs=0.03)
 
 
+def test_predictions_cover_every_session(spark):
+    t = Tables(spark, SF)
+    sessions = ft.price_features(t.px).where("ret_21d is not null and price_to_ma50 is not null").count()
+    assert evaluate_queries.predictions(t).count() == 4 * sessions > 0
+    kept = evaluate_queries.predictions(t).groupBy("instrument_id").agg(F.count_distinct("as_of").alias("n"), F.count_distinct(F.trunc("as_of", "month")).alias("months"))
+    assert kept.where("n > months").count() > 0
+
+
 def test_calendar_covers_all_events(spark):
     got = __spark_entry__.queries()["src_calendar"](spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/events.parquet").count() > 0
