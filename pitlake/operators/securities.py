@@ -10,11 +10,26 @@ from pitlake.operators import pit
 FAR = "9999-12-31"
 
 
-def overlaps(rows: DataFrame, key: str, owner: str) -> DataFrame:
-    """Pairs of intervals of one key that overlap and belong to different owners; an equi-join on the key first."""
-    a = rows.select(key, F.col(owner).alias("a"), F.col("valid_from").alias("fa"), F.coalesce("valid_to", F.lit(FAR).cast("date")).alias("ta"))
-    b = rows.select(key, F.col(owner).alias("b"), F.col("valid_from").alias("fb"), F.coalesce("valid_to", F.lit(FAR).cast("date")).alias("tb"))
-    return a.join(b, key).where("a < b and fa < tb and fb < ta").select(key, "a", "b").distinct()
+#: Owners of one key that meet as many others in one group of the join, in expectation.
+BLOCK = 512
+
+
+def overlaps(rows: DataFrame, key: str, owner: str, block: int = BLOCK) -> DataFrame:
+    """Pairs of intervals of one key that overlap and belong to different owners, each pair once.
+
+    An owner's intervals become one row per key. The owners of a key are dealt into blocks of about ``block`` by a hash,
+    as many as the key's count asks for, and each pair of blocks is a group of its own: a hot key spreads over tasks, a
+    group holds two blocks, and pairs are found once, so none are kept to compare them.
+    """
+    spans = rows.groupBy(key, owner).agg(F.collect_set(F.struct("valid_from", F.coalesce("valid_to", F.lit(FAR).cast("date")).alias("valid_to"))).alias("spans"))
+    n = spans.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    dealt = spans.join(n, key).withColumn("_own", F.pmod(F.xxhash64(owner), F.col("_n")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    a = dealt.select(key, F.col("_own").alias("_x"), F.col("_other").alias("_y"), F.col(owner).alias("a"), F.col("spans").alias("sa"))
+    b = dealt.select(key, F.col("_other").alias("_x"), F.col("_own").alias("_y"), F.col(owner).alias("b"), F.col("spans").alias("sb"))
+    meets = F.exists("sa", lambda x: F.exists("sb", lambda y: (x["valid_from"] < y["valid_to"]) & (y["valid_from"] < x["valid_to"])))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as given: the pairs outgrow the rows that adaptive sizes go by
+    a, b = (side.repartition(parts, key, "_x", "_y") for side in (a, b))
+    return a.join(b.hint("merge"), [key, "_x", "_y"]).where((F.col("a") < F.col("b")) & meets).select(key, "a", "b")
 
 
 def universe(master: DataFrame, dates: DataFrame, least_days: int = 252) -> DataFrame:

@@ -14,7 +14,7 @@ import __spark_entry__
 from pitlake import plans
 from pitlake.operators import analogues, evaluate, integrity, regimes, systems
 from pitlake.operators import features as ft
-from pitlake.operators import ledger, pit, quality, research
+from pitlake.operators import ledger, pit, quality, research, securities
 from pitlake.plans import evaluate_queries
 from pitlake.plans.registry import Tables
 from pitlake.sources import sinks
@@ -201,6 +201,18 @@ def test_predictions_cover_every_session(spark):
     assert kept.where("n > months").count() > 0
 
 
+def test_overlaps_of_a_hot_key_are_found_once_and_spread(spark):
+    """Pairs equal brute force with blocks of a few owners, and a key's pairs come from many partitions."""
+    rng = random.Random(11)
+    rows = [(f"K{rng.randrange(2)}", rng.randrange(60), day(s), None if rng.random() < 0.2 else day(s + rng.randrange(40))) for s in (rng.randrange(200) for _ in range(240))]
+    got = securities.overlaps(spark.createDataFrame(rows, "identifier string, security_id long, valid_from date, valid_to date"), "identifier", "security_id", block=8)
+    met = lambda x, y: x[2] < (y[3] or dt.date.max) and y[2] < (x[3] or dt.date.max)
+    found = [tuple(r) for r in got.collect()]
+    assert sorted(found) == sorted({(x[0], x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and met(x, y)})
+    spread = got.withColumn("p", F.spark_partition_id()).groupBy("identifier").agg(F.count_distinct("p").alias("n"))
+    assert min(r.n for r in spread.collect()) > 1
+
+
 def test_calendar_covers_all_events(spark):
     got = __spark_entry__.queries()["src_calendar"](spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/events.parquet").count() > 0
