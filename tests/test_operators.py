@@ -1,6 +1,7 @@
 """Operators against hand-made cases: null rules, look-ahead, folds, and reruns."""
 
 import datetime as dt
+import decimal
 import functools
 import math
 import os
@@ -17,6 +18,7 @@ from pitlake.operators import features as ft
 from pitlake.operators import ledger, pit, quality, research, securities
 from pitlake.plans import evaluate_queries
 from pitlake.plans.registry import Tables
+from pitlake.sources import panel as panel_source
 from pitlake.sources import sinks
 
 SF = "/root/testdata/sf0.001"
@@ -213,6 +215,38 @@ def test_overlaps_of_a_hot_key_are_found_once_and_spread(spark):
     assert min(r.n for r in spread.collect()) > 1
 
 
+def test_ledger_of_one_instrument_is_sorted_in_parts(spark, monkeypatch):
+    """Places and closures of one instrument come from many partitions, and equal a plain FIFO loop when lots reach over parts."""
+    monkeypatch.setattr(ledger, "CUTS", 7)
+    rng, txns, lots, want, stock = random.Random(17), [], [], [], 0
+    for i in range(120):
+        buy = stock < 20 or rng.random() < 0.5
+        q = rng.choice([1, 3, 90]) if buy else rng.randrange(1, 20)
+        stock += q if buy else -q
+        txns.append((1, i, "buy" if buy else "sell", day(i // 4), decimal.Decimal(q), decimal.Decimal(10 * q)))
+        if buy:
+            lots.append([i, q])
+        while not buy and q:
+            n = min(q, lots[0][1])
+            want.append((lots[0][0], i, float(n)))
+            q, lots[0][1] = q - n, lots[0][1] - n
+            lots = lots if lots[0][1] else lots[1:]
+    tx = spark.createDataFrame(txns, "instrument_id long, txn_id long, txn_type string, trade_date date, quantity decimal(20,8), total_amount decimal(20,6)")
+    assert sorted(tuple(r) for r in ledger.closures(tx).select("lot_id", "sell_id", "quantity").collect()) == sorted(want)
+    placed = ledger.placed(tx.repartition(4)).withColumn("p", F.spark_partition_id())
+    assert placed.select("p").distinct().count() > 1
+    bought = {i: sum(int(t[4]) for t in txns[: i + 1] if t[2] == "buy") for i in range(120)}
+    assert {r.txn_id: int(r["_b"]) for r in placed.collect()} == bought
+
+
+def test_transactions_are_numbered_in_parts(spark, monkeypatch):
+    whole = panel_source.ledger(spark, SF).select("instrument_id", "txn_id", "trade_date", "quantity", "total_amount")
+    monkeypatch.setattr(panel_source, "ORDERS", 100)
+    assert panel_source.ledger(spark, SF).select(*whole.columns).exceptAll(whole).count() == 0
+    own = panel_source.ledger(spark, SF).where("txn_id > 0").groupBy("instrument_id").agg(F.min("txn_id").alias("a"), F.max("txn_id").alias("b"), F.count_distinct("txn_id").alias("n"), F.count("*").alias("m"))
+    assert own.where("a <> 1 or b <> n or n <> m").count() == 0
+
+
 def test_calendar_covers_all_events(spark):
     got = __spark_entry__.queries()["src_calendar"](spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/events.parquet").count() > 0
