@@ -39,7 +39,7 @@ def resolve(rows: DataFrame, master: DataFrame, identifiers: DataFrame, day: str
     it on the row's day. No holder is ``unresolved_security``, several are ``ambiguous_security``.
     """
     known = master.select("source", F.col("source_security_id").alias("vendor_id"), F.col("security_id").alias("by_id"))
-    joined = rows.join(known, ["source", "vendor_id"], "left")
+    joined = rows.join(known.hint("merge"), ["source", "vendor_id"], "left")  # the master grows with the feed
     found = pit.asof(joined, holders(identifiers), ["vendor_id"], day, "since", ["holder", "holding"])
     problem = F.when(F.col("by_id").isNotNull(), F.lit(None)).when(F.col("holding") > 1, "ambiguous_security").when(F.col("holder").isNull(), "unresolved_security")
     return found.withColumns({"security_id": F.coalesce("by_id", "holder"), "problem": problem}).drop("by_id", "holder", "holding")

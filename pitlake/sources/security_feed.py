@@ -51,6 +51,11 @@ def security_id(source: Column, vendor_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", source, vendor_id)), 1, 15), 16, 10).cast("long")
 
 
+def large(df: DataFrame) -> DataFrame:
+    """``df``, to be joined by a shuffle: it grows with the feed, and what files hold packed is much larger on the driver."""
+    return df.hint("merge")
+
+
 def conflicts(feed: DataFrame, stored: DataFrame) -> DataFrame:
     """``seq, held_by``: records with a permanent identifier that another security holds over an interval that overlaps.
 
@@ -65,24 +70,24 @@ def conflicts(feed: DataFrame, stored: DataFrame) -> DataFrame:
     live = stored.where(permanent).select("security_id", *value, "valid_from", F.coalesce("valid_to", F.lit(FAR).cast("date")).alias("valid_to"))
     shared = rows.select(*value, "security_id").union(live.select(*value, "security_id")).groupBy(*value).agg(F.min("security_id").alias("a"), F.max("security_id").alias("b")).where("a <> b").select(*value)
     keep = lambda df, name: sinks.written(df, name)
-    rows, live = keep(rows.join(shared, value, "left_semi"), "contested"), keep(live.join(shared, value, "left_semi"), "live")
+    rows, live = keep(rows.join(large(shared), value, "left_semi"), "contested"), keep(live.join(large(shared), value, "left_semi"), "live")
     waiting, found = rows, None
     while not waiting.isEmpty():
         first = waiting.groupBy(*own).agg(F.min("seq").alias("seq"))
-        both = waiting.select("seq", *value, "valid_from", "valid_to").union(live.join(first, own).select("seq", *value, "valid_from", "valid_to"))
+        both = waiting.select("seq", *value, "valid_from", "valid_to").union(live.join(large(first), own).select("seq", *value, "valid_from", "valid_to"))
         at = Window.partitionBy(*value).orderBy("valid_from", "valid_to", "seq")
         apart = F.col("valid_from") > F.max("valid_to").over(at.rowsBetween(Window.unboundedPreceding, -1))
         islands = both.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("island", F.sum("apart").over(at.rowsBetween(Window.unboundedPreceding, 0)))
         blocked = islands.withColumn("first", F.min("seq").over(Window.partitionBy(*value, "island"))).where("seq > first").select("seq").distinct()
         blocked = keep(blocked, "blocked")
-        ready = waiting.join(blocked, "seq", "left_anti")
+        ready = waiting.join(large(blocked), "seq", "left_anti")
         held = live.select(F.col("security_id").alias("other"), *value, F.col("valid_from").alias("f"), F.col("valid_to").alias("t"))
-        met = ready.join(held, value).where("other <> security_id and valid_from <= t and f <= valid_to")
+        met = ready.join(large(held), value).where("other <> security_id and valid_from <= t and f <= valid_to")
         lost = keep(met.groupBy("seq").agg(F.min("other").alias("held_by")), "lost")
-        won = ready.join(lost, "seq", "left_anti")
+        won = ready.join(large(lost), "seq", "left_anti")
         last = won.withColumn("n", F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("seq"), F.desc("identifier_value")))).where("n = 1")
-        live = keep(live.join(won.select(*own), own, "left_anti").unionByName(last.select(*live.columns)), "live")
-        waiting = keep(waiting.join(blocked, "seq", "left_semi"), "waiting")
+        live = keep(live.join(large(won.select(*own)), own, "left_anti").unionByName(last.select(*live.columns)), "live")
+        waiting = keep(waiting.join(large(blocked), "seq", "left_semi"), "waiting")
         found = lost if found is None else found.union(lost)
     return feed.sparkSession.createDataFrame([], "seq long, held_by long") if found is None else found
 
@@ -91,7 +96,7 @@ def flatten(feed: DataFrame, known: DataFrame) -> dict[str, DataFrame]:
     """The rows of each table that the records bring, the last of each natural key; ``known`` are all (source, vendor id, id)."""
     base = [F.col("seq"), F.col("security_id"), F.col("source"), F.col("data_version")]
     of = lambda name: known.select("source", F.col("source_security_id").alias(f"{name}_source_id"), F.col("security_id").alias(f"{name}_id"))
-    linked = lambda rows, name: rows.join(of(name), ["source", f"{name}_source_id"], "left")
+    linked = lambda rows, name: rows.join(large(of(name)), ["source", f"{name}_source_id"], "left")
     rows = {
         "master": feed,
         "identifiers": feed.select(*base, F.inline("identifiers")),
@@ -134,9 +139,9 @@ def ingest(feed: DataFrame, stored: dict[str, DataFrame]) -> tuple[dict[str, Dat
     feed = feed.withColumn("security_id", security_id(F.col("source"), F.col("source_security_id")))
     named = sinks.written(feed.where("source_security_id <> ''"), "feed")
     lost = conflicts(named, stored["identifiers"])
-    accepted = named.join(lost, "seq", "left_anti")
+    accepted = named.join(large(lost), "seq", "left_anti")
     known = stored["master"].select("source", "source_security_id", "security_id").union(accepted.select("source", "source_security_id", "security_id")).distinct()
     tables = {t: merged(t, rows, stored[t]) for t, rows in flatten(accepted, known).items()}
     missing = feed.where("source_security_id is null or source_security_id = ''").select("seq", F.lit("<missing>").alias("entity"), F.lit("missing_permanent_id").alias("rule"), F.col("name").alias("detail"))
-    ambiguous = named.join(lost, "seq").select("seq", F.col("source_security_id").alias("entity"), F.lit("ambiguous_identity").alias("rule"), F.concat(F.lit("also held by "), F.col("held_by").cast("string")).alias("detail"))
+    ambiguous = named.join(large(lost), "seq").select("seq", F.col("source_security_id").alias("entity"), F.lit("ambiguous_identity").alias("rule"), F.concat(F.lit("also held by "), F.col("held_by").cast("string")).alias("detail"))
     return tables, missing.union(ambiguous)

@@ -198,3 +198,12 @@ def test_yearly_sink_replaces_the_same_years(spark, tmp_path):
     assert max(r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()) < 1500
     sinks.write_years(rows.where("year(d) = 2021").limit(3), path, "d")
     assert {r.year: r["count"] for r in spark.read.parquet(path).groupBy("year").count().collect()} == {2020: rows.where("year(d) = 2020").count(), 2021: 3}
+
+
+def test_tables_of_the_feed_are_not_sent_to_the_driver(spark):
+    """What grows with the feed is joined by a shuffle, however small its files are."""
+    rows = spark.createDataFrame([("vendor", "P1", dt.date(2020, 1, 1))], "source string, vendor_id string, d date")
+    store = sf.empty_store(spark)
+    plans = [native.resolve(rows, store["master"], store["identifiers"], "d"), *sf.flatten(spark.createDataFrame([], sf.FEED).withColumn("security_id", F.lit(1).cast("long")), store["master"].select("source", "source_security_id", "security_id")).values()]
+    told = [df._jdf.queryExecution().sparkPlan().toString() for df in plans]
+    assert any("SortMergeJoin" in plan for plan in told) and not any("BroadcastHashJoin" in plan for plan in told)
