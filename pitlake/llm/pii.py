@@ -1,8 +1,8 @@
 """Personal data: generators propose overlapping spans, boosted trees score them, calibrated thresholds choose.
 
 Spans that satisfy a strict format (the *base* spans of email, ip, card and phone) always stay; the trees decide
-about all others. Labels come from evidence that the trees don't see in that form: of the candidates of a bounded
-sample of documents, base spans are positive, and so are renderings of them that no strict format takes (spelled-out
+about all others. Labels come from evidence that the trees don't see in that form: of the candidates of all
+documents, base spans are positive, and so are renderings of them that no strict format takes (spelled-out
 signs, other grouping, no country code), put in their place; numbers that fail a checksum or a range, or that lie in
 a base span of another kind, are negative, and so are positive spans with a part changed. A secret is positive where two generators agree (a naming cue, and a
 key-like value) and when such a value stands without its cue; values without key-like form are negative. What has no
@@ -16,18 +16,20 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitlake.llm.boosting import BoostedTrees
-from pitlake.llm.common import TEXT_ROWS, columns, map_batches, map_text
+from pitlake.llm.boosting import BoostedTrees, coarse
+from pitlake.llm.common import TEXT_ROWS, columns, is_small, map_batches, map_text, materialize
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: Documents that the fit reads at most, in expectation (those with the smallest hashes), and candidates of them.
-SAMPLE_DOCS, SAMPLE_ROWS = 50_000, 40_000
+#: Different rows of bins up to which the driver adds them up itself; tasks do so, to the same sums, beyond.
+LOCAL_ROWS = 50_000
+#: Steps of the scores between 0 and 1, for the thresholds.
+LEVELS = 1 << 16
 #: Precision that an added span's score must have reached on held-out candidates of its kind.
 PRECISION = 0.98
 
@@ -219,43 +221,119 @@ class Redactor:
         return in_order(base), in_order(chosen)
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION) -> Redactor:
-    """Trees and thresholds from about ``sample_docs`` documents, and at most ``sample_rows`` labelled candidates of them.
-
-    A fifth is held out to calibrate: the threshold of a kind lies under the lowest score from which on the held-out
-    precision is reached, half way to the next. Without such a score, or without candidates of both labels, nothing of the kind is added.
-    """
-    texts = columns(docs, text="string").where("text is not null")
-    share = min(1.0, sample_docs / max(1, texts.count()))
-    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
+def labelled(docs: DataFrame) -> DataFrame:
+    """``kind, y, features, held`` of the different labelled candidates of all documents; a fifth is held out. Written once."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            found = [e for t in b["text"] if MAYBE.search(t) for e in examples(t)]
+            found = {(k, y, tuple(f)) for t in b["text"] if MAYBE.search(t) for k, y, f in examples(t)}
             yield {"kind": [k for k, _, _ in found], "y": [y for _, y, _ in found], "features": [f for _, _, f in found]}
 
-    told = map_batches(drawn, run, "kind string, y boolean, features array<float>").dropDuplicates()
-    rows = told.withColumn("h", F.xxhash64("kind", "features")).orderBy("h", "y").limit(sample_rows).collect()
-    y = np.array([float(r.y) for r in rows])
-    if not rows or y.min() == y.max():
+    told = map_batches(columns(docs, text="string").where("text is not null"), run, "kind string, y boolean, features array<double>").dropDuplicates()
+    return materialize(told.withColumn("held", F.pmod(F.shiftright(F.xxhash64("kind", "features"), 8), F.lit(5)) == 0), "examples")
+
+
+def histograms(told: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per feature its values, cut to nine bits, and how many examples have them: a few thousand at most, whatever the rows."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            found = [np.unique(column, return_counts=True) for column in coarse(np.array(b["features"])).T]
+            yield {"feature": np.repeat(range(len(found)), [len(v) for v, _ in found]), "value": np.concatenate([v for v, _ in found]), "n": np.concatenate([n for _, n in found])}
+
+    rows = map_batches(told.select("features"), run, "feature int, value double, n long").groupBy("feature", "value").agg(F.sum("n").alias("n")).collect()
+    feature, value, n = np.array([r.feature for r in rows]), np.array([r.value for r in rows]), np.array([r.n for r in rows])
+    return [(value[feature == f], n[feature == f]) for f in range(feature.max() + 1)]
+
+
+def binned(told: DataFrame, trees: BoostedTrees) -> DataFrame:
+    """``kind, held, bins, right, wrong``: the different rows of bins, and how many examples of each label lie there."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            y = np.array(b["y"], dtype=np.int64)
+            yield {"kind": [KINDS.index(k) for k in b["kind"]], "held": b["held"], "bins": [r.tobytes() for r in trees.binned(np.array(b["features"]))], "right": y, "wrong": 1 - y}
+
+    rows = map_batches(told, run, "kind int, held boolean, bins binary, right long, wrong long")
+    return materialize(rows.groupBy("kind", "held", "bins").agg(F.sum("right").alias("right"), F.sum("wrong").alias("wrong")), "bins")
+
+
+def adder(rows: DataFrame, features: int, local_rows: int) -> Callable[[Callable, int], np.ndarray]:
+    """``add(fn, size)``: the sum of the arrays ``fn(kind, bins, right, wrong)`` of ``size`` whole numbers over all ``rows``.
+
+    Up to ``local_rows`` rows are added on the driver; beyond, every task adds its own and Spark adds those.
+    """
+    arrays = lambda b: (np.array(b["kind"]), np.frombuffer(b"".join(b["bins"]), dtype=np.uint8).reshape(-1, features), np.array(b["right"]), np.array(b["wrong"]))
+    if is_small(rows, local_rows):
+        found = rows.select("kind", "bins", "right", "wrong").collect()
+        own = arrays({c: [r[c] for r in found] for c in ("kind", "bins", "right", "wrong")})
+        return lambda fn, size: fn(*own)
+
+    def add(fn: Callable, size: int) -> np.ndarray:
+        def run(batches: Iterator[dict]) -> Iterator[dict]:
+            total = np.zeros(size, dtype=np.int64)
+            for b in batches:
+                total += fn(*arrays(b))
+            at = np.flatnonzero(total)
+            yield {"at": at, "n": total[at]}
+
+        total = np.zeros(size, dtype=np.int64)
+        for r in map_batches(rows, run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            total[r.at] = r.n
+        return total
+
+    return add
+
+
+def calibrated(right: np.ndarray, rows: np.ndarray, precision: float) -> float:
+    """The threshold from the examples, and the right ones, at each level of the score; infinite if none will do."""
+    at = np.flatnonzero(rows)[::-1]
+    at = at[at >= LEVELS // 2]
+    good = np.flatnonzero(np.cumsum(right[at]) >= precision * np.cumsum(rows[at]))
+    if not len(good):
+        return math.inf
+    below = at[good[-1] + 1] + 1 if good[-1] + 1 < len(at) else LEVELS // 2
+    return float(at[good[-1]] + below) / 2 / LEVELS
+
+
+def fit(docs: DataFrame, precision: float = PRECISION, local_rows: int = LOCAL_ROWS, rounds: int = 40) -> Redactor:
+    """Trees and thresholds from the different labelled candidates of all documents.
+
+    Candidates are counted by their bins of the features' quantiles, and trees and thresholds need sums of those alone. A fifth
+    is held out to calibrate: the threshold of a kind lies under the lowest score from which on the held-out precision is
+    reached, half way to the next. Without such a score, or without candidates of both labels, nothing of the kind is added.
+    """
+    told = labelled(docs)
+    n = {(r.held, r.y): r["count"] for r in told.groupBy("held", "y").count().collect()}
+    if len({y for _, y in n}) < 2:
         return Redactor(None, {})
-    x, kinds = np.array([r.features for r in rows], dtype=np.float64), np.array([r.kind for r in rows])
-    held = np.array([(r.h >> 8) % 5 == 0 for r in rows])
-    held = held if held.any() and len(np.unique(y[~held])) == 2 else np.zeros(len(y), dtype=bool)
-    trees = BoostedTrees().fit(x[~held], y[~held])
-    check = held if held.any() else ~held
-    scores, thresholds, report = trees.predict(x[check]), {}, {}
-    for kind in KINDS:
-        own = kinds[check] == kind
-        order = np.argsort(-scores[own], kind="stable")
-        s, right = scores[own][order], y[check][own][order]
-        good = np.flatnonzero(np.cumsum(right) >= precision * np.arange(1, len(right) + 1))
-        good = good[s[good] >= 0.5] if len(good) else good
-        if len(good):
-            below = s[good[-1] + 1] if good[-1] + 1 < len(s) else 0.5
-            thresholds[kind] = max(0.5, float(s[good[-1]] + below) / 2)
-        taken = s >= thresholds.get(kind, math.inf)
-        report[kind] = (int(own.sum()), int(right.sum()), int(taken.sum()), int(right[taken].sum()))
+    apart = any(held for held, _ in n) and (False, True) in n and (False, False) in n
+    told = told if apart else told.withColumn("held", F.lit(False))
+    fitted, right, wrong = told.where("not held"), *(n.get((False, y), 0) + (0 if apart else n.get((True, y), 0)) for y in (True, False))
+    trees = BoostedTrees(rounds)
+    trees.cut(histograms(fitted))
+    rows = binned(told, trees)
+    add = adder(rows.where("not held"), len(trees.cuts), local_rows)
+
+    def sums(splits: list[tuple[int, int]]) -> np.ndarray:
+        shape = trees.shape(splits)
+        return add(lambda _, bins, right, wrong: trees.level(bins, right, wrong, splits).ravel(), math.prod(shape)).reshape(shape)
+
+    trees.fit(right / (right + wrong), sums)
+    shape = (2, len(KINDS), LEVELS + 1)
+
+    def levels(kind: np.ndarray, bins: np.ndarray, right: np.ndarray, wrong: np.ndarray) -> np.ndarray:
+        at = kind * shape[2] + np.floor(trees.predict_binned(bins) * LEVELS).astype(np.int64)
+        return np.concatenate([np.bincount(at, w, shape[1] * shape[2]) for w in (right, right + wrong)]).astype(np.int64)
+
+    check = adder(rows.where("held") if apart else rows, len(trees.cuts), local_rows)(levels, math.prod(shape)).reshape(shape)
+    thresholds, report = {}, {}
+    for kind, good, every in zip(KINDS, *check, strict=True):
+        least = calibrated(good, every, precision)
+        if least < math.inf:
+            thresholds[kind] = least
+        taken = np.arange(LEVELS + 1) >= least * LEVELS
+        report[kind] = (int(every.sum()), int(good.sum()), int(every[taken].sum()), int(good[taken].sum()))
     return Redactor(trees, thresholds, report)
 
 

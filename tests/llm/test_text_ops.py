@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pitlake.llm import chat, decontam, html_extract, packing, pii, queries, token_counts, toxicity
+from pitlake.llm import boosting, chat, decontam, html_extract, packing, pii, queries, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", " ", "\n\n  a", "a  b\t\tc　d\x1ce\x85", "don't they'r 's \n's", "<|endoftext|>!!<|endoftext", "x" * 3000, "é🙂中́ñ" * 40, None, "   lead", "trail   "]
@@ -339,3 +339,29 @@ def test_pages_of_open_and_nested_elements_take_linear_time(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, path string")).collect()}
     assert got[1] == ("deep words", 10) and got[2] == ("", 0) and "two" in got[None][0]
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
+def test_trees_learn_from_every_document(spark):
+    n = 200_000  # four times the documents of the sample that the fit once read, the ones with data in the half that it left out
+    texts = spark.range(n).select(F.concat(F.lit("note "), F.col("id").cast("string")).alias("text"))
+    hidden = spark.range(2000).select(F.concat(F.lit("mail jane"), F.col("id").cast("string"), F.lit("@site.org, not 300.1.1."), F.col("id").cast("string")).alias("text"))
+    hidden = hidden.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) >= 1 << 19)
+    redactor = pii.fit(texts.union(hidden), rounds=2)
+    assert redactor.trees is not None and redactor.report["email"][0] > 0
+    alone = pii.fit(hidden, rounds=2)
+    assert (redactor.report, redactor.thresholds) == (alone.report, alone.thresholds)
+
+
+def test_trees_are_the_same_wherever_sums_are_added(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(1000)
+    here, there = (pii.fit(docs, local_rows=rows, rounds=2) for rows in (50_000, 0))
+    assert here.report == there.report and here.thresholds == there.thresholds and here.trees.start == there.trees.start
+    for (a, x), (b, y) in zip(here.trees.trees, there.trees.trees, strict=True):
+        assert a == b and x.tolist() == y.tolist()
+
+
+def test_quantiles_of_counted_values():
+    rng = np.random.default_rng(0)
+    for size in (1, 2, 17, 1000):
+        values, q = rng.integers(0, 40, size) / 8, np.linspace(0, 1, 17)
+        assert np.allclose(boosting.quantiles(*np.unique(values, return_counts=True), q), np.quantile(values, q))
