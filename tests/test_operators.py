@@ -349,3 +349,31 @@ def test_parity_and_empty_tables(spark):
     got = {r.k: (r.both_null, r.outside) for r in integrity.parity(a, b, ["k"], 1e-6).collect()}
     assert got == {1: (False, False), 2: (True, False), 3: (False, True), 4: (False, True), 5: (False, True)}
     assert integrity.parity(a.limit(0), b.limit(0), ["k"], 0.0).isEmpty()
+
+
+def test_bars_of_one_pass_equal_bars_from_lines(spark, tmp_path):
+    """The three panels of bars read the lines once, and so do reports the orders."""
+    from pitlake.plans.registry import Stored, Tables
+
+    sf = str(tmp_path / "sf")
+    lines = [(k % 7, k % 3 + 1, k % 5, float(k % 4 + 1), 10.0 * (k % 11) + k / 7, (k % 10) / 100, "F", f"1995-01-0{k % 3 + 1}") for k in range(300)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_linestatus string, l_shipdate string").write.parquet(f"{sf}/lineitem.parquet")
+    spark.createDataFrame([(k, k % 4) for k in range(5)], "s_suppkey long, s_nationkey int").write.parquet(f"{sf}/supplier.parquet")
+    spark.createDataFrame([(k, k % 2) for k in range(4)], "n_nationkey int, n_regionkey int").write.parquet(f"{sf}/nation.parquet")
+    t = Stored(spark, sf)
+    of = {"px": lambda s: (s % 4,), "sx": lambda s: (s % 4 % 2,), "bm": lambda s: ()}
+    for name, key in of.items():
+        groups = {}
+        for o, n, s, q, x, disc, _, d in lines:
+            groups.setdefault((*key(s), d), []).append((o, n, x / q, q, x, disc))
+        want = {k: (min(g)[2], max(r[2] for r in g), min(r[2] for r in g), sum(r[4] for r in g) / sum(r[3] for r in g), sum(r[4] * (1 - r[5]) for r in g) / sum(r[3] for r in g), sum(r[3] for r in g)) for k, g in groups.items()}
+        keys = [c for c in ("instrument_id", "sector_id") if c in getattr(t, name).columns]
+        got = {(*[r[c] for c in keys], str(r.d)): (r.open, r.high, r.low, r.close, r.adj, r.volume) for r in getattr(t, name).collect()}
+        assert set(got) == set(want)
+        for k, w in want.items():
+            assert all(abs(a - b) < 1e-5 for a, b in zip(got[k], w, strict=True)), (name, k)
+    table = Tables(spark, sf)
+    table.sums, table.fu = t.sums, spark.createDataFrame([], "instrument_id long, as_of date, eps double")
+    for name in ("px", "bm", "sx", "ea"):
+        plan = getattr(table, name)._jdf.queryExecution().toString()
+        assert "lineitem" not in plan and "orders" not in plan, name
