@@ -203,6 +203,33 @@ def test_predictions_cover_every_session(spark):
     assert kept.where("n > months").count() > 0
 
 
+def test_model_analytics_by_hand(spark):
+    """Weights, sides and errors per model: effects of 0 take no side, a null outcome scores nothing."""
+    cells = [
+        ([("a", 0.75, 0.04), ("b", 0.25, -0.04)], 0.02, 0.03),
+        ([("a", 0.5, -0.02), ("b", 0.5, 0.0)], -0.01, 0.01),
+        ([("a", 1.0, 0.01)], 0.0, -0.05),
+        ([("a", 1.0, 0.02)], 0.02, None),
+    ]
+    rows = spark.createDataFrame([("s", *c) for c in cells], "system string, contributions array<struct<model string, weight_share double, effect double>>, expected_excess double, realized_excess double")
+    a, b = evaluate.model_analytics(rows, ["system"]).orderBy("model").collect()
+    assert (a.n, b.n) == (4, 2)
+    assert (a.weight_share, a.contribution, a.mean_effect) == pytest.approx((3.25 / 4, (0.03 + 0.01 + 0.01 + 0.02) / 4, 0.05 / 4))
+    assert (a.agreement, a.contradiction, a.hit_rate, a.edge) == pytest.approx((1.0, 0.0, 1 / 3, -1 / 6))
+    assert (a.mae, a.naive_mae, a.information_gain) == pytest.approx(((0.01 + 0.03 + 0.06) / 3, 0.03, 0.03 - 0.1 / 3))
+    assert (b.weight_share, b.contribution, b.mean_effect, b.agreement, b.contradiction, b.hit_rate, b.mae, b.naive_mae) == pytest.approx((0.375, 0.005, -0.02, 0.0, 1.0, 0.0, 0.07, 0.03))
+
+
+def test_models_of_every_evaluated_prediction_are_analysed(spark):
+    t = Tables(spark, SF)
+    rows = evaluate_queries.prepared(t)
+    parts = F.aggregate("contributions", F.lit(0.0), lambda s, c: s + c.weight_share * c.effect)
+    assert rows.where(F.abs(parts - F.col("expected_excess")) > 1e-12).count() == 0
+    n = {r.system: r.n for r in rows.groupBy("system").agg(F.count("*").alias("n")).collect()}
+    got = {(r.system, r.model): r.n for r in __spark_entry__.queries()["ev_model_analytics"](spark, SF).collect()}
+    assert got == {("baseline", "momentum"): n["baseline"], ("combined", "momentum"): n["combined"], ("combined", "trend"): n["combined"]}
+
+
 def test_overlaps_of_a_hot_key_are_found_once_and_spread(spark):
     """Pairs equal brute force with blocks of a few owners, and a key's pairs come from many partitions."""
     rng = random.Random(11)
