@@ -230,6 +230,21 @@ def test_models_of_every_evaluated_prediction_are_analysed(spark):
     assert got == {("baseline", "momentum"): n["baseline"], ("combined", "momentum"): n["combined"], ("combined", "trend"): n["combined"]}
 
 
+def test_outcomes_of_bands_have_the_worst_of_the_path(spark):
+    rng = random.Random(8)
+    closes = [100 * (1 + rng.random()) for _ in range(12)]
+    moves = {(r.d, r.horizon): r.adverse for r in research.adverse_moves(panel(spark, closes), (2, 5)).collect()}
+    for i, c in enumerate(closes):
+        for h in (2, 5):
+            want = min(closes[i + 1 : i + h + 1]) / c - 1 if i + h < len(closes) else None
+            assert moves[day(i), h] == (want if want is None else pytest.approx(want))
+    cells = [(10.0, 0.1, -0.2), (20.0, -0.1, -0.4), (24.9, 0.3, None), (50.0, 0.2, -0.1)]
+    rows = spark.createDataFrame([("s", *c) for c in cells], "system string, score double, realized_excess double, adverse double")
+    got = {r.label: (r.n, r.mean_excess, r.median_adverse, r.p_positive) for r in evaluate.band_outcomes(rows, ["system"]).collect()}
+    assert got == {"strong keep": (3, pytest.approx(0.1), pytest.approx(-0.3), pytest.approx(2 / 3)), "neutral": (1, 0.2, -0.1, 1.0)}
+    assert all(r.median_adverse is not None for r in __spark_entry__.queries()["wf_band_outcomes"](spark, SF).collect())
+
+
 def test_overlaps_of_a_hot_key_are_found_once_and_spread(spark):
     """Pairs equal brute force with blocks of a few owners, and a key's pairs come from many partitions."""
     rng = random.Random(11)
