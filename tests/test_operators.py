@@ -245,6 +245,29 @@ def test_outcomes_of_bands_have_the_worst_of_the_path(spark):
     assert all(r.median_adverse is not None for r in __spark_entry__.queries()["wf_band_outcomes"](spark, SF).collect())
 
 
+def test_seven_labels_of_scored_days(spark):
+    """The limits of each label; missing values and zeros that stand for them; an unknown trend alone has no row."""
+    names = "bull double, pctile double, move double, accel double, breadth double, lead double, since int"
+    cells = [(1.0, 0.8, 0.26, 0.1, 0.7, 0.1, 10), (0.0, 0.2, -0.26, 0.0, 0.3, -0.1, 11), (None, None, None, None, None, None, None), (None, 0.0, 0.25, -0.1, 0.0, 0.0, 0)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cells)], f"id int, {names}")
+    found = regimes.labelled(rows)
+    assert found.columns == ["id", "dimension", "regime"]
+    got = {i: {r.dimension: r.regime for r in found.where(F.col("id") == i).collect()} for i in range(4)}
+    rest = ("mid", "stable", "decelerating", "mixed", "lagging")
+    assert got[0] == dict(zip(regimes.DIMENSIONS, ("bull", "high", "rising", "accelerating", "strong", "leading", "post")))
+    assert got[1] == dict(zip(regimes.DIMENSIONS, ("bear", "low", "falling", "decelerating", "weak", "lagging", "outside")))
+    assert got[2] == dict(zip(regimes.DIMENSIONS[1:], (*rest, "outside")))
+    assert got[3] == dict(zip(regimes.DIMENSIONS[1:], (*rest, "post")))
+
+
+def test_every_evaluated_prediction_counts_once_a_dimension(spark):
+    n = {(r.system, r.horizon): r.n for r in evaluate_queries.prepared(Tables(spark, SF)).groupBy("system", "horizon").agg(F.count("*").alias("n")).collect()}
+    rows = __spark_entry__.queries()["wf_regime_labels"](spark, SF)
+    got = {(r.dimension, r.system, r.horizon): r.n for r in rows.groupBy("dimension", "system", "horizon").agg(F.sum("n").alias("n")).collect()}
+    assert {d for d, *_ in got} == set(regimes.DIMENSIONS)
+    assert all(c == n[k] if d != "trend" else 0 < c < n[k] for (d, *k), c in got.items() for k in [tuple(k)])
+
+
 def test_overlaps_of_a_hot_key_are_found_once_and_spread(spark):
     """Pairs equal brute force with blocks of a few owners, and a key's pairs come from many partitions."""
     rng = random.Random(11)
